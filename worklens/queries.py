@@ -1,0 +1,6 @@
+"""Registered queries over the given tables, one for each operator, and the SQL that must agree with them."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLE_SQL: dict[str, str] = {}
