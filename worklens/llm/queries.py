@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from .langid import op8_language_id
+from .packing import op4_best_fit_packing
 from .simhash import op5_simhash_near_dedup
+from .substring_dedup import op6_substring_dedup
+from .suffix_dedup import op3_suffix_array_dedup
 
-QUERIES = {f.__name__: f for f in (op5_simhash_near_dedup, op8_language_id)}
+QUERIES = {f.__name__: f for f in (op3_suffix_array_dedup, op4_best_fit_packing, op5_simhash_near_dedup, op6_substring_dedup, op8_language_id)}
 ORACLE_SQL: dict[str, str] = {}
