@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from .bitslice import OP7_SQL, op7_exact_top_k
 from .langid import op8_language_id
 from .packing import op4_best_fit_packing
 from .simhash import op5_simhash_near_dedup
 from .substring_dedup import op6_substring_dedup
 from .suffix_dedup import op3_suffix_array_dedup
+from .toxicity import op2_toxicity
+from .warc import OP10_SQL, op10_warc_merkle_audit
 
-QUERIES = {f.__name__: f for f in (op3_suffix_array_dedup, op4_best_fit_packing, op5_simhash_near_dedup, op6_substring_dedup, op8_language_id)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (
+    op2_toxicity, op3_suffix_array_dedup, op4_best_fit_packing, op5_simhash_near_dedup, op6_substring_dedup, op7_exact_top_k, op8_language_id,
+    op10_warc_merkle_audit,
+)}
+ORACLE_SQL: dict[str, str] = {"op7_exact_top_k": OP7_SQL, "op10_warc_merkle_audit": OP10_SQL}
