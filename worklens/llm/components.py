@@ -20,11 +20,11 @@ def least_labels(nodes: DataFrame, pairs: DataFrame, max_rounds: int = 60) -> Da
     for _ in range(max_rounds):
         both = edges.union(edges.select("b", "a"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = both.join(least.hint("merge"), "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.union(edges.filter("false")).filter("a <> b").distinct()
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         least2 = down.groupBy("a").agg(F.min("b").alias("m"))
-        small = down.join(least2, "a").select(F.col("b").alias("x"), F.col("a"), "m")
+        small = down.join(least2.hint("merge"), "a").select(F.col("b").alias("x"), F.col("a"), "m")
         small = small.select(F.col("x").alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
         after = stash(small)
         moved = after.exceptAll(edges).limit(1).count() + edges.exceptAll(after).limit(1).count()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .ann import op1_nn_descent_search
 from .bitslice import OP7_SQL, op7_exact_top_k
 from .langid import op8_language_id
 from .packing import op4_best_fit_packing
@@ -12,7 +13,7 @@ from .toxicity import op2_toxicity
 from .warc import OP10_SQL, op10_warc_merkle_audit
 
 QUERIES = {f.__name__: f for f in (
-    op2_toxicity, op3_suffix_array_dedup, op4_best_fit_packing, op5_simhash_near_dedup, op6_substring_dedup, op7_exact_top_k, op8_language_id,
+    op1_nn_descent_search, op2_toxicity, op3_suffix_array_dedup, op4_best_fit_packing, op5_simhash_near_dedup, op6_substring_dedup, op7_exact_top_k, op8_language_id,
     op10_warc_merkle_audit,
 )}
 ORACLE_SQL: dict[str, str] = {"op7_exact_top_k": OP7_SQL, "op10_warc_merkle_audit": OP10_SQL}
