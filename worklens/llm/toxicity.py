@@ -164,8 +164,8 @@ def _layout(n_words: list[int]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(text), np.concatenate(place)
 
 
-def fit(texts: list[str], labels: list[int], *, epochs=6, batch=64, rate=0.01, n_vocab=4000, seed=7) -> Network:
-    """Train on texts in memory (a bounded sample)."""
+def fit(texts: list[str], labels: list[int], *, epochs=6, steps=240, batch=64, rate=0.01, n_vocab=4000, seed=7) -> Network:
+    """Train on texts in memory (a bounded sample): `epochs` passes over them, or more until there were `steps` batches."""
     rng = np.random.default_rng(seed)
     words = [WORD.findall(t.lower()) for t in texts]
     known = [i for i, w in enumerate(words) if w]
@@ -193,7 +193,7 @@ def fit(texts: list[str], labels: list[int], *, epochs=6, batch=64, rate=0.01, n
     ids = [np.array([at[v] for v in w], np.int64) for w in words]
     moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
     step = 0
-    weight = np.where(y == 1, 1.0, 1.0).astype(np.float32)
+    epochs = max(epochs, -(-steps // max(1, len(ids) // batch)))
     for epoch in range(epochs):
         for part in np.array_split(rng.permutation(len(ids)), max(1, len(ids) // batch)):
             text, place = _layout([len(ids[i]) for i in part])
@@ -209,7 +209,7 @@ def fit(texts: list[str], labels: list[int], *, epochs=6, batch=64, rate=0.01, n
             order = np.lexsort((-logit, text))
             best = order[np.searchsorted(text[order], np.arange(len(part)))]
             out, state = net.run(rows[which[best]], place[best] >= 0, keep=True)
-            d = ((_sigmoid(out) - y[part]) * weight[part] / len(part)).astype(np.float32)
+            d = ((_sigmoid(out) - y[part]) / len(part)).astype(np.float32)
             grad, dg = net.back(d, state)
             flat_w, flat_d = which[best].ravel(), dg.reshape(-1, 6 * H)
             real = flat_w < len(uniq)
