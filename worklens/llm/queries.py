@@ -6,6 +6,7 @@ from .ann import op1_nn_descent_search
 from .bitslice import OP7_SQL, op7_exact_top_k
 from .langid import op8_language_id
 from .packing import op4_best_fit_packing
+from .pieces import op9_sentencepiece_sampling
 from .simhash import op5_simhash_near_dedup
 from .substring_dedup import op6_substring_dedup
 from .suffix_dedup import op3_suffix_array_dedup
@@ -14,6 +15,6 @@ from .warc import OP10_SQL, op10_warc_merkle_audit
 
 QUERIES = {f.__name__: f for f in (
     op1_nn_descent_search, op2_toxicity, op3_suffix_array_dedup, op4_best_fit_packing, op5_simhash_near_dedup, op6_substring_dedup, op7_exact_top_k, op8_language_id,
-    op10_warc_merkle_audit,
+    op9_sentencepiece_sampling, op10_warc_merkle_audit,
 )}
 ORACLE_SQL: dict[str, str] = {"op7_exact_top_k": OP7_SQL, "op10_warc_merkle_audit": OP10_SQL}
