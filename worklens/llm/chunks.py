@@ -25,13 +25,14 @@ LAST = np.iinfo(np.int64).max  # stands for a null id: no document is larger
 class Chunks:
     """Documents as chunk (long), id (long), text (binary), and the number of buckets that suits their size."""
 
-    def __init__(self, docs: DataFrame, id_col: str, text_col: str):
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str, carry: list[str] | None = None):
         spark = docs.sparkSession
         size = docs.agg(F.sum(F.octet_length(F.col(text_col))).alias("n")).first().n or 0
         self.n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // CHUNK))
         self.buckets = max(1, 2 * self.n)
         named = F.col(id_col).cast("long")
-        self.texts = docs.select(F.pmod(F.xxhash64(named, F.lit("chunk")), F.lit(self.n)).alias("chunk"), F.coalesce(named, F.lit(LAST)).alias("id"), named.isNull().alias("unnamed"), F.col(text_col).cast("binary").alias("text"))
+        extra = [] if carry is None else [F.struct(F.lit(None).cast("int").alias("_wl"), *[F.when(F.lit(True), F.col(f"`{c}`")).alias(c) for c in carry]).alias("row")]
+        self.texts = docs.select(F.pmod(F.xxhash64(named, F.lit("chunk")), F.lit(self.n)).alias("chunk"), F.coalesce(named, F.lit(LAST)).alias("id"), named.isNull().alias("unnamed"), F.col(text_col).cast("binary").alias("text"), *extra)
 
     def each(self, work: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
         return self.texts.groupBy("chunk").applyInArrow(work, schema)

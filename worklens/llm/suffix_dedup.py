@@ -80,8 +80,8 @@ def surroundings(t: Texts, at: np.ndarray, doc: np.ndarray, min_len: int) -> tup
     out = np.empty((len(at), -(-width // 8) * 8), np.uint8)
     out[:, width:] = PAD
     cols = np.arange(width)
-    for a in range(0, len(at), 1 << 17):
-        s = slice(a, a + (1 << 17))
+    for a in range(0, len(at), 1 << 14):
+        s = slice(a, a + (1 << 14))
         where = first[s, None] + cols
         inside = (where >= t.start[doc[s], None]) & (where < t.end[doc[s], None])
         out[s, :width] = np.where(inside, t.raw[np.clip(where, 0, len(t.raw) - 1)], PAD)
@@ -197,11 +197,14 @@ def _scan(rows, which, member, at, begin, end, least, min_len, width):
     return member[place], at[place], at[place] + np.repeat(length, n), np.repeat(low, n)
 
 
-def removed_spans(docs: DataFrame, *, id_col="doc_id", text_col="text", min_len=50) -> DataFrame:
-    """Per row of `docs`: id, n_bytes, spans (the maximal removed runs, array of begin and end), kept (the remaining bytes)."""
+def removed_spans(docs: DataFrame, *, id_col="doc_id", text_col="text", min_len=50, carry: list[str] | None = None) -> DataFrame:
+    """Per row of `docs`: id, n_bytes, spans (the maximal removed runs, array of begin and end), kept (the remaining bytes).
+
+    With `carry`, names of other columns, `row` holds these, kept_text the remaining text, and void says that the text was null.
+    """
     if not K <= min_len <= 200:
         raise ValueError(f"min_len must be from {K} to 200")
-    chunks = Chunks(docs, id_col, text_col)
+    chunks = Chunks(docs, id_col, text_col, carry)
     buckets, width = chunks.buckets, -(-(2 * min_len - K) // 8) * 8
 
     def hashes(table: pa.Table) -> pa.Table:
@@ -275,18 +278,38 @@ def removed_spans(docs: DataFrame, *, id_col="doc_id", text_col="text", min_len=
             out.append(([{"begin": int(a), "end": int(b)} for a, b in turn], (raw[~mask] if len(turn) else raw).tobytes()))
         ids = pa.array(t.ids, mask=t.unnamed)
         spans = pa.array([x[0] for x in out], pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())])))
-        return pa.table({"id": ids, "n_bytes": pa.array(t.end - t.start), "spans": spans, "kept": pa.array([x[1] for x in out], pa.binary())})
+        cols = {"id": ids, "n_bytes": pa.array(t.end - t.start), "spans": spans, "kept": pa.array([x[1] for x in out], pa.binary())}
+        if carry is not None:
+            cols["kept"] = pa.nulls(len(ids), pa.binary())
+            cols |= {"kept_text": pa.array([x[1].decode("utf-8", "ignore") for x in out], pa.string()), "void": table.column("text").is_null(), "row": table.column("row")}
+        return pa.table(cols)
 
     seen = shared(chunks.each(hashes, OFFER))
     brought = chunks.with_notes(seen, bring, "bucket long, from long, ids binary, rows binary")
     found = brought.groupBy("bucket").applyInArrow(compare, "chunk long, hash binary, begin binary, end binary, least binary")
-    return chunks.with_notes(found, cut, "id long, n_bytes long, spans array<struct<begin:long,end:long>>, kept binary")
+    schema = "id long, n_bytes long, spans array<struct<begin:long,end:long>>, kept binary"
+    if carry is not None:
+        schema += f", kept_text string, void boolean, row {chunks.texts.schema['row'].dataType.simpleString()}"
+    return chunks.with_notes(found, cut, schema)
 
 
 def sha256_hex(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
 
 
+def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, min_len: int = 50) -> DataFrame:
+    """Pipeline stage: every document keeps the part of its text that op3 keeps, be it empty; a null text stays null, n_chars follows the text.
+
+    A cut can part a character of several bytes; what is left of such a character goes too.
+    """
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    found = removed_spans(docs, min_len=min_len, carry=rest).withColumn("text", F.when(~F.col("void"), F.col("kept_text")))
+    columns = {"doc_id": F.col("id"), "text": F.col("text")} | {c: F.col(f"row.`{c}`") for c in rest}
+    if "n_chars" in rest:
+        columns["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return found.select(*[columns[c].alias(c) for c in docs.columns])
+
+
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = removed_spans(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     n_removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["begin"])
