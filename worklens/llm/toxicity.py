@@ -6,7 +6,8 @@ unit scores the window. Windows overlap: one starts at every `STRIDE` words. A t
 training follows that: the gradient goes through the window that scores highest.
 
 Training takes a bounded sample of labelled texts: about `n_toxic` and `n_clean` by hash of the id, none over `max_chars`
-characters. Embeddings begin at the sample's log odds. Labels, lang, source and ids are never inputs.
+characters. Embeddings begin at how
+far counts in the sample's toxic texts stand from chance. Labels, lang, source and ids are never inputs.
 
 Cases: a null or empty text, or one without a word, scores 0; without a label of each kind every text
 scores 0. A label that is null doesn't count; of repeated labels for one id the largest holds. Rows with a null id are scored.
@@ -31,7 +32,7 @@ from .common import remainder, slices
 WORD = re.compile(r"[^\W_]+")
 WIDTH, STRIDE = 40, 30
 D, H = 8, 8  # size of each embedding, of each direction's state
-GRAMS, SLOTS = (3, 4, 5), 1 << 14
+GRAMS, SLOTS = (3, 4, 5), 1 << 17
 MEMO = 300_000
 BATCH = 2048
 
@@ -181,15 +182,21 @@ def fit(texts: list[str], labels: list[int], *, epochs=6, steps=240, batch=64, r
     distinct = names
     at = {w: i for i, w in enumerate(distinct)}
     x, (own, slot, word) = net.inputs(distinct)
-    # begin at the log odds of words and n-grams in the sample's texts
-    odds = lambda a, b: np.log((a + 1) / (n1 + 2)) - np.log((b + 1) / (n0 + 2))
-    net.p["words"][: len(vocab), 0] = np.array([odds(seen[1][w], seen[0][w]) for w in vocab], np.float32).clip(-3, 6) / 3
+    # begin at how far a word's or n-gram's count in toxic texts stands from chance, in standard deviations; what
+    # fewer than 3 texts hold stays at zero
+    def odd(a, b):
+        hope = n1 * (a + b) / (n1 + n0)
+        return np.clip((a - hope) / np.sqrt(hope * n0 / (n1 + n0) + 1), -3, 8) / 4
+
+    net.p["words"][: len(vocab), 0] = [odd(seen[1][w], seen[0][w]) for w in vocab]
     begin = np.searchsorted(word, np.arange(len(distinct) + 1))
     counts = np.zeros((2, SLOTS))
     for w, label in zip(words, y, strict=True):
         got = np.unique(np.concatenate([slot[begin[i] : begin[i + 1]] for i in {at[v] for v in w}]))
         counts[int(label), got] += 1
-    net.p["grams"][:, 0] = odds(counts[1], counts[0]).clip(-3, 6).astype(np.float32) / 3
+    net.p["grams"][:, 0] = odd(counts[1], counts[0])
+    live = counts.sum(axis=0) >= 3
+    net.p["grams"] *= live[:, None]
     ids = [np.array([at[v] for v in w], np.int64) for w in words]
     moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
     step = 0
@@ -218,19 +225,23 @@ def fit(texts: list[str], labels: list[int], *, epochs=6, steps=240, batch=64, r
             dx = np.zeros_like(x)
             np.add.at(dx, flat_w, flat_d @ net.p["wx"].T)
             hit = np.flatnonzero(np.abs(dx).sum(axis=1))
-            grad["words"], grad["grams"] = np.zeros_like(net.p["words"]), np.zeros_like(net.p["grams"])
+            grad["words"] = np.zeros_like(net.p["words"])
             np.add.at(grad["words"], u_own[hit], dx[hit, :D])
             grad["words"][-1] = 0
             scale = 1 / np.sqrt(np.bincount(u_word, minlength=len(uniq)).clip(1))
-            touched = np.isin(u_word, hit)
-            np.add.at(grad["grams"], u_slot[touched], (dx[:, D:] * scale[:, None]).astype(np.float32)[u_word[touched]])
+            touched = np.isin(u_word, hit) & live[u_slot]
+            some, to = np.unique(u_slot[touched], return_inverse=True)
+            grad["grams"] = np.zeros((len(some), D), np.float32)
+            np.add.at(grad["grams"], to, (dx[:, D:] * scale[:, None]).astype(np.float32)[u_word[touched]])
             step += 1
             now = rate * (1 - epoch / (epochs + 1))
             for k, g in grad.items():
-                m, v = moment[k]
-                m += 0.1 * (g - m)
-                v += 0.01 * (g * g - v)
-                net.p[k] -= (now * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
+                at_rows = some if k == "grams" else slice(None)
+                m, v = (x[at_rows] for x in moment[k])
+                m = m + 0.1 * (g - m)
+                v = v + 0.01 * (g * g - v)
+                moment[k][0][at_rows], moment[k][1][at_rows] = m, v
+                net.p[k][at_rows] -= (now * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
     return net
 
 
