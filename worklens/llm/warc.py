@@ -12,6 +12,8 @@ replica has shows as `extra`. No pages, no rows. Extra columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -23,21 +25,38 @@ FILE_BYTES = 64 << 20
 END = "\r\n\r\n"
 
 
-def records(pages: DataFrame, *, id_col="page_id", url_col="url", body_col="html", file_bytes=FILE_BYTES) -> DataFrame:
-    """id, file, n, begin, end, record: the WARC records of `pages` with their places in files of about `file_bytes`."""
-    body = F.coalesce(F.col(body_col), F.lit(""))
-    url = F.coalesce(F.col(url_col), F.lit(""))
-    record = F.concat(
+def record_text(id_col="page_id", url_col="url", body_col="html") -> Column:
+    """A page as a WARC record, without the empty line that ends it."""
+    body, url = F.coalesce(F.col(body_col), F.lit("")), F.coalesce(F.col(url_col), F.lit(""))
+    return F.concat(
         F.lit("WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:sha256:"), F.sha2(F.concat_ws("\n", F.col(id_col).cast("string"), url, body), 256),
         F.lit(">\r\nWARC-Target-URI: "), url, F.lit("\r\nContent-Type: text/html\r\nContent-Length: "), F.octet_length(body).cast("string"), F.lit(END), body,
     )
-    rows = pages.select(F.col(id_col).cast("long").alias("id"), record.alias("record"))
-    size = rows.agg(F.sum(F.octet_length("record") + len(END)).alias("n")).first().n or 0
-    rows = rows.withColumn("file", F.pmod(F.xxhash64("id"), F.lit(max(1, -(-size // file_bytes)))))
-    order = Window.partitionBy("file").orderBy(F.col("id").asc_nulls_first(), "record")
-    end = F.sum(F.octet_length("record") + len(END)).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    placed = rows.select("id", "file", (F.row_number().over(order) - 1).cast("long").alias("n"), end.alias("end"), "record")
-    return placed.select("id", "file", "n", (F.col("end") - F.octet_length("record") - len(END)).alias("begin"), "end", "record")
+
+
+def placed(rows: DataFrame, *, file_bytes=FILE_BYTES) -> DataFrame:
+    """`rows` (id, size, hash, ...) with file, n, begin, end: dealt to files of about `file_bytes`, in the order of ids."""
+    total = rows.agg(F.sum("size").alias("n")).first().n or 0
+    rows = rows.withColumn("file", F.pmod(F.xxhash64("id"), F.lit(max(1, -(-total // file_bytes)))))
+    order = Window.partitionBy("file").orderBy(F.col("id").asc_nulls_first(), "hash")
+    end = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("n", (F.row_number().over(order) - 1).cast("long")).withColumn("end", end)
+    return rows.withColumn("begin", F.col("end") - F.col("size")).drop("size")
+
+
+def manifest(pages: DataFrame, *, id_col="page_id", url_col="url", body_col="html", file_bytes=FILE_BYTES, **hashes: Callable[[Column], Column]) -> DataFrame:
+    """id, file, n, begin, end, hash of each page's record, and a column for each further hash of it. Records are hashed where they are read; only the hashes move."""
+    record = record_text(id_col, url_col, body_col)
+    columns = {k: f(record) for k, f in hashes.items()}
+    rows = pages.select(F.col(id_col).cast("long").alias("id"), (F.octet_length(record) + len(END)).cast("long").alias("size"), F.sha2(record, 256).alias("hash"), *[c.alias(k) for k, c in columns.items()])
+    return placed(stash(rows), file_bytes=file_bytes)
+
+
+def records(pages: DataFrame, *, id_col="page_id", url_col="url", body_col="html", file_bytes=FILE_BYTES) -> DataFrame:
+    """id, file, n, begin, end, hash, record: the WARC records of `pages` with their places."""
+    record = record_text(id_col, url_col, body_col)
+    rows = pages.select(F.col(id_col).cast("long").alias("id"), (F.octet_length(record) + len(END)).cast("long").alias("size"), F.sha2(record, 256).alias("hash"), record.alias("record"))
+    return placed(rows, file_bytes=file_bytes)
 
 
 def write_warc(recs: DataFrame, path: str) -> None:
@@ -68,26 +87,20 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInArrow(parse, "file long, begin long, end long, header string, body binary")
 
 
-def leaves(recs: DataFrame, content: Column | None = None) -> DataFrame:
-    """file, n, begin, end, hash of each record."""
-    return recs.select("id", "file", "n", "begin", "end", F.sha2(F.col("record") if content is None else content, 256).alias("hash"))
-
-
 def tree(leaf: DataFrame, height: int) -> list[DataFrame]:
     """The levels of the trees of all files, leaves first: file, n, begin, end, hash."""
-    levels = [leaf.select("file", "n", "begin", "end", "hash")]
+    levels = [stash(leaf.select("file", "n", "begin", "end", "hash"))]
     for _ in range(height):
         child = F.struct("n", "begin", "end", "hash")
         up = levels[-1].groupBy("file", F.expr(f"n div {FAN}").alias("up")).agg(F.array_sort(F.collect_list(child)).alias("c"))
         text = F.array_join(F.transform("c", lambda c: F.concat_ws(":", c["n"], c["begin"], c["end"], c["hash"])), "|")
         up = up.select("file", F.col("up").alias("n"), F.array_min("c.begin").alias("begin"), F.array_max("c.end").alias("end"), F.sha2(text, 256).alias("hash"))
-        levels.append(up)
+        levels.append(stash(up))
     return levels
 
 
 def audit(first: DataFrame, second: DataFrame) -> DataFrame:
     """file, n, begin, end, finding (changed, missing, extra) for each record in which two replicas' leaves differ."""
-    first, second = stash(first), stash(second)
     most = first.select("n").union(second.select("n")).agg(F.max("n").alias("n")).first().n
     height = 0
     while most is not None and FAN**height <= most:
@@ -108,11 +121,11 @@ def audit(first: DataFrame, second: DataFrame) -> DataFrame:
 
 def op10_warc_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Audit a replica of the archive of all pages in which Spark has damaged every 97th page (by id) and lost every 211th."""
-    recs = stash(records(spark.read.parquet(f"{sf_dir}/pages.parquet")))
-    damaged = F.when(F.col("id") % 97 == 13, F.concat("record", F.lit("\x00"))).otherwise(F.col("record"))
-    replica = leaves(recs.filter(F.coalesce(F.col("id") % 211 != 5, F.lit(True))), damaged)
-    found = audit(leaves(recs), replica)
-    return found.join(recs.select("file", "n", "id").hint("merge"), ["file", "n"]).select(F.col("id").alias("page_id"), "finding", (F.col("end") - F.col("begin")).alias("n_bytes"))
+    damaged = lambda record: F.sha2(F.when(F.col("page_id") % 97 == 13, F.concat(record, F.lit("\x00"))).otherwise(record), 256)
+    both = stash(manifest(spark.read.parquet(f"{sf_dir}/pages.parquet"), replica=damaged))
+    replica = both.filter(F.coalesce(F.col("id") % 211 != 5, F.lit(True))).select("file", "n", "begin", "end", F.col("replica").alias("hash"))
+    found = audit(both, replica)
+    return found.join(both.select("file", "n", "id").hint("merge"), ["file", "n"]).select(F.col("id").alias("page_id"), "finding", (F.col("end") - F.col("begin")).alias("n_bytes"))
 
 
 OP10_SQL = """
