@@ -1,6 +1,911 @@
-"""Registered queries over the given tables, one for each operator, and the SQL that must agree with them."""
+"""Registered queries over the given tables, at least one for each operator, and the SQL that must agree with them."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import redact as R
+from .functions.pricing import cost, resolve_tier
+from .functions.times import parse_time
+from .operators import actions, citations, cluster, compact, cost as costs, kanon, keyed, query as q, release, sessionize, similarity, skills, trends
+from .plans import views
+from .plans.views import COMPACTIONS_SQL, TURNS_SQL
+from .sources import transcripts
+from .streaming.live import gap_sessions
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+GAP, CAP = 8 * 3600, 24 * 3600  # users of the events table pause for hours
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def stamp(c: str):
+    return F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+
+
+def split(spark, d) -> DataFrame:
+    return sessionize.split_turns(views.turns(spark, d), gap=GAP, cap=CAP)
+
+
+def sessions(spark, d) -> DataFrame:
+    return sessionize.sessions(split(spark, d), keep=("project", "actor"))
+
+
+SPLIT_SQL = f"""
+with recursive t as ({TURNS_SQL}), f as (
+  select transcript, seq, ts, ts as anchor, 1 as segment, cast(null as varchar) as opened_by from t where seq = 0
+  union all
+  select transcript, seq, ts, case when why is null then anchor else ts end, case when why is null then segment else segment + 1 end, why from (
+    select t.transcript, t.seq, t.ts, f.anchor, f.segment,
+      case when t.ts - f.ts > interval 8 hour then 'gap' when t.ts - f.anchor > interval 24 hour then 'cap' end as why
+    from f join t on t.transcript = f.transcript and t.seq = f.seq + 1)
+), x as (
+  select t.*, f.segment, f.opened_by, t.transcript || case when f.segment > 1 then '.' || f.segment else '' end as session_id from t join f using (transcript, seq)
+), s as (
+  select session_id as id, transcript, segment, min(project) as project, min(actor) as actor, min(ts) as started_at, max(ts) as ended_at, count(*) as turn_count, max(opened_by) as opened
+  from x group by all
+), m as (
+  select session_id, arg_max(model, seq) as model, cast(sum(tokens_in) as bigint) as tokens_in, cast(sum(tokens_out) as bigint) as tokens_out,
+    cast(sum(cache_creation_tokens) as bigint) as cache_creation_tokens, cast(sum(cache_read_tokens) as bigint) as cache_read_tokens from x group by session_id
+), c as (
+  select *, case when model like '%haiku%' then 'haiku' when model like '%opus%' then 'opus' else 'sonnet' end as tier,
+    cast(round(case when model like '%haiku%' then tokens_in * 0.80 + tokens_out * 4.00 + cache_creation_tokens * 1.00 + cache_read_tokens * 0.08
+      when model like '%opus%' then tokens_in * 15.00 + tokens_out * 75.00 + cache_creation_tokens * 18.75 + cache_read_tokens * 1.50
+      else tokens_in * 3.00 + tokens_out * 15.00 + cache_creation_tokens * 3.75 + cache_read_tokens * 0.30 end) as double) / 1e6 as usd from m
+)
+"""
+
+
+# ---- sessions, cost and k-anonymity over the event log
+
+
+@query(SPLIT_SQL + """
+select transcript, id, cast(segment as bigint) as segment, turn_count, coalesce(lead(opened) over (partition by transcript order by segment), 'open') as ended_reason,
+  lag(id) over (partition by transcript order by segment) as resumed_from,
+  strftime(started_at, '%Y-%m-%d %H:%M:%S') as started, strftime(ended_at, '%Y-%m-%d %H:%M:%S') as ended from s
+""")
+def sessionize_gap_cap(spark, d):
+    """Sessions by pause and length."""
+    rows = sessions(spark, d)
+    return rows.select("transcript", "id", "segment", "turn_count", "ended_reason", "resumed_from", stamp("started_at").alias("started"), stamp("ended_at").alias("ended"))
+
+
+@query(SPLIT_SQL + "select session_id, count(*) as n, cast(sum(seq) as bigint) as places, max(opened_by) as opened_by from x group by session_id")
+def turn_sessions(spark, d):
+    """Which session each turn falls into."""
+    return split(spark, d).groupBy("session_id").agg(F.count("*").alias("n"), F.sum("seq").alias("places"), F.max("opened_by").alias("opened_by"))
+
+
+@query(SPLIT_SQL + "select session_id, model, tokens_in, tokens_out, cache_creation_tokens, cache_read_tokens, tier, usd from c")
+def session_cost(spark, d):
+    """W7, A1, A2, J4, J11."""
+    return costs.session_cost(split(spark, d))
+
+
+@query(SPLIT_SQL + """
+select project as bucket, cast(count(*) as bigint) as session_count, count(distinct actor) as contributors, round(sum(usd), 4) as cost
+from s join c on c.session_id = s.id group by project having count(distinct actor) >= 4
+""")
+def kanon_project_rollup(spark, d):
+    """Sessions, cost and contributors of each project with four people or more."""
+    x = split(spark, d)
+    rows = sessionize.sessions(x, keep=("project", "actor")).join(costs.session_cost(x).withColumnRenamed("session_id", "id").hint("merge"), "id")
+    out = kanon.rollup(rows, dims=("project",), cost="usd").filter("kind = 'project' and shown")
+    return out.select("bucket", "session_count", "contributors", F.round("total_cost", 4).alias("cost"))
+
+
+@query(SPLIT_SQL + """
+, n as (select s.id, s.project, s.started_at, c.tier, c.usd from s join c on c.session_id = s.id order by started_at desc, id limit 200)
+select id, project, tier, usd, (select round(sum(usd), 4) from n) as total from n
+""")
+def cost_table(spark, d):
+    """Newest 200 sessions and their total."""
+    x = split(spark, d)
+    rows = costs.cost_table(sessionize.sessions(x, keep=("project",)), costs.session_cost(x), newest=200)
+    return rows.select("id", "project", "tier", "usd", F.round("total_usd", 4).alias("total"))
+
+
+@query(f"with t as ({TURNS_SQL}) select transcript, seq, tool_name from t qualify row_number() over (partition by transcript order by seq) <= 3")
+def head_turns(spark, d):
+    """The first turns of each transcript."""
+    return q.head_tail(views.turns(spark, d), by="transcript", head=3).select("transcript", "seq", "tool_name")
+
+
+@query(f"with t as ({TURNS_SQL}) select transcript, seq, tool_name from t qualify row_number() over (partition by transcript order by seq desc) <= 2")
+def tail_turns(spark, d):
+    """The last turns of each transcript."""
+    return q.head_tail(views.turns(spark, d), by="transcript", tail=2).select("transcript", "seq", "tool_name")
+
+
+@query(SPLIT_SQL + "select count(distinct transcript) as files, count(*) as sessions, cast(sum(turn_count) as bigint) as turns from s")
+def ingest_summary(spark, d):
+    """A10."""
+    return q.ingest_summary(sessions(spark, d))
+
+
+@query(f"""with t as ({TURNS_SQL}) select transcript as session_id, case when bool_or(tool_name = 'Edit') then 'implementation' when bool_or(tool_name = 'Bash') then 'ops'
+  when bool_or(tool_name is not null) then 'exploration' else 'conversation' end as task_type from t group by transcript""")
+def task_types(spark, d):
+    """A11, U2."""
+    return actions.task_type(views.turns(spark, d).withColumn("session_id", F.col("transcript")))
+
+
+@query(f"""with t as ({TURNS_SQL}), m as (select *, epoch_us(ts) as us from t where tool_name is not null)
+select transcript, seq, tool_name, count(*) over (partition by transcript, tool_name order by us range between 86400000000 preceding and current row) as seen from m qualify seen >= 3""")
+def tool_loops(spark, d):
+    """The same tool three times within a day."""
+    return trends.loops(views.turns(spark, d), by="transcript", seconds=86_400).select("transcript", "seq", "tool_name", "seen")
+
+
+@query(f"with t as ({TURNS_SQL}) select transcript, tool_name, count(*) as errors from t where role = 'tool' group by all having count(*) >= 3")
+def stuck_sessions(spark, d):
+    """Z4."""
+    return trends.stuck(views.turns(spark, d), by="transcript")
+
+
+@query(f"""with t as ({TURNS_SQL}), g as (select transcript, ts, case when ts - lag(ts) over w > interval 8 hour then 1 else 0 end as b, seq from t window w as (partition by transcript order by ts)),
+n as (select transcript, ts, sum(b) over (partition by transcript order by ts, seq) as k from g)
+select transcript, strftime(min(ts), '%Y-%m-%d %H:%M:%S') as started, strftime(max(ts), '%Y-%m-%d %H:%M:%S') as ended, count(*) as turn_count from n group by transcript, k""")
+def live_gap_sessions(spark, d):
+    """R2, in batch form: session windows."""
+    rows = gap_sessions(views.turns(spark, d), gap="8 hours")
+    return rows.select("transcript", stamp("started_at").alias("started"), stamp("ended_at").alias("ended"), "turn_count")
+
+
+@query("select event_id, cast(json_extract(props, '$.k') as bigint) as k from events")
+def props_by_path(spark, d):
+    """JSON fields by path, tolerant of bad text."""
+    return views.table(spark, d, "events").select("event_id", F.try_variant_get(F.try_parse_json("props"), "$.k", "bigint").alias("k"))
+
+
+# ---- queries over compactions
+
+C = f"with c as ({COMPACTIONS_SQL}) "
+ELIGIBLE = f"with c as ({COMPACTIONS_SQL}), e as (select * from c where released and mode <> 'personal') "
+
+
+def comps(spark, d):
+    return views.compactions(spark, d)
+
+
+def owners(spark, d):
+    """Sessions behind the compactions; every 13th is unknown."""
+    return comps(spark, d).filter("key % 13 <> 0").select(F.col("session_id").alias("id"), "mode", "actor", "project", "started_at")
+
+
+KNOWN = f"with c as ({COMPACTIONS_SQL}), e as (select * from c where released and mode <> 'personal' and key % 13 <> 0) "
+
+
+@query(C + "select id, actor, project from c where actor = 'a7' and surface = 'codex' order by started_at desc, id limit 50")
+def list_sessions(spark, d):
+    """Q1."""
+    return q.listing(comps(spark, d), actor="a7", surface="codex", limit=50).select("id", "actor", "project")
+
+
+@query(C + "select id, outcome from c where released and outcome = 'success' order by started_at desc, id limit 100")
+def list_compactions(spark, d):
+    """Q3."""
+    return q.listing(comps(spark, d), released=True, outcome="success", limit=100).select("id", "outcome")
+
+
+@query(C + "select id, outcome, started_at::varchar as at from c where org_id = 'org2' and released and coalesce(source, 'full') = 'full' and started_at >= '1996-03-01' and started_at < '1998-07-02'")
+def org_query(spark, d):
+    """Q6, Q7, Q10, Q11: an unknown outcome doesn't filter."""
+    rows = q.org_query(comps(spark, d), org_id="org2", outcome="maybe", since="1996-03-01", until="1998-07-01", source="full")
+    return rows.select("id", "outcome", stamp("started_at").alias("at"))
+
+
+@query(C + ", n as (select * from c order by started_at desc, id limit 5000) select count(*) as n, count(distinct actor) as people from n where started_at >= '1998-01-01'")
+def recent_capped(spark, d):
+    """Q8, Q9: the newest so many, then those of a window."""
+    from datetime import UTC, datetime
+
+    rows = q.recent(comps(spark, d), datetime(1998, 1, 1, tzinfo=UTC), scan_limit=5000)
+    return rows.agg(F.count("*").alias("n"), F.count_distinct("actor").alias("people"))
+
+
+@query(C + "select id from c where org_id = 'org1' and team_id = 'team6' and released")
+def owned_compactions(spark, d):
+    """Q12."""
+    return q.owned(comps(spark, d), "org1", "team6").select("id")
+
+
+@query(C + "select id, project from c where id = 'comp-s77'")
+def compaction_lookup(spark, d):
+    """Q5."""
+    return q.lookup(comps(spark, d), id="comp-s77").select("id", "project")
+
+
+@query(f"with t as ({TURNS_SQL}) select seq, tool_name from t where transcript = 'u5'")
+def one_sessions_turns(spark, d):
+    """Q2."""
+    rows = views.turns(spark, d).withColumn("session_id", F.col("transcript"))
+    return q.session_turns(rows, "u5").select("seq", "tool_name")
+
+
+@query(f"with t as ({TURNS_SQL}) select transcript, count(*) as n from t group by 1")
+def count_turns(spark, d):
+    """Q14."""
+    return views.turns(spark, d).groupBy("transcript").agg(F.count("*").alias("n"))
+
+
+@query(C + "select session_id as id from c where mode <> 'personal' and key % 3 <> 1")
+def pending_sessions(spark, d):
+    """Q13."""
+    rows = comps(spark, d).withColumn("id", F.col("session_id"))
+    return q.pending(rows, rows.filter("key % 3 = 1")).select("id")
+
+
+@query(C + "select session_id as id, coalesce(key % 3 = 1, false) as compacted from c order by started_at desc, session_id limit 200")
+def review_list(spark, d):
+    """Q15."""
+    rows = comps(spark, d).withColumn("id", F.col("session_id"))
+    return q.review(rows, rows.filter("key % 3 = 1")).select("id", "compacted")
+
+
+@query(C + "select project, count(*) as sessions from c group by project")
+def insights_by_project(spark, d):
+    """A3."""
+    return _insights(spark, d)["by_project"]
+
+
+@query(C + "select outcome, count(*) as compactions from c group by outcome")
+def insights_by_outcome(spark, d):
+    """A3."""
+    return _insights(spark, d)["by_outcome"]
+
+
+@query(C + "select round(sum(u), 4) as total_usd from (select est_cost_usd as u from c order by started_at desc, session_id limit 300)")
+def insights_cost(spark, d):
+    """A3: cost of the newest 300 sessions."""
+    return _insights(spark, d)["cost"]
+
+
+@query(C + "select id, 'point ' || key as description from c where key % 4 = 0 order by started_at desc, id limit 5")
+def insights_friction(spark, d):
+    """A3."""
+    return _insights(spark, d)["friction"].select("id", "description")
+
+
+def _insights(spark, d):
+    c = views.friction(comps(spark, d))
+    s = c.withColumn("id", F.col("session_id"))
+    return q.insights(s, c, c.select("session_id", F.col("est_cost_usd").alias("usd")), cost_sessions=300)
+
+
+@query(C + """, r as (select org_id, unnest([{'k': 'project', 'b': project}, {'k': 'outcome', 'b': outcome}, {'k': 'total', 'b': null}], recursive := true), actor, est_cost_usd from c where released)
+select org_id, k as kind, b as bucket, cast(count(*) as bigint) as session_count, count(distinct actor) as contributors, round(sum(est_cost_usd), 2) as cost, count(distinct actor) >= 4 as shown from r group by all""")
+def org_rollup(spark, d):
+    """A4, A5, P10: buckets and totals of every org in one pass."""
+    rows = kanon.rollup(comps(spark, d).filter("released"), by=("org_id",))
+    return rows.select("org_id", "kind", "bucket", "session_count", "contributors", F.round("total_cost", 2).alias("cost"), "shown")
+
+
+RARE = "case when key % 500 = 1 then 'rare' || (key % 7) else project end"
+
+
+@query(f"with c as (select * replace ({RARE} as project) from ({COMPACTIONS_SQL})) select id from c where project in (select project from c group by 1 having count(distinct actor) >= 4) and outcome in (select outcome from c group by 1 having count(distinct actor) >= 4)")
+def visible_rows(spark, d):
+    """Rows whose buckets have four people, with some rare projects."""
+    rows = comps(spark, d).withColumn("project", F.expr(RARE.replace("||", "||")))
+    return kanon.visible(rows).select("id")
+
+
+@query(C + "select org_id, strftime(time_bucket(interval 7 day, started_at, timestamp '1970-01-01'), '%Y-%m-%d') as week, count(distinct actor) as contributors, count(distinct actor) < 4 as insufficient from c where released group by 1, 2")
+def answerable_weeks(spark, d):
+    """A5: weeks of an org with too few people for an answer."""
+    rows = comps(spark, d).filter("released").withColumn("week", F.date_format(F.window("started_at", "7 days")["start"], "yyyy-MM-dd"))
+    return kanon.answerable(rows, by=("org_id", "week"))
+
+
+@query(C + """select org_id, count(distinct team_id) as teams, count(*) filter (where released) as compactions, count(*) filter (where key % 10 = 3) as pending from c group by 1""")
+def org_overview(spark, d):
+    """A8."""
+    rows = comps(spark, d)
+    queue = rows.select("org_id", F.when(F.col("key") % 10 == 3, "pending").otherwise("approved").alias("status"))
+    return q.org_overview(rows, rows, queue, rows)
+
+
+@query(C + "select org_id, id, row_number() over (partition by org_id order by started_at desc, id) as rank from c qualify rank <= 5")
+def audit_feed(spark, d):
+    """Newest five rows of each org."""
+    return q.top_per_group(comps(spark, d), "org_id", "started_at", 5, "id").select("org_id", "id", F.col("rank").cast("long").alias("rank"))
+
+
+@query(C + "select id, outcome, case when key % 4 = 0 then ['loop', 'tool_error', 'abandon', 'retry', 'deadend'][key % 5 + 1] end as friction from c")
+def friction_tags(spark, d):
+    """A12."""
+    rows = views.friction(comps(spark, d))
+    return rows.select("id", "session_id").join(actions.friction_tags(rows), "session_id").select("id", "outcome", "friction")
+
+
+@query(C + "select 'week' as period, strftime(time_bucket(interval 7 day, started_at, timestamp '1970-01-01'), '%Y-%m-%d') as week, outcome, count(*) as sessions, count(distinct actor) as contributors, round(sum(est_cost_usd), 2) as cost from c group by all")
+def weekly_digest(spark, d):
+    """Z5, Z6."""
+    rows = trends.weekly(comps(spark, d), by=("outcome",))
+    return rows.select(F.lit("week").alias("period"), F.date_format("week", "yyyy-MM-dd").alias("week"), "outcome", "sessions", "contributors", F.round("cost", 2).alias("cost"))
+
+
+@query(C + """, w as (select team_id, time_bucket(interval 7 day, started_at, timestamp '1970-01-01') as week, round(sum(est_cost_usd), 2) as cost from c group by all), l as (select *, lag(cost) over (partition by team_id order by week) as b from w)
+select team_id, strftime(week, '%Y-%m-%d') as week from l where cost >= 2 * b""")
+def cost_jumps(spark, d):
+    """Z7."""
+    rows = trends.cost_jumps(trends.weekly(comps(spark, d), by=("team_id",)), by=("team_id",))
+    return rows.select("team_id", F.date_format("week", "yyyy-MM-dd").alias("week"))
+
+
+# ---- release
+
+
+@query(KNOWN + "select id from e")
+def release_gate(spark, d):
+    """Released, of a known session, not personal."""
+    return release.eligible(comps(spark, d), owners(spark, d)).select("id")
+
+
+def _ledger(spark, d):
+    return comps(spark, d).filter("key % 6 < 2").select(F.col("id").alias("compaction_id"), F.when(F.col("key") % 6 == 0, F.col("started_at")).alias("synced_at"), F.when(F.col("key") % 6 == 1, F.col("started_at")).alias("raw_synced_at"))
+
+
+@query(KNOWN + "select id from e where key % 6 <> 0")
+def unsynced_rows(spark, d):
+    """J2, U1."""
+    return release.unsynced(release.eligible(comps(spark, d), owners(spark, d)), _ledger(spark, d)).select("id")
+
+
+@query(KNOWN + "select id from e where key % 6 <> 1")
+def unsynced_raw(spark, d):
+    """Raw transcripts have a mark of their own."""
+    return release.unsynced(release.eligible(comps(spark, d), owners(spark, d)), _ledger(spark, d), raw=True).select("id")
+
+
+SECRET_TEXT = "case when key % 3 = 0 then 'mail bob' || key || '@example.com now' when key % 3 = 1 then 'api_key = \"abcdefgh' || key || '\"' else 'nothing' end"
+CLEAN_TEXT = "case when key % 3 = 0 then 'mail [REDACTED:email] now' when key % 3 = 1 then '[REDACTED:generic_secret]\"' else 'nothing' end"
+
+
+@query(KNOWN + f"select id, {CLEAN_TEXT} as approach, project from e where key % 6 <> 0")
+def release_batch(spark, d):
+    """What a sync sends, redacted."""
+    rows = comps(spark, d).withColumn("approach", F.expr(SECRET_TEXT))
+    return release.release_batch(rows, owners(spark, d), _ledger(spark, d)).select("id", "approach", "project")
+
+
+@query(C + f"select org_id, team_id, id as compaction_id, 0 as seq, {CLEAN_TEXT} as content from c where released")
+def raw_export(spark, d):
+    """Redacted turns as JSON lines."""
+    rows = comps(spark, d).filter("released")
+    turns = rows.select("session_id", F.lit(0).alias("seq"), F.expr(SECRET_TEXT).alias("content"))
+    lines = release.raw_export(rows, turns)
+    return lines.select("org_id", "team_id", "compaction_id", "seq", F.get_json_object("value", "$.content").alias("content"))
+
+
+@query(C + "select org_id || '::' || id as id, 'real' || (key % 9) as actor, org_id from c where released and key % 2 = 1 union all select 'org0::old' as id, 'x' as actor, 'org0' as org_id")
+def org_ingest(spark, d):
+    """The actor comes from the credential; keys get the org before them."""
+    rows = comps(spark, d).filter("released and key % 2 = 1").withColumn("credential", F.concat("org_id", F.lit("/"), F.col("key") % 9))
+    who = rows.select("credential", F.concat(F.lit("real"), F.element_at(F.split("credential", "/"), 2)).alias("actor"), "org_id", F.lit("t").alias("team_id")).distinct()
+    stored = spark.createDataFrame([("org0::old", "x", "org0", "t", True)], "id string, actor string, org_id string, team_id string, released boolean")
+    return release.org_ingest(stored, rows.select("id", "actor", "org_id", "team_id", "released", "credential"), who).select("id", "actor", "org_id")
+
+
+@query(C + "select id as compaction_id from c where released and key % 4 <> 2")
+def raw_allowed(spark, d):
+    """Uploads of released compactions by their own team."""
+    rows = comps(spark, d)
+    stored = rows.select("org_id", "team_id", "released", F.concat("org_id", F.lit("::"), "id").alias("id"))
+    uploads = rows.select("org_id", F.when(F.col("key") % 4 == 2, "other").otherwise(F.col("team_id")).alias("team_id"), F.col("id").alias("compaction_id"))
+    return release.raw_allowed(uploads, stored).select("compaction_id")
+
+
+@query(C + "select org_id, count(*) as pending from c where key % 10 = 3 group by 1")
+def proposal_queue(spark, d):
+    """S11."""
+    empty = spark.createDataFrame([], "id string, action_id string, org_id string, team_id string, payload string, created_at timestamp, status string")
+    rows = comps(spark, d).filter("key % 10 = 3").select("id", F.lit("skill").alias("action_id"), "org_id", "team_id", F.lit("{}").alias("payload"), F.col("started_at").alias("created_at"))
+    return release.enqueue(empty, rows).filter("status = 'pending'").groupBy("org_id").agg(F.count("*").alias("pending"))
+
+
+@query(C + ", a as (select id, substr(repeat(id || ' ', 60), 1, 500) as query, 2 as citation_count, started_at from c where org_id = 'org3') select id, length(query) as n, cast(citation_count as bigint) as citation_count from a order by started_at desc, id limit 100")
+def query_audit(spark, d):
+    """Text cut to 500 characters, newest 100."""
+    empty = spark.createDataFrame([], "id string, org_id string, query string, insufficient boolean, citation_count long, created_at timestamp, citations array<string>")
+    rows = comps(spark, d).select("id", "org_id", F.repeat(F.concat("id", F.lit(" ")), F.lit(60)).alias("query"), F.lit(False).alias("insufficient"), F.col("started_at").alias("created_at"), F.array("id", "session_id").alias("citations"))
+    return q.listing(release.record_query(empty, rows), time="created_at", org_id="org3", limit=100).select("id", F.length("query").cast("long").alias("n"), "citation_count")
+
+
+# ---- keyed state
+
+
+@query(C + "select key, case when key % 7 = 0 then 'new' || (key % 3 + 2) else actor end as actor from c")
+def upsert_rows(spark, d):
+    """K1: of several new rows with one key the last version wins."""
+    table = comps(spark, d).select("key", "actor", F.lit(0).alias("version"))
+    new = table.filter("key % 7 = 0").select("key", F.explode(F.array(F.lit(1), (F.col("key") % 3 + 2).cast("int"))).alias("version"))
+    rows = new.select("key", F.concat(F.lit("new"), "version").alias("actor"), "version")
+    return keyed.upsert(table, rows, ["key"], version="version").select("key", "actor")
+
+
+@query(C + "select id, case when key % 9 = 0 then 'personal' else mode end as mode from c")
+def set_mode(spark, d):
+    """K2: unknown keys change nothing."""
+    rows = comps(spark, d)
+    new = rows.filter("key % 9 = 0").select("id").union(spark.createDataFrame([("nobody",)], "id string")).withColumn("mode", F.lit("personal"))
+    return keyed.set_values(rows, new, ["id"]).select("id", "mode")
+
+
+@query(C + "select id, released or key % 10 = 5 as released, case when key % 10 = 5 then strftime(started_at, '%Y-%m-%d %H:%M:%S') end as at from c")
+def release_toggle(spark, d):
+    """K6."""
+    rows = comps(spark, d).withColumn("released_at", F.lit(None).cast("timestamp"))
+    return keyed.release(rows, rows.filter("key % 10 = 5"), when=F.col("started_at")).select("id", "released", stamp("released_at").alias("at"))
+
+
+@query(SPLIT_SQL + "select cast(segment as bigint) as segment, count(*) as n, cast(sum(turn_count) as bigint) as turns from (select segment, turn_count from s where cast(substr(transcript, 2) as bigint) % 5 <> 0 union all select 99, 1 from (select distinct transcript from s where cast(substr(transcript, 2) as bigint) % 5 = 0)) group by 1")
+def replace_families(spark, d):
+    """K3, U4: the families of some transcripts replaced by one session each."""
+    s = sessions(spark, d).select(F.col("transcript").alias("base_session_id"), "segment", "turn_count")
+    new = s.filter("cast(substr(base_session_id, 2) as bigint) % 5 = 0").select("base_session_id").distinct().select("base_session_id", F.lit(99).cast("long").alias("segment"), F.lit(1).cast("long").alias("turn_count"))
+    return keyed.replace_family(s, s, new, new)[0].groupBy("segment").agg(F.count("*").alias("n"), F.sum("turn_count").alias("turns"))
+
+
+@query(SPLIT_SQL + "select 0 as \"table\", count(*) as removed from s where transcript in ('u1', 'u2', 'u3') union all select 1, count(*) from x where transcript in ('u1', 'u2', 'u3')")
+def delete_families(spark, d):
+    """K4."""
+    x = split(spark, d)
+    tables = [sessionize.sessions(x).withColumnRenamed("transcript", "base_session_id"), x.withColumnRenamed("transcript", "base_session_id")]
+    return keyed.delete_family(tables, spark.createDataFrame([("u1",), ("u2",), ("u3",)], "base_session_id string"))[1]
+
+
+@query(C + "select id as compaction_id, key % 6 = 0 or key % 5 = 2 as synced, key % 6 = 1 as raw from c where key % 6 < 2 or key % 5 = 2")
+def sync_ledger(spark, d):
+    """K5: one mark is set, the other stays."""
+    rows = keyed.mark_synced(_ledger(spark, d), comps(spark, d).filter("key % 5 = 2"), F.current_timestamp())
+    return rows.select("compaction_id", F.col("synced_at").isNotNull().alias("synced"), F.col("raw_synced_at").isNotNull().alias("raw"))
+
+
+@query(C + ", k as (select org_id || ':' || actor || ':auto-tag' as id, case when key % 2 = 0 then 'opt_out' else 'opt_in' end as state, started_at, key from c) select id, arg_max(state, (started_at, key)) as state from k group by id")
+def consent_table(spark, d):
+    """K7: the latest decision under org:subject:category."""
+    rows = comps(spark, d).select("org_id", F.col("actor").alias("subject"), F.lit("auto-tag").alias("action_category"), F.when(F.col("key") % 2 == 0, "opt_out").otherwise("opt_in").alias("state"), F.struct("started_at", "key").alias("set_at"))
+    empty = rows.limit(0).withColumn("id", F.lit("").cast("string"))
+    return keyed.set_consent(empty, rows).select("id", "state")
+
+
+# ---- redaction of texts
+
+
+def _re2(p: str) -> str:
+    return p.replace("'", "''")
+
+
+def _redact_sql(column: str) -> str:
+    for name, p in R.patterns():
+        column = f"regexp_replace({column}, '{_re2(p)}', '[REDACTED:{name}]', 'g')"
+    return column
+
+
+@query(f"select doc_id, md5({_redact_sql('text')}) as redacted from documents")
+def redact_texts(spark, d):
+    """P2, P9."""
+    return views.table(spark, d, "documents").select("doc_id", F.md5(R.redact(F.col("text"))).alias("redacted"))
+
+
+@query("select * from (select doc_id, array_to_string(list_filter([" + ", ".join(f"case when regexp_matches(text, '{_re2(p)}') then '{n}' end" for n, p in R.patterns()) + "], lambda x: x is not null), ',') as found from documents) where found <> ''")
+def detect_in_texts(spark, d):
+    """P3."""
+    rows = views.table(spark, d, "documents").select("doc_id", F.array_join(R.detect(F.col("text")), ",").alias("found"))
+    return rows.filter("found <> ''")
+
+
+COMMAND = "case doc_id % 5 when 0 then 'git push origin main --force' when 1 then 'rm -rf /tmp/' || doc_id when 2 then 'delete from t' || doc_id || ';' when 3 then 'git reset --hard' else substr(text, 1, 40) end"
+
+
+@query(f"with x as (select doc_id, {COMMAND} as c from documents) select doc_id, cast(" + " + ".join(f"regexp_matches(c, '{_re2(p)}')::int" for p in R.APPROVAL) + " as int) as hits from x")
+def approval_commands(spark, d):
+    """P7."""
+    rows = views.table(spark, d, "documents").select("doc_id", F.expr(COMMAND).alias("c"))
+    return rows.select("doc_id", F.size(R.approval_required(F.col("c"))).alias("hits"))
+
+
+PATH = "case doc_id % 4 when 0 then '/app/.env' when 1 then '/home/u' || doc_id || '/id_rsa' when 2 then '/app/main' || doc_id || '.py' else '/k/' || doc_id || '.pem' end"
+
+
+@query(f"with x as (select doc_id, {PATH} as p from documents) select doc_id, " + " or ".join(f"regexp_matches(p, '{_re2(p)}')" for p in R.SENSITIVE) + " as hit from x")
+def sensitive_paths(spark, d):
+    """P8."""
+    rows = views.table(spark, d, "documents").select("doc_id", F.expr(PATH).alias("p"))
+    return rows.select("doc_id", R.sensitive_path(F.col("p")).alias("hit"))
+
+
+@query("select event_id, case when event_id % 3 = 0 then '[REDACTED:email]' else 'ok' end as inner_text from events")
+def redact_nested(spark, d):
+    """Strings and keys inside JSON."""
+    text = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("u"), "event_id", F.lit("@example.org"))).otherwise(F.lit("ok"))
+    rows = views.table(spark, d, "events").select("event_id", F.to_json(F.struct(F.struct(F.array(text).alias("list")).alias("a"))).alias("j"))
+    return rows.select("event_id", F.get_json_object(R.redact_json(F.col("j")), "$.a.list[0]").alias("inner_text"))
+
+
+# ---- citations
+
+
+def _narratives(spark, d):
+    """A narrative for every compaction: whole ids, prefixes and ambiguous pieces."""
+    rows = comps(spark, d)
+    return rows.select(F.col("id").alias("query_id"), F.concat(F.lit("done ["), "id", F.lit(", comp-s"), F.expr("key div 10"), F.lit("] and ["), F.expr("substr(id, 1, length(id) - 1)"), F.lit("].")).alias("text"))
+
+
+def _visible(spark, d):
+    """Up to eleven rows for each narrative: its own order and those next to it."""
+    rows = comps(spark, d).select(F.col("id").alias("query_id"), F.explode(F.sequence(F.col("key"), F.col("key") + 10)).alias("key"))
+    return rows.join(comps(spark, d).select("key", "id"), "key").select("query_id", "id", F.col("key").alias("rank"))
+
+
+CITE = C + """, n as (select id as query_id, 'done [' || id || ', comp-s' || (key // 10) || '] and [' || substr(id, 1, length(id) - 1) || '].' as text from c),
+v as (select n.query_id, c.id, c.key as rank from n join c on c.key between cast(substr(n.query_id, 7) as bigint) and cast(substr(n.query_id, 7) as bigint) + 10),
+l as (select query_id, unnest(regexp_extract_all(text, '\\[([^\\]]+)\\]', 1)) as l from n),
+p as (select distinct query_id, unnest(regexp_split_to_array(l, '[,\\s]+')) as piece from l),
+h as (select p.query_id, piece, min(v.id) as id, min(rank) as rank from p join v on v.query_id = p.query_id and starts_with(v.id, piece) where piece <> '' group by 1, 2 having count(distinct v.id) = 1)
+"""
+
+
+@query(CITE + "select query_id, piece from p where piece <> ''")
+def cited_pieces(spark, d):
+    """C1."""
+    return citations.cited_pieces(_narratives(spark, d))
+
+
+@query(CITE + "select distinct query_id, id, rank from h")
+def resolved_citations(spark, d):
+    """By whole id or unique prefix."""
+    return citations.resolve(_narratives(spark, d), _visible(spark, d))
+
+
+@query(CITE + ", g as (select query_id, string_agg(id, ',' order by rank) as citations from (select distinct query_id, id, rank from h) group by 1) select n.query_id, coalesce(citations, '') as citations, citations is not null as grounded from n left join g using (query_id)")
+def grounded_narratives(spark, d):
+    """C3."""
+    return citations.grounded(_narratives(spark, d), _visible(spark, d)).withColumn("citations", F.array_join("citations", ","))
+
+
+@query(CITE + ", g as (select distinct query_id from h) select query_id, cast(substr(query_id, 7) as bigint) % 100 = 0 or query_id not in (select query_id from g) as insufficient from n")
+def grounded_answers(spark, d):
+    """M8, A5: withheld below the floor or without a citation."""
+    n = _narratives(spark, d)
+    roll = n.select("query_id", (F.substring("query_id", 7, 99).cast("long") % 100 == 0).alias("insufficient"))
+    return citations.answers(roll, n, _visible(spark, d)).select("query_id", "insufficient")
+
+
+# ---- digests
+
+
+def _talk(spark, d):
+    return views.table(spark, d, "conversations").select(F.concat(F.lit("c"), "conv_id").alias("session_id"), F.col("turn").alias("seq"), "role", F.col("text").alias("content"), F.lit(None).cast("string").alias("tool_output"), F.lit(None).cast("string").alias("tool_name"))
+
+
+@query("select 'c' || conv_id as session_id, turn as seq, case when length(coalesce(text, '')) > 600 then substr(text, 1, 600) || '…' else coalesce(text, '') end as text from conversations")
+def turn_texts(spark, d):
+    """M1."""
+    return _talk(spark, d).select("session_id", "seq", compact.turn_text().alias("text"))
+
+
+@query("select 'c' || conv_id as session_id, least(count(*), 400) as turns, case when conv_id % 2 = 0 then 'summary' else 'full' end as kind from conversations group by conv_id")
+def prompt_table(spark, d):
+    """M2: prompts from turns, or from a summary and the last turns."""
+    t = _talk(spark, d)
+    s = t.groupBy(F.col("session_id").alias("id")).agg(F.count("*").alias("turn_count")).withColumns({"project": F.lit("p"), "surface": F.lit("codex")})
+    summaries = s.filter("cast(substr(id, 2) as bigint) % 2 = 0").select(F.col("id").alias("session_id"), F.lit("so far").alias("summary"))
+    rows = compact.prompts(s, t, summaries)
+    n = F.least(F.regexp_extract("prompt", r"turns=(\d+)", 1).cast("long"), F.lit(400))
+    return rows.select("session_id", n.alias("turns"), F.when(F.col("prompt").contains("PRIOR_SUMMARY"), "summary").otherwise("full").alias("kind"))
+
+
+RAW = """case key % 4 when 0 then '{"task_intent": "fix ' || key || '", "outcome": "success", "artifacts": ["a.py", true, 3]}'
+  when 1 then 'Sure {like this}: {"task_intent": "found ' || key || '", "outcome": "odd"} done' when 2 then 'no json' else '{"friction_points": [{"category": "loop", "description": "x"}, {"category": "bad", "description": "y"}]}' end"""
+
+
+@query(C + """select session_id, case key % 4 when 0 then 'fix ' || key when 1 then 'found ' || key end as task_intent, case when key % 4 = 0 then 'success' else 'partial' end as outcome,
+  case when key % 4 = 0 then 'a.py,3' else '' end as artifacts, cast(case when key % 4 = 3 then 1 else 0 end as int) as n_friction from c""")
+def parsed_responses(spark, d):
+    """M3, M5: defensive parsing of responses."""
+    rows = compact.parsed(comps(spark, d).select("session_id", F.expr(RAW).alias("raw")))
+    return rows.select("session_id", "task_intent", "outcome", F.array_join("artifacts", ",").alias("artifacts"), F.size("friction_points").alias("n_friction"))
+
+
+@query(C + """select 'comp-' || session_id as id, case key % 4 when 0 then 'fix ' || key when 1 then 'found ' || key else 'say ' || key end as task_intent, cast(key % 86400 as double) as duration_seconds,
+  case when key % 5 = 1 then 'v0-summary' else 'v0' end as prompt_version, round(key % 1000 * 3.0 / 1e6, 6) as est_cost_usd from c""")
+def assembled_compactions(spark, d):
+    """M6, M7: compactions from sessions, turns and responses."""
+    c = comps(spark, d)
+    s = c.select(F.col("session_id").alias("id"), "actor", "surface", "project", "started_at", F.expr("timestampadd(SECOND, cast(key % 86400 as int), started_at)").alias("ended_at"))
+    zero = {k: F.lit(None).cast("long") for k in ("tokens_out", "cache_creation_tokens", "cache_read_tokens")}
+    t = c.select("session_id", F.lit(0).alias("seq"), F.lit("user").alias("role"), F.concat(F.lit("say "), "key").alias("content"), F.lit("x-sonnet").alias("model"), (F.col("key") % 1000).alias("tokens_in")).withColumns(zero)
+    summaries = c.filter("key % 5 = 1").select("session_id", F.lit("s").alias("summary"))
+    rows = compact.assemble(s, t, c.select("session_id", F.expr(RAW).alias("raw")), summaries)
+    return rows.select("id", "task_intent", "duration_seconds", "prompt_version", "est_cost_usd")
+
+
+# ---- similarity, clusters, skills
+
+
+def _short(spark, d):
+    """Titles (a document's title is its first line), with an actor and a session each."""
+    words = F.split_part("text", F.lit("\n"), F.lit(1))
+    return views.table(spark, d, "documents").select(
+        F.col("doc_id").alias("id"), F.concat(F.lit("a"), F.col("doc_id") % 17).alias("actor"), F.concat(F.lit("s"), "doc_id").alias("session_id"), words.alias("task_intent"), F.lit("").alias("approach"),
+        F.timestamp_seconds(F.lit(1_700_000_000) - F.col("doc_id")).alias("started_at"), F.lit("p").alias("project"), (F.col("doc_id") % 2 == 0).alias("released"),
+    )
+
+
+SHORT = r"""with recursive w as (select doc_id as id, split_part(text, chr(10), 1) as t from documents where text is not null),
+k as (select id, unnest(regexp_extract_all(lower(t), '[a-z0-9]+')) as tok from w), b as (select id, cast(('0x' || right(sha256(tok), 8)) as bigint) % 256 as bucket, cast(count(*) as double) as n from k where length(tok) >= 2 group by 1, 2),
+e as (select id, bucket, n / sqrt(sum(n * n) over (partition by id)) as weight from b),
+s as (select x.id as a, y.id as b, sum(x.weight * y.weight) as sim from e x join e y on x.bucket = y.bucket and x.id < y.id group by 1, 2 having sum(x.weight * y.weight) >= 0.777)
+"""
+
+
+@query(SHORT + "select id, cast(bucket as int) as bucket, round(weight, 9) as weight from e")
+def text_embeddings(spark, d):
+    """Sparse hashed token vectors."""
+    return similarity.embed(_short(spark, d), text=F.col("task_intent")).select("id", "bucket", F.round("weight", 9).alias("weight"))
+
+
+@query(SHORT + "select a, b, round(sim, 6) as sim from s")
+def similar_texts(spark, d):
+    """All pairs at a cosine of 0.777."""
+    rows = similarity.similar_pairs(similarity.embed(_short(spark, d), text=F.col("task_intent")), 0.777)
+    return rows.select("a", "b", F.round("sim", 6).alias("sim"))
+
+
+@query("""with v as (select vec_id, list_transform(embedding, lambda x: cast(x as double)) as v from embeddings where embedding is not null) select x.vec_id as a, y.vec_id as b, round(list_cosine_similarity(x.v, y.v), 6) as sim
+from v x join v y on x.vec_id < y.vec_id where list_cosine_similarity(x.v, y.v) >= 0.4""")
+def similar_vectors(spark, d):
+    """E2, J7 for dense vectors, block by block."""
+    return similarity.dense_pairs(views.table(spark, d, "embeddings"), 0.4, id_col="vec_id").select("a", "b", F.round("sim", 6).alias("sim"))
+
+
+@query("select vec_id, 1.0 :: double as own from embeddings")
+def own_cosine(spark, d):
+    """E2."""
+    v = F.transform("embedding", lambda x: x.cast("double"))
+    return views.table(spark, d, "embeddings").select("vec_id", F.round(similarity.cosine(v, v), 9).alias("own"))
+
+
+def _communities(spark, d):
+    rows = _short(spark, d)
+    vectors = similarity.embed(rows, text=F.col("task_intent"))
+    members = cluster.communities(rows.select("id", F.col("id").alias("ordinal")), similarity.similar_pairs(vectors, 0.777))
+    return rows, vectors, members
+
+
+@query()
+def text_communities(spark, d):
+    """Greedy communities of similar titles."""
+    return _communities(spark, d)[2]
+
+
+@query(SHORT + """, u as (select a, b from s union all select b, a from s union all select id, id from w), r as (select a, b from u union select r.a, u.b from r join u on u.a = r.b) select a as id, min(b) as component from r group by a""")
+def similarity_components(spark, d):
+    """The components that bound the greedy choice."""
+    rows = _short(spark, d)
+    pairs = similarity.similar_pairs(similarity.embed(rows, text=F.col("task_intent")), 0.777)
+    return cluster.component_labels(rows.filter("task_intent is not null").select("id"), pairs)
+
+
+@query()
+def community_stats(spark, d):
+    """Size, people, sessions and cohesion of recurring communities."""
+    rows, vectors, members = _communities(spark, d)
+    stats = cluster.recurring(cluster.cluster_stats(members, rows), min_contributors=2, min_sessions=2)
+    return stats.join(cluster.cohesion(members, vectors), "cluster").select("cluster", "size", F.size("contributors").alias("people"), "cohesion")
+
+
+@query()
+def mined_proposals(spark, d):
+    """Proposals from recurring titles, names dropped."""
+    rows = skills.mine_org(_short(spark, d), threshold=0.8, min_contributors=4)
+    return rows.select("cluster", "name", "contributor_count", "session_count", "confidence", "content_hash")
+
+
+NAME = "case doc_id % 4 when 0 then 'Fix the Claude Bug ' || doc_id when 1 then 'antclaudehropic tool ' || doc_id when 2 then '--' else lower('ok-' || doc_id) end"
+
+
+@query("select doc_id, case doc_id % 4 when 0 then 'fix-the-bug-' || doc_id when 1 then 'tool-' || doc_id when 2 then 'mined-skill' else 'ok-' || doc_id end as slug from documents")
+def slugs(spark, d):
+    """E7."""
+    return views.table(spark, d, "documents").select("doc_id", skills.slugify(F.expr(NAME)).alias("slug"))
+
+
+@query("select doc_id, case when doc_id % 4 = 0 then 'characters,reserved' when doc_id % 4 = 1 then 'characters,reserved' when doc_id % 4 = 2 then '' else '' end as errors from documents")
+def name_checks(spark, d):
+    """E8."""
+    rows = views.table(spark, d, "documents").select("doc_id", F.expr(NAME.replace("'Fix the Claude Bug '", "'Fix the claude Bug '")).alias("name"))
+    return rows.select("doc_id", F.array_join(skills.name_errors(F.col("name")), ",").alias("errors"))
+
+
+@query("select doc_id, case when length(t) > 1024 then rtrim(substr(t, 1, 1023)) || '…' else t end as description from (select doc_id, trim(regexp_replace(regexp_replace(coalesce(text, ''), '<[^>]+>', '', 'g'), '[\\x00-\\x1f\\x7f-\\x{9f}]', '', 'g')) as t from documents)")
+def repaired_descriptions(spark, d):
+    """E9."""
+    rows = views.table(spark, d, "documents").select("doc_id", F.lit("n").alias("name"), F.col("text").alias("description"), F.lit("b").alias("body"))
+    return skills.repair(rows).select("doc_id", "description")
+
+
+@query(C + ", p as (select distinct 'n' || (key % 50) as name, 'h' || (key % 200) as h from c), e as (select distinct 'n' || (key % 50) as name, 'h' || (key % 200) as h from c where key % 1000 = 1), f as (select * from p except select * from e), t as (select name, count(*) as taken from e group by 1), r as (select name, h, row_number() over (partition by name order by h) + coalesce(taken, 0) as n from f left join t using (name)) select name, h as content_hash, case when n = 1 then name else name || '-' || n end as folder from r")
+def proposal_folders(spark, d):
+    """Other content under a name gets -2, -3, ...; the same content is there already."""
+    rows = comps(spark, d).select("key", F.concat(F.lit("n"), F.col("key") % 50).alias("name"), F.concat(F.lit("h"), F.col("key") % 200).alias("content_hash"))
+    stored = rows.filter("key % 1000 = 1").select("name", "content_hash").distinct()
+    return skills.file_names(stored, rows.select("name", "content_hash")).select("name", "content_hash", "folder")
+
+
+@query()
+def prior_work(spark, d):
+    """The most similar earlier titles of the same project."""
+    rows = _short(spark, d)
+    return trends.prior_work(similarity.similar_pairs(similarity.embed(rows, text=F.col("task_intent")), 0.7), rows).select("id", "other", F.round("sim", 6).alias("sim"), "rank")
+
+
+@query()
+def own_solutions(spark, d):
+    """Z3: an actor's own released titles that are similar."""
+    rows = _short(spark, d)
+    return trends.own_solutions(similarity.similar_pairs(similarity.embed(rows, text=F.col("task_intent")), 0.777), rows).select("id", "other", F.round("sim", 6).alias("sim"))
+
+
+# ---- actions
+
+
+@query(C + "select session_id, actor, strftime(started_at, '%Y-%m-%d %H:%M:%S') as at from c")
+def closed_events(spark, d):
+    """X1."""
+    rows = comps(spark, d).select(F.col("session_id").alias("id"), "actor", "started_at", F.lit(None).cast("timestamp").alias("ended_at"))
+    return actions.closed_events(rows).select("session_id", "actor", stamp("at").alias("at"))
+
+
+def _audit(spark, d):
+    return comps(spark, d).filter("key % 20 = 0").select("id", F.lit("auto-tag").alias("action_id"), "actor", F.col("started_at").alias("fired_at"), F.when(F.col("key") % 40 == 0, "fired").otherwise("suppressed").alias("outcome"))
+
+
+@query(C + "select actor, strftime(max(started_at), '%Y-%m-%d %H:%M:%S') as last from c where key % 40 = 0 group by actor")
+def last_fired(spark, d):
+    """Only fired rows count."""
+    return q.last_fired(_audit(spark, d)).select("actor", stamp("last_fired_at").alias("last"))
+
+
+def _dispatched(spark, d, **options):
+    c = comps(spark, d)
+    events = c.select("session_id", "actor", F.col("started_at").alias("at"))
+    s = c.filter("key % 13 <> 0").select(F.col("session_id").alias("id"), "mode")
+    consent = spark.createDataFrame([("a3", "auto-tag", "opt_out"), ("a4", "other", "opt_out"), ("a5", "auto-tag", "opt_in")], "subject string, action_category string, state string")
+    results = c.select("session_id", F.lit("fired").alias("outcome"), F.lit("session_closed").alias("trigger_condition"), (F.col("key") % 100 / 100).alias("confidence"), F.lit("{}").alias("details"), F.when(F.col("key") % 17 == 0, "ValueError").alias("error"))
+    return actions.dispatch(events, s, consent, _audit(spark, d), results, action_id="auto-tag", **options)
+
+
+@query(C + """select session_id, case when key % 13 = 0 then 'session_unresolved' when mode = 'personal' then 'personal_mode_excluded' when actor = 'a3' then 'consent_opt_out'
+  when key % 17 = 0 then 'error:ValueError' when key % 100 < 30 then 'below_confidence_threshold' else 'session_closed' end as trigger_condition from c""")
+def gate_chain(spark, d):
+    """The first gate that stops an event, in order."""
+    return _dispatched(spark, d, threshold=0.3).select("session_id", "trigger_condition")
+
+
+@query()
+def cooldown_chain(spark, d):
+    """Only what fires resets the clock, also within the batch."""
+    rows = _dispatched(spark, d, cooldown=30 * 86_400)
+    return rows.groupBy("actor", "trigger_condition").agg(F.count("*").alias("n"))
+
+
+@query(C + "select session_id as id, project, case when key % 2 = 0 then 'implementation' else 'conversation' end as task_type, outcome from c")
+def session_tags(spark, d):
+    """X6, X7, J5."""
+    c = views.friction(comps(spark, d))
+    s = c.select(F.col("session_id").alias("id"), "project", F.lit(None).cast("map<string,string>").alias("tags"))
+    t = c.select("session_id", F.when(F.col("key") % 2 == 0, "Edit").alias("tool_name"))
+    out = actions.apply_tags(s, actions.tags(s, t, c))
+    return out.select("id", *[F.col("tags")[k].alias(k) for k in ("project", "task_type", "outcome")])
+
+
+@query(C + "select id from c where mode <> 'personal' and actor <> 'a3' and org_id <> 'org4'")
+def consent_levels(spark, d):
+    """Z8."""
+    return comps(spark, d).filter(actions.allowed(F.col("actor") == "a3", F.col("org_id") == "org4", F.col("mode") == "personal")).select("id")
+
+
+# ---- transcripts: lines made of the conversations table
+
+
+def _lines(spark, d):
+    """JSON lines: a file for each conversation; assistants call a tool in every third turn and get its result in the next line."""
+    c = views.table(spark, d, "conversations").filter("conv_id is not null and turn is not null")
+    at = F.date_format(F.timestamp_seconds(F.lit(1_700_000_000) + F.col("turn") * 60), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    call = F.to_json(F.struct(F.lit("tool_use").alias("type"), F.concat(F.lit("id"), "turn").alias("id"), F.lit("Read").alias("name"), F.struct(F.lit("f").alias("path")).alias("input")))
+    result = F.to_json(F.struct(F.lit("tool_result").alias("type"), F.concat(F.lit("id"), F.col("turn") - 1).alias("tool_use_id"), F.lit("ok").alias("content")))
+    text = F.to_json(F.struct(F.lit("text").alias("type"), F.coalesce("text", F.lit("")).alias("text")))
+    blocks = F.when((F.col("role") == "assistant") & (F.col("turn") % 3 == 1), F.concat(F.lit("["), text, F.lit(","), call, F.lit("]"))).when((F.col("role") == "user") & (F.col("turn") % 3 == 2), F.concat(F.lit("["), result, F.lit("]"))).otherwise(F.concat(F.lit("["), text, F.lit("]")))
+    usage = F.when(F.col("role") == "assistant", F.lit(', "usage": {"input_tokens": 10, "output_tokens": 2}')).otherwise(F.lit(""))
+    raw = F.concat(F.lit('{"type": "'), "role", F.lit('", "timestamp": "'), at, F.lit('", "cwd": "/w/proj'), F.col("conv_id") % 5, F.lit('", "message": {"model": "m", "content": '), blocks, usage, F.lit("}}"))
+    junk = F.when(F.col("turn") % 4 == 3, F.lit("{broken")).otherwise(F.lit(""))
+    rows = c.select(F.concat(F.lit("/t/p/c"), "conv_id", F.lit(".jsonl")).alias("path"), F.timestamp_seconds(F.lit(1_700_000_000)).alias("mtime"), F.posexplode(F.array(raw, junk)).alias("k", "raw"), "turn")
+    return rows.select("path", "mtime", (F.col("turn") * 2 + F.col("k")).cast("int").alias("line_no"), "raw")
+
+
+LINES = "with c as (select * from conversations where conv_id is not null and turn is not null and role in ('user', 'assistant')) "
+TURN_COUNT = """sum(case when role = 'assistant' and turn % 3 = 1 then 1 else 0 end + case when role = 'user' and turn % 3 = 2 then 1 when role = 'user' then 1 when trim(coalesce(text, ''), ' ') <> '' then 1
+  when turn % 3 = 1 then 0 else 1 end)"""
+
+
+@query(LINES + f"select 'c' || conv_id as stem, cast({TURN_COUNT} as bigint) as turns, cast(count(*) filter (where role = 'assistant') * 10 as bigint) as tokens_in, count(*) filter (where role = 'user' and turn % 3 = 2) as results from c group by conv_id")
+def flattened_transcripts(spark, d):
+    """Turns of tolerant lines; usage counts once a line."""
+    rows = transcripts.flatten(transcripts.objects(_lines(spark, d)))
+    out = rows.groupBy(transcripts.stem(F.col("path")).alias("stem"))
+    return out.agg(F.count("*").alias("turns"), F.coalesce(F.sum("tokens_in"), F.lit(0)).alias("tokens_in"), F.count(F.when(F.col("role") == "tool", 1)).alias("results"))
+
+
+@query(LINES + ", r as (select conv_id, turn, exists (select 1 from c x where x.conv_id = c.conv_id and x.turn = c.turn - 1 and x.role = 'assistant' and x.turn % 3 = 1) as paired from c where role = 'user' and turn % 3 = 2) select paired, count(*) as n from r group by 1")
+def paired_results(spark, d):
+    """A result has the name of the call before it."""
+    rows = transcripts.flatten(transcripts.objects(_lines(spark, d))).filter("role = 'tool'")
+    return rows.groupBy(F.col("tool_name").isNotNull().alias("paired")).agg(F.count("*").alias("n"))
+
+
+@query("select 'c' || conv_id as stem, 'proj' || (conv_id % 5) as project from conversations where conv_id is not null and turn is not null group by conv_id")
+def transcript_facts(spark, d):
+    """S3, F10."""
+    return transcripts.file_facts(transcripts.objects(_lines(spark, d))).select("stem", "project")
+
+
+@query("select '/t/p/c' || conv_id || '.jsonl' as path, count(*) as bad from conversations where conv_id is not null and turn % 4 = 3 group by conv_id")
+def rejected_lines(spark, d):
+    """Lines that aren't JSON objects."""
+    return transcripts.rejects(_lines(spark, d)).groupBy("path").agg(F.count("*").alias("bad"))
+
+
+@query("select '/t/p/c' || conv_id || '.jsonl' as path, 'sum ' || max(turn) as summary, max(turn) as pre_tokens from conversations where conv_id is not null and turn is not null group by conv_id")
+def embedded_summaries(spark, d):
+    """The newest embedded summary and boundary."""
+    lines = _lines(spark, d)
+    turn = F.expr("line_no div 2")
+    s = F.concat(F.lit('{"type": "user", "isCompactSummary": true, "message": {"content": "sum '), turn, F.lit('"}}'))
+    b = F.concat(F.lit('{"type": "system", "subtype": "compact_boundary", "compactMetadata": {"trigger": "auto", "preTokens": '), turn, F.lit("}}"))
+    both = lines.filter("line_no % 2 = 0").select("path", "mtime", (F.col("line_no") + 1).alias("line_no"), F.explode(F.array(s, b)).alias("raw"))
+    return transcripts.summaries(lines.filter("line_no % 2 = 0").unionByName(both)).select("path", "summary", "pre_tokens")
+
+
+@query("select '/t/c' || (conv_id % 50) as path from conversations where conv_id is not null group by 1 having max(conv_id) % 3 <> 0")
+def changed_files(spark, d):
+    """Files whose time differs from the ledger's."""
+    rows = views.table(spark, d, "conversations").filter("conv_id is not null").groupBy(F.concat(F.lit("/t/c"), F.col("conv_id") % 50).alias("path")).agg(F.max("conv_id").alias("m"))
+    found = rows.select("path", F.timestamp_seconds("m").alias("mtime"))
+    ledger = rows.select("path", F.timestamp_seconds(F.when(F.col("m") % 3 == 0, F.col("m")).otherwise(F.col("m") - 1)).alias("mtime"))
+    return transcripts.changed(found, ledger).select("path")
+
+
+@query("select event_id, strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S') as at from events where event_id % 3 < 2")
+def parsed_times(spark, d):
+    """ISO times with and without separators; anything else is null."""
+    e = views.table(spark, d, "events")
+    text = F.when(F.col("event_id") % 3 == 0, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")).when(F.col("event_id") % 3 == 1, F.date_format("ts", "yyyyMMdd'T'HHmmss")).otherwise(F.lit("soon"))
+    return e.select("event_id", stamp_of(parse_time(text)).alias("at")).filter("at is not null")
+
+
+def stamp_of(c):
+    return F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+
+
+@query("""select event_id, case user_id % 3 when 0 then 'haiku' when 1 then 'sonnet' end as tier, round((event_id * case when user_id % 3 = 0 then 0.8 else 3.0 end) / 1e6, 6) as usd from events""")
+def priced_events(spark, d):
+    """Tiers and rates by name; unknown names price as sonnet, no name has no tier."""
+    m = F.when(F.col("user_id") % 3 == 0, "Some-Haiku-2").when(F.col("user_id") % 3 == 1, "gpt-9000")
+    zero = F.lit(0)
+    return views.table(spark, d, "events").select("event_id", resolve_tier(m).alias("tier"), cost(m, [F.col("event_id"), zero, zero, zero]).alias("usd"))
