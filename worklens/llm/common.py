@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,3 +62,13 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 8 <
 def remainder(id_col: str, m: int):
     """crc32 of the id as text, modulo m."""
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(m))
+
+
+def squeezed(values: np.ndarray) -> bytes:
+    """An array's bytes, compressed, for packed columns that travel."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values).tobytes())
+
+
+def spread(parts: list[bytes], kind) -> list[np.ndarray]:
+    """The arrays behind squeezed() columns."""
+    return [np.frombuffer(zstandard.ZstdDecompressor().decompress(p), kind) for p in parts]

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chunks import OFFER, Chunks, Texts, covered, is_known, known, mix, offer, shared, split
+from .common import spread, squeezed
 
 K = 20
 PAD = 255
@@ -222,13 +223,13 @@ def removed_spans(docs: DataFrame, *, id_col="doc_id", text_col="text", min_len=
             order = np.lexsort((t.ids[doc], h))
             pick = order[np.flatnonzero(np.diff(h[order], prepend=~h[order][:1]))] if len(order) else order
             where, parts = split(key[pick], buckets) if len(pick) else ([], [])
-            out = [(int(b), t.chunk, t.ids[doc[pick[p]]].tobytes(), rows[pick[p]].tobytes()) for b, p in zip(where, parts, strict=True)]
+            out = [(int(b), t.chunk, squeezed(t.ids[doc[pick[p]]]), squeezed(rows[pick[p]])) for b, p in zip(where, parts, strict=True)]
         return pa.table({n: pa.array([x[k] for x in out], kind) for k, (n, kind) in enumerate((("bucket", pa.int64()), ("from", pa.int64()), ("ids", pa.binary()), ("rows", pa.binary())))})
 
     def compare(table: pa.Table) -> pa.Table:
-        ids = [np.frombuffer(x, np.int64) for x in table.column("ids").to_pylist()]
+        ids = spread(table.column("ids").to_pylist(), np.int64)
         came = np.repeat(np.asarray(table.column("from")), [len(x) for x in ids])
-        ids, rows = np.concatenate(ids), np.frombuffer(b"".join(table.column("rows").to_pylist()), np.uint8).reshape(-1, width)
+        ids, rows = np.concatenate(ids), np.concatenate(spread(table.column("rows").to_pylist(), np.uint8)).reshape(-1, width)
         h = _hash_rows(rows)
         order = np.lexsort((ids, h))
         head = np.flatnonzero(np.diff(h[order], prepend=~h[order][:1]))
@@ -247,10 +248,10 @@ def removed_spans(docs: DataFrame, *, id_col="doc_id", text_col="text", min_len=
         return pa.table(
             {
                 "chunk": pa.array(values, pa.int64()),
-                "hash": pa.array([h[to[p]].tobytes() for p in parts], pa.binary()),
-                "begin": pa.array([begin[back[p]].astype(np.uint16).tobytes() for p in parts], pa.binary()),
-                "end": pa.array([end[back[p]].astype(np.uint16).tobytes() for p in parts], pa.binary()),
-                "least": pa.array([low[back[p]].tobytes() for p in parts], pa.binary()),
+                "hash": pa.array([squeezed(h[to[p]]) for p in parts], pa.binary()),
+                "begin": pa.array([squeezed(begin[back[p]].astype(np.uint16)) for p in parts], pa.binary()),
+                "end": pa.array([squeezed(end[back[p]].astype(np.uint16)) for p in parts], pa.binary()),
+                "least": pa.array([squeezed(low[back[p]]) for p in parts], pa.binary()),
             }
         )
 
@@ -258,7 +259,7 @@ def removed_spans(docs: DataFrame, *, id_col="doc_id", text_col="text", min_len=
         t = Texts(table)
         gone = np.zeros(len(t.raw), bool)
         if t.chunk is not None and notes.num_rows:
-            h, begin, end, least = (np.frombuffer(b"".join(notes.column(c).to_pylist()), kind) for c, kind in (("hash", np.uint64), ("begin", np.uint16), ("end", np.uint16), ("least", np.int64)))
+            h, begin, end, least = (np.concatenate(spread(notes.column(c).to_pylist(), kind)) for c, kind in (("hash", np.uint64), ("begin", np.uint16), ("end", np.uint16), ("least", np.int64)))
             order = np.argsort(h, kind="stable")
             h, begin, end, least = h[order], begin[order].astype(np.int64), end[order].astype(np.int64), least[order]
             at, doc, _ = anchors(t, min_len)
