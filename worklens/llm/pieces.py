@@ -72,7 +72,7 @@ class Lattices:
         is kept as minus its code point."""
         if not units:
             return
-        names = sorted(units)
+        names = list(units)
         code = np.frombuffer("".join(names).encode("utf-32-le"), np.uint32)
         size = np.array([len(u) for u in names], np.int64)
         end = np.repeat(np.cumsum(size), size)
@@ -143,11 +143,15 @@ class Lattices:
         return self.model.decode([int(i) for i in ids])
 
 
-def _uniform(*parts) -> np.ndarray:
+def _hash(*parts) -> np.ndarray:
     h = np.uint64(0x1234567)
     for p in parts:
         h = mix((h ^ np.asarray(p).astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
-    return ((h >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53)
+    return h
+
+
+def _gumbel(h: np.ndarray) -> np.ndarray:
+    return -np.log(-np.log(((h >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53)))
 
 
 def _capped(top: np.ndarray, g: np.ndarray, most: np.ndarray) -> np.ndarray:
@@ -159,6 +163,7 @@ def _capped(top: np.ndarray, g: np.ndarray, most: np.ndarray) -> np.ndarray:
 def _walk(lat: Lattices, node: np.ndarray, key: np.ndarray, occ: np.ndarray, depth: np.ndarray, salt: int):
     """From each node to its unit's end, always by the best child. Returns decisions (place, child), and their other
     children (decision, child, value, largest value beside it)."""
+    base = _hash(key, occ, salt)
     decided: list[tuple[np.ndarray, ...]] = []
     others: list[tuple[np.ndarray, ...]] = []
     at = np.flatnonzero(node >= 0)
@@ -170,7 +175,7 @@ def _walk(lat: Lattices, node: np.ndarray, key: np.ndarray, occ: np.ndarray, dep
         nth = np.arange(len(rep)) - begin[rep]
         child = lat.first[cur][rep] + nth
         who = at[rep]
-        g = lat.logp[child] - np.log(-np.log(_uniform(key[who], occ[who], depth[who] + step, nth, salt)))
+        g = lat.logp[child] + _gumbel(mix(base[who] ^ ((depth[who] + step) * 4096 + nth + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
         most = np.maximum.reduceat(g, begin)
         best = np.flatnonzero(g == most[rep])
         if len(best) > len(at):
@@ -197,7 +202,7 @@ def sample_texts(lat: Lattices, keys: list[int | None], texts: list[str | None],
     roots = np.fromiter(map(lat.root.__getitem__, itertools.chain.from_iterable(units)), np.int64, int(size.sum()))
     base = np.cumsum(size) - size
     key = np.array([(x or 0) & 0xFFFFFFFFFFFFFFFF for x in keys], np.uint64)
-    top = -np.log(-np.log(_uniform(key, seed)))
+    top = _gumbel(_hash(key, seed))
     out: list[list[tuple]] = [[] for _ in texts]
     queue: list[list[tuple]] = [[] for _ in texts]
     # where each text's walk begins: path so far (children), unit, node, decisions made in the unit, log probability, Gumbel value
