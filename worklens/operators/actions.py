@@ -86,9 +86,8 @@ def dispatch(events: DataFrame, sessions: DataFrame, consent: DataFrame, audit:
     e = e.join(out.hint("merge"), "actor", "left").join(results.hint("merge"), "session_id", "left")
     opted_out = F.coalesce("_out", F.lit(False))
     if org_consent is not None:
-        no = org_consent.filter((F.col("action_category") == action_id) & (F.col("state") == "opt_out")).agg(F.count("*").alias("_org_out"))
-        e = e.crossJoin(F.broadcast(no))  # one row
-        opted_out = opted_out | (F.col("_org_out") > 0)
+        no = org_consent.filter((F.col("action_category") == action_id) & (F.col("state") == "opt_out")).agg(F.count("*").alias("n"))
+        opted_out = opted_out | (no.scalar() > 0)
     gate = F.when(F.col("mode").isNull(), "session_unresolved").when(F.col("mode") == "personal", "personal_mode_excluded").when(opted_out, "consent_opt_out")
     low = F.coalesce(F.col("confidence") < F.lit(threshold), F.lit(False)) if threshold is not None else F.lit(False)
     e = e.withColumn("_gate", gate).withColumn("fires", F.col("_gate").isNull() & F.col("error").isNull() & ~low & (F.coalesce("outcome", F.lit("failed")) == "fired"))

@@ -27,4 +27,4 @@ def cost_table(sessions: DataFrame, costs: DataFrame, *, newest: int | None = No
         rows = rows.orderBy(F.desc("started_at"), "id").limit(newest)
     rows = rows.withColumn("usd", F.coalesce("usd", F.lit(0.0)))
     total = rows.agg(F.round(F.sum("usd"), 6).alias("total_usd"))
-    return rows.crossJoin(F.broadcast(total))  # one row
+    return rows.withColumn("total_usd", total.scalar())
