@@ -33,7 +33,8 @@ from .common import slices
 
 SPACE = "▁"
 UNIT = re.compile(f"{SPACE}+[^{SPACE}\n]*|\n|[^{SPACE}\n]+")
-MOST_NODES = 3_000_000
+FINE_UNIT = re.compile(f"{SPACE}+(?:[^\\W\\d_]+(?=[.,])|[^{SPACE}\n]*)|\n|[^{SPACE}\n]+")
+KEPT_NODES = 1_500_000
 SAMPLES = "id long, sample int, ids array<int>, log_prob double, gumbel double, inclusion double"
 
 
@@ -50,20 +51,26 @@ class Lattices:
         self.longest = max(map(len, self.ids))
         self.weight = {p: -math.log(10 + i) for p, i in self.ids.items()}
         self.byte = {int(self.model.id_to_piece(i)[3:5], 16): i for i in range(n) if self.model.is_byte(i)}
-        self.table: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}  # by length: hashes, ids, weights
+        # by length: hashes of all beginnings of pieces, their ids (0: a beginning only) and weights
+        self.table: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         for m in range(1, self.longest + 1):
-            pieces = [p for p in self.ids if len(p) == m]
-            code = np.frombuffer("".join(pieces).encode("utf-32-le"), np.uint32).reshape(-1, m)
-            h = np.zeros(len(pieces), np.uint64)
+            heads = sorted({p[:m] for p in self.ids if len(p) >= m})
+            code = np.frombuffer("".join(heads).encode("utf-32-le"), np.uint32).reshape(-1, m)
+            h = np.zeros(len(heads), np.uint64)
             for j in range(m):
                 h = mix(h ^ (code[:, j].astype(np.uint64) + np.uint64((j + 1) << 32)))
             order = np.argsort(h)
-            ids = np.array([self.ids[p] for p in pieces], np.int64)[order]
+            ids = np.array([self.ids.get(p, 0) for p in heads], np.int64)[order]
             self.table[m] = (h[order], ids, -np.log(10.0 + ids))
+        # a letter and a stop or comma after it can be parted if no piece holds such a pair
+        joined = any(re.search(r"[^\W\d_][.,]", p) for p in self.ids)
+        self.cut = UNIT if joined else FINE_UNIT
         self.clear()
 
     def clear(self) -> None:
         self.root: dict[str, int] = {}
+        self.passing: list[str] = []
+        self.kept: tuple | None = None
         self.first, self.count = np.zeros(0, np.int32), np.zeros(0, np.int32)  # a node's children
         self.next, self.piece, self.logp = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0)  # a child's node, -1: the end
 
@@ -86,12 +93,13 @@ class Lattices:
                 break
             h = mix(h[ok] ^ (code[at + n - 1].astype(np.uint64) + np.uint64(n << 32)))
             keys, ids, weight = self.table[n]
-            if len(keys):
-                i = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-                hit = keys[i] == h
-                found.append((at[hit], np.full(int(hit.sum()), n), ids[i[hit]], weight[i[hit]]))
-                if n == 1:
-                    single[at[hit]] = True
+            i = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+            go = np.flatnonzero(keys[i] == h)  # the others begin no piece of this length or more
+            at, h, i = at[go], h[go], i[go]
+            hit = ids[i] > 0
+            found.append((at[hit], np.full(int(hit.sum()), n), ids[i[hit]], weight[i[hit]]))
+            if n == 1:
+                single[at[hit]] = True
         bare = np.flatnonzero(~single)
         n_bytes = 1 + (code[bare] >= 0x80).astype(np.int64) + (code[bare] >= 0x800) + (code[bare] >= 0x10000)
         found.append((bare, np.ones(len(bare), np.int64), -code[bare].astype(np.int64), -math.log(10 + len(self.ids)) * n_bytes))
@@ -116,14 +124,26 @@ class Lattices:
             beta[node] = top + np.log(np.add.reduceat(np.exp(s - np.repeat(top, n)), begin))
         logp = weight + np.where(last, 0.0, beta[to]) - beta[start]
         base = len(self.first)
+        if base > KEPT_NODES:
+            self.passing = names
         self.root.update(zip(names, (np.cumsum(size) - size + base).tolist(), strict=True))
         self.first = np.append(self.first, (first + len(self.next)).astype(np.int32))
         self.count = np.append(self.count, count.astype(np.int32))
         self.next = np.append(self.next, np.where(last, -1, to + base).astype(np.int32))
         self.piece, self.logp = np.append(self.piece, piece.astype(np.int32)), np.append(self.logp, logp)
 
+    def release(self) -> None:
+        """Forget the units added after the first KEPT_NODES nodes: they were needed for one batch."""
+        if self.passing:
+            for u in self.passing:
+                del self.root[u]
+            self.passing = []
+            self.first, self.count, self.next, self.piece, self.logp = self.kept
+        elif len(self.first) > KEPT_NODES and self.kept is None:
+            self.kept = (self.first, self.count, self.next, self.piece, self.logp)
+
     def units(self, text: str | None) -> list[str]:
-        return UNIT.findall(self.model.normalize(text)) if text else []
+        return self.cut.findall(self.model.normalize(text)) if text else []
 
     def expand(self, pieces: np.ndarray) -> np.ndarray:
         bare = np.flatnonzero(pieces < 0)
@@ -195,8 +215,7 @@ def _walk(lat: Lattices, node: np.ndarray, key: np.ndarray, occ: np.ndarray, dep
 def sample_texts(lat: Lattices, keys: list[int | None], texts: list[str | None], k: int, seed: int) -> list[list[tuple]]:
     """For each text up to k of (ids, log probability, Gumbel value, inclusion)."""
     units = [lat.units(t) for t in texts]
-    if len(lat.first) > MOST_NODES:
-        lat.clear()
+    lat.release()
     lat.add(set(itertools.chain.from_iterable(units)).difference(lat.root))
     size = np.array([len(u) for u in units], np.int64)
     roots = np.fromiter(map(lat.root.__getitem__, itertools.chain.from_iterable(units)), np.int64, int(size.sum()))
