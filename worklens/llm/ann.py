@@ -66,7 +66,7 @@ def _compare(ids: np.ndarray, x: np.ndarray, worst: np.ndarray, each: int) -> tu
 class Graph:
     """nodes: id, exact (array of double), small (8-bit vector), ids (the smallest ids of that vector); edges: id, other, sim."""
 
-    def __init__(self, rows: DataFrame, *, id_col="vec_id", vec_col="embedding", k=24, rounds=4, keep_ids=6, seed=5):
+    def __init__(self, rows: DataFrame, *, id_col="vec_id", vec_col="embedding", k=24, rounds=6, keep_ids=6, seed=5):
         self.k, self.spark = k, rows.sparkSession
         x = F.col(vec_col)
         fine = x.isNotNull() & F.forall(x, lambda e: F.coalesce(~F.isnan(e) & (F.abs(e.cast("double")) < float("inf")), F.lit(False))) & F.exists(x, lambda e: e != 0)
@@ -174,8 +174,10 @@ class Graph:
         offers = met.select("center", "salt", "other", "worst", "small").groupBy(bucket).applyInArrow(run, EDGES)
         return self._merge(offers.unionByName(self.edges))
 
-    def search(self, queries: DataFrame, *, beam=96, most_rounds=12, rerank=24) -> DataFrame:
-        """id, other, score: for each node in `queries` (id) its best nodes, itself included, by the exact cosine."""
+    def search(self, queries: DataFrame, *, beam: int | None = None, most_rounds=12, rerank=24) -> DataFrame:
+        """id, other, score: for each node in `queries` (id) its best nodes, itself included, by the exact cosine. The beam grows with the
+        root of the number of nodes, unless given: at one width, recall falls as the graph grows."""
+        beam = max(96, int(self.n**0.5)) if beam is None else beam
         links, small = stash(self.both_ways()), self.nodes.select("id", "small")
         asked = stash(queries.join(small.hint("merge"), "id"))
 
