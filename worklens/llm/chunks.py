@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_bytes
+from .common import text_bytes, vacate
 
 CHUNK = 8 << 20
 LAST = np.iinfo(np.int64).max  # stands for a null id: no document is larger
@@ -46,6 +46,7 @@ class Texts:
     """A chunk's documents: ids, all bytes in a row, and where each begins and ends."""
 
     def __init__(self, table: pa.Table):
+        vacate()
         self.ids = np.asarray(table.column("id")).astype(np.int64)
         self.unnamed = np.asarray(table.column("unnamed"))
         self.raw, off = text_bytes(table.column("text"))

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own_dir: str | None = None
+_resident: dict = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -72,3 +73,16 @@ def squeezed(values: np.ndarray) -> bytes:
 def spread(parts: list[bytes], kind) -> list[np.ndarray]:
     """The arrays behind squeezed() columns."""
     return [np.frombuffer(zstandard.ZstdDecompressor().decompress(p), kind) for p in parts]
+
+
+def resident(key, make):
+    """An object that a Python worker keeps between tasks. A worker keeps one at a time: it serves one operator after another."""
+    if key not in _resident:
+        _resident.clear()
+        _resident[key] = make()
+    return _resident[key]
+
+
+def vacate() -> None:
+    """Let go of what an earlier operator kept in this worker."""
+    _resident.clear()

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
-from .common import remainder, slices
+from .common import remainder, resident, slices
 
 WORD = re.compile(r"[^\W\d_]+")
 MEMO = 400_000
@@ -114,9 +114,6 @@ class _Rows(dict):
             return out
 
 
-_models: dict[str, _Rows] = {}
-
-
 def predict(docs: DataFrame, model: dict, *, text_col="text", out=("lang_pred", "lang_score")) -> DataFrame:
     """`docs` with two columns more: the language and its share of the likelihood (0 to 1). The model is bounded by train()'s parameters."""
     spark: SparkSession = docs.sparkSession
@@ -124,10 +121,7 @@ def predict(docs: DataFrame, model: dict, *, text_col="text", out=("lang_pred",
     key = uuid.uuid4().hex
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = _models.get(key)
-        if rows is None:
-            _models.clear()
-            rows = _models[key] = _Rows(sent.value)
+        rows = resident(key, lambda: _Rows(sent.value))
         for batch in slices(batches, text_col):
             names, scores = [], []
             for text in batch.column(text_col).to_pylist():

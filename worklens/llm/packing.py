@@ -21,14 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, stash
+from .common import resident, slices, stash
 
 SPECIAL = "<|endoftext|>"
 MEMO = 500_000
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
-_tokenizers: dict[str, Tokens] = {}
-
 
 class _Unsafe(Exception):
     """A part that can't be encoded by itself."""
@@ -109,9 +107,7 @@ def pieces(docs: DataFrame, tokenizer: str, *, ranks: str | None = None, id_col=
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if tokenizer not in _tokenizers:
-            _tokenizers[tokenizer] = Tokens(tokenizer, ranks)
-        tokens = _tokenizers[tokenizer]
+        tokens = resident((tokenizer, ranks), lambda: Tokens(tokenizer, ranks))
         for batch in slices(batches, "text"):
             out: list[tuple] = []
             for i, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):

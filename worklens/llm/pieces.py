@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chunks import mix
-from .common import slices
+from .common import resident, slices
 
 SPACE = "▁"
 UNIT = re.compile(f"{SPACE}+[^{SPACE}\n]*|\n|[^{SPACE}\n]+")
@@ -278,20 +278,11 @@ def sample_texts(lat: Lattices, keys: list[int | None], texts: list[str | None],
     return result
 
 
-_lattices: dict[str, Lattices] = {}
-
-
-def _lattice(path: str) -> Lattices:
-    if path not in _lattices:
-        _lattices[path] = Lattices(path)
-    return _lattices[path]
-
-
 def sampled(docs: DataFrame, model: str, *, k=2, seed=1, id_col="doc_id", text_col="text") -> DataFrame:
     """id, sample (from 1), ids, log_prob, gumbel, inclusion: up to `k` distinct segmentations of each whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lat = _lattice(model)
+        lat = resident((model, Lattices), lambda: Lattices(model))
         for batch in slices(batches, "text", 3 << 20):
             keys = batch.column("id").to_pylist()
             got = sample_texts(lat, keys, batch.column("text").to_pylist(), k, seed)
@@ -308,7 +299,7 @@ def decoded(rows: DataFrame, model: str, *, ids_col="ids", out="text") -> DataFr
     """`rows` with the text that the ids stand for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lat = _lattice(model)
+        lat = resident((model, Lattices), lambda: Lattices(model))
         for batch in batches:
             texts = [None if ids is None else lat.decode(ids) for ids in batch.column(ids_col).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, out])

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, stash
+from .common import slices, stash, vacate
 from .components import least_labels
 
 def text_fingerprint(hashes: list[int]) -> int:
@@ -64,6 +64,7 @@ def fingerprints(docs: DataFrame, *, text_col="text", size=3, words=1, out="fp")
     keep = [c for c in docs.columns if c != text_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vacate()
         for batch in slices(batches, text_col):
             fps = [_majority(np.array(shingle_hashes(t, size), np.uint64), words).astype(">u8").tobytes() for t in batch.column(text_col).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(fps, pa.binary())], names=[*keep, out])
@@ -77,6 +78,12 @@ def _segments(fps: np.ndarray, width: int, count: int) -> np.ndarray:
     return bits.astype(np.int64) @ (1 << np.arange(width - 1, -1, -1, dtype=np.int64))
 
 
+def _segment(fps: np.ndarray, width: int, j: int) -> np.ndarray:
+    """Segment j alone."""
+    bits = np.unpackbits(fps.view(np.uint8).reshape(len(fps), -1), axis=1)[:, j * width : (j + 1) * width]
+    return bits.astype(np.int64) @ (1 << np.arange(width - 1, -1, -1, dtype=np.int64))
+
+
 def _forest(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Edges from each of n nodes to the least node of its component: as much as the pairs (a, b) say, without their number."""
     label = np.arange(n)
@@ -113,7 +120,7 @@ def _crowd(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     return np.array(a, np.int64), np.array(b, np.int64)
 
 
-CROWD, BLOCK = 4_000_000, 2_000_000
+CROWD, BLOCK = 4_000_000, 250_000
 
 
 def _link(own: np.ndarray, fps: np.ndarray, key: np.ndarray, width: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -188,7 +195,7 @@ def links(fps: DataFrame, *, n: int, words: int, width: int, count: int, radius:
         ids = np.concatenate(ids)
         raw = np.frombuffer(b"".join(table.column("fps").to_pylist()), np.uint64).reshape(len(ids), words)
         j = int(table.column("bucket")[0].as_py()) >> top
-        key = _segments(raw, width, count)[:, j] & ((1 << low) - 1)
+        key = _segment(raw, width, j) & ((1 << low) - 1)
         a, b = _link(own, raw, key, low, radius)
         return pa.table({"a": ids[a], "b": ids[b]})
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import remainder, slices
+from .common import remainder, resident, slices
 
 WORD = re.compile(r"[^\W_]+")
 WIDTH, STRIDE = 40, 30
@@ -298,19 +298,14 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col="doc_id", text_col="text
     return fit([r.t for r in got], [r.y for r in got]) if len({r.y for r in got}) == 2 else None
 
 
-_scorers: dict[str, _Scorer] = {}
-
-
 def score(docs: DataFrame, net: Network | None, *, text_col="text", out="toxicity") -> DataFrame:
     """`docs` with a column more: the largest score (0 to 1) of any window of the whole text."""
     sent, key = docs.sparkSession.sparkContext.broadcast(net), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if sent.value is not None and key not in _scorers:
-            _scorers.clear()
-            _scorers[key] = _Scorer(sent.value)
+        scorer = resident(key, lambda: _Scorer(sent.value)) if sent.value is not None else None
         for batch in slices(batches, text_col, 2 << 20):
-            found = _scorers[key].scores(batch.column(text_col).to_pylist()) if sent.value is not None else np.zeros(batch.num_rows)
+            found = scorer.scores(batch.column(text_col).to_pylist()) if scorer else np.zeros(batch.num_rows)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], names=[*batch.schema.names, out])
 
     return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(out, DoubleType())]))
