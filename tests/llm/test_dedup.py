@@ -207,3 +207,61 @@ def test_components_of_a_chain(spark):
     n = 200
     df = least_labels(spark.range(n).select(F.col("id").alias("node"), F.col("id").alias("label")), spark.range(n - 1).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")))
     assert df.select("label").distinct().collect()[0].label == 0 and df.count() == n
+
+
+def jaccard_components(rows, similarity=0.8):
+    """Least id of each row's component by all pairs of five-word shingle sets."""
+    shingles = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in (t.split() for _, t in rows)]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            both = len(shingles[a] & shingles[b])
+            if both and both / (len(shingles[a]) + len(shingles[b]) - both) >= similarity:
+                a_, b_ = find(a), find(b)
+                root[max(a_, b_)] = min(a_, b_)
+    return {i: rows[find(k)][0] for k, (i, _) in enumerate(rows)}
+
+
+def test_stage_verifies_jaccard(spark):
+    rng = random.Random(8)
+    rows, around = [], []
+    for i in range(300):
+        w = [f"t{rng.randrange(9000)}" for _ in range(rng.choice([60, 200, 600]))]
+        near, cut = list(w), rng.uniform(0.05, 0.18)  # the end goes: Jaccard 0.69 to 0.9
+        n = int(len(w) * cut)
+        near[len(w) - n :] = [f"o{rng.randrange(9000)}" for _ in range(n)]
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(near))]
+        around.append(2 * i + 1)
+    want = jaccard_components(rows)
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], DOCS)
+    kept = {r.doc_id for r in simhash.simhash_stage(spark, docs, "").select("doc_id").collect()}
+    true = {i for i in around if want[i] != i}
+    assert 60 < len(true) < 240
+    assert set(around) - true <= kept  # nothing under 0.8 goes
+    assert len(true & kept) <= 0.03 * len(true)  # the stated recall is 0.99
+
+
+@pytest.mark.parametrize("block", [3, 1024])
+def test_verified_links_in_blocks(spark, monkeypatch, block):
+    monkeypatch.setattr(simhash, "BLOCK_SETS", block)
+    rng = random.Random(9)
+    w = [f"t{k}" for k in range(150)]
+    rows = []
+    for i in range(40):  # chains: each member changes a few words of the one before
+        at = rng.randrange(150)
+        new = [f"n{i}_{k}" for k in range(rng.choice([1, 4, 30]))]
+        w = (w[:at] + new + w[at + len(new) :])[:150]
+        rows.append((i, " ".join(w)))
+    rng.shuffle(rows)
+    rows = [(k, t) for k, (_, t) in enumerate(rows)]
+    df = spark.createDataFrame([(i, simhash._set_key(simhash.shingle_set(t, 5)), 0, simhash.shingle_set(t, 5).tobytes()) for i, t in rows], "id long, key binary, coarse long, hashes binary")
+    nodes = spark.createDataFrame([(i, i) for i, _ in rows], "node long, label long")
+    want = jaccard_components(rows)
+    assert {r.node: r.label for r in least_labels(nodes, simhash.verified_links(df, 0.8)).collect()} == want
+    assert 1 < len(set(want.values())) < 40

@@ -6,7 +6,7 @@ shingles. Two fingerprints link at `radius` (3) or fewer differing bits. Distinc
 looks up the ball of radius 1 (33 keys) in each segment's table, and whole distances are verified. Only
 distinct fingerprints are linked, never copies; a bucket of the index returns a spanning forest of its links, not all
 pairs. Components are the least id that links reach. Wider fingerprints (`words` of 64 bits) and more segments find
-texts further apart; wide_plan() chooses them for a similarity.
+texts further apart; wide_plan() chooses them for a similarity. The pipeline's stage takes them for candidates only and compares the shingle sets.
 
 Cases: null or empty texts have fingerprint 0 and link like any other (in the pipeline's stage too: one of them stays);
 repeated rows share their fingerprint; a row with a null id gets the component of its fingerprint, but names none (null, if no row with
@@ -217,12 +217,12 @@ def near_duplicates(docs: DataFrame, *, id_col="doc_id", text_col="text", size=3
     return marked.join(label.hint("merge"), "fp")
 
 
-def wide_plan(n: int, similarity: float = 0.8, found: float = 0.97) -> dict:
-    """Fingerprint and segments for linking texts whose shingle sets have at least this Jaccard similarity, among n texts.
+def wide_plan(n: int, similarity: float = 0.8, found: float = 0.99) -> dict:
+    """Fingerprint and segments that make texts candidates whose shingle sets have at least this Jaccard similarity, among n texts.
 
     Two such texts differ in each bit with probability arccos(2J / (1 + J)) / pi. Segments are as long as log2(n) bits, so a key holds few
-    texts by chance, and as many as it takes for one of them to differ in 1 bit at most in `found` of the cases. The
-    distance allowed is that share of the bits and one and a half standard deviations more; unrelated texts differ in half.
+    texts by chance, and as many as it takes for one of them to differ in 1 bit at most in `found` of the cases, at every n. The
+    distance allowed is that share of the bits and three standard deviations more; unrelated texts differ in half.
     """
     e = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
     width = int(np.clip(np.ceil(np.log2(max(2, n))), 14, 30))
@@ -230,7 +230,155 @@ def wide_plan(n: int, similarity: float = 0.8, found: float = 0.97) -> dict:
     count = int(np.ceil(np.log(1 - found) / np.log(1 - one)))
     words = max(4, -(-width * count // 64))
     bits = 64 * words
-    return {"words": words, "width": width, "count": count, "radius": int(bits * e + 1.5 * np.sqrt(bits * e * (1 - e)))}
+    return {"words": words, "width": width, "count": count, "radius": int(np.ceil(bits * e + 3 * np.sqrt(bits * e * (1 - e))))}
+
+
+def shingle_set(text: str | None, size: int) -> np.ndarray:
+    """The distinct hashes of shingle_hashes(), ascending."""
+    return np.unique(np.array(shingle_hashes(text, size), np.uint64))
+
+
+def _set_key(found: np.ndarray) -> bytes:
+    return xxhash.xxh128_digest(found.tobytes())
+
+
+def _marks(docs: DataFrame, size: int, words: int) -> DataFrame:
+    """id, at, fp (of the set, so that repeated shingles count once) and key (128 bits of the set) of `docs` (id, at, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vacate()
+        for batch in slices(batches, "text"):
+            fps, keys = [], []
+            for t in batch.column("text").to_pylist():
+                found = shingle_set(t, size)
+                fps.append(_majority(found, words).astype(">u8").tobytes())
+                keys.append(_set_key(found))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("at"), pa.array(fps, pa.binary()), pa.array(keys, pa.binary())], names=["id", "at", "fp", "key"])
+
+    return docs.mapInArrow(run, "id long, at long, fp binary, key binary")
+
+
+def _sets(docs: DataFrame, size: int) -> DataFrame:
+    """`docs` (id, key, coarse, text) with the set instead of the text; rows whose text has another key are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            keys, at, out = batch.column("key").to_pylist(), [], []
+            for i, t in enumerate(batch.column("text").to_pylist()):
+                found = shingle_set(t, size)
+                if _set_key(found) == keys[i]:
+                    at.append(i)
+                    out.append(found.tobytes())
+            at = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in ("id", "key", "coarse")), pa.array(out, pa.binary())], names=["id", "key", "coarse", "hashes"])
+
+    return docs.mapInArrow(run, "id long, key binary, coarse long, hashes binary")
+
+
+def _verify(a: list[np.ndarray], b: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (in a, in b) of all pairs whose sets have at least this Jaccard similarity."""
+    none = np.zeros(0, np.int64)
+    if not a or not b:
+        return none, none
+    order = np.argsort([len(y) for y in b], kind="stable")
+    size = np.array([len(b[i]) for i in order])
+    values, place = np.unique(np.concatenate([b[i] for i in order]), return_inverse=True)
+    start = np.concatenate([[0], np.cumsum(size)])
+    mark, left, right = np.zeros(len(values) + 1, bool), [], []
+    for i, x in enumerate(a):
+        # a size further off than the similarity allows can't be met
+        lo = int(np.searchsorted(size, len(x) * similarity * (1 - 1e-9), "left"))
+        hi = int(np.searchsorted(size, len(x) / similarity * (1 + 1e-9), "right"))
+        if not len(x) or hi <= lo:
+            continue
+        at = np.searchsorted(values, x)
+        at = at[(at < len(values)) & (values[np.minimum(at, len(values) - 1)] == x)]
+        mark[at] = True
+        both = np.add.reduceat(mark[place[start[lo] : start[hi]]], start[lo:hi] - start[lo], dtype=np.int64)
+        mark[at] = False
+        hit = lo + np.flatnonzero(both / (len(x) + size[lo:hi] - both) >= similarity)
+        left.append(np.full(len(hit), i))
+        right.append(order[hit])
+    return (np.concatenate(left), np.concatenate(right)) if left else (none, none)
+
+
+BLOCK_SETS, BLOCK_HASHES = 1024, 500_000
+
+
+def verified_links(sets: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) between ids, enough to connect all members of a coarse component whose sets have at least this similarity.
+
+    `sets`: id, key, coarse, hashes (ascending distinct hashes), a row for each key. Each set is held against that of the component's least id first.
+    Those that link to it are connected by this, so only pairs with a set that doesn't are left; a linked one too near the first for any
+    of these (distances obey the triangle inequality) is done. The rest of a component is dealt to blocks by hash, and
+    each pair of blocks is one group, of a bounded number of sets and hashes (one longer set stays whole).
+    """
+    first = sets.groupBy("coarse").agg(F.min(F.struct("id", "key")).alias("f"))
+    first = first.select(F.col("f.key").alias("key"), F.col("f.id").alias("first")).join(sets.select("key", "coarse", F.col("hashes").alias("with")).hint("merge"), "key")
+    first = first.select("coarse", F.col("key").alias("first_key"), "first", "with")
+
+    def against(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = ([np.frombuffer(v, np.uint64) for v in b.column(c).to_pylist()] for c in ("hashes", "with"))
+            both = [len(np.intersect1d(p, q, assume_unique=True)) for p, q in zip(x, y, strict=True)]
+            jaccard = [n / max(1, len(p) + len(q) - n) for n, p, q in zip(both, x, y, strict=True)]
+            size = pa.array([len(p) for p in x], pa.int64())
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("id", "key", "coarse", "hashes", "first")), size, pa.array(jaccard, pa.float64())], names=["id", "key", "coarse", "hashes", "first", "size", "jaccard"])
+
+    met = sets.join(first.hint("merge"), "coarse").filter("key <> first_key").select("id", "key", "coarse", "hashes", "first", "with")
+    met = stash(met.mapInArrow(against, "id long, key binary, coarse long, hashes binary, first long, size long, jaccard double"))
+    near = F.col("jaccard") >= similarity
+    direct = met.filter(near).select(F.col("id").alias("a"), F.col("first").alias("b"))
+
+    far = met.filter(~near).groupBy("coarse").agg(F.max("jaccard").alias("nearest"))
+    # 1 - jaccard is a metric: a link to a set at `nearest` needs a distance from the first of at least (1 - nearest) - (1 - similarity)
+    rest = met.join(far.hint("merge"), "coarse").filter(~near | (1 - F.col("jaccard") >= similarity - F.col("nearest") - 1e-9))
+    rest = rest.select("id", "key", "coarse", "hashes", "size", (~near).alias("far"))
+    count = rest.groupBy("coarse").agg(F.count("*").alias("n"), F.sum("size").alias("total"))
+    blocks = F.ceil(F.greatest(F.col("n") / BLOCK_SETS, F.col("total") / BLOCK_HASHES))
+    dealt = rest.join(count.filter("n > 1").hint("merge"), "coarse").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = dealt.select("coarse", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "hashes", "far")
+
+    def compare(table: pa.Table) -> pa.Table:
+        ids, own, far = (np.asarray(table.column(c)) for c in ("id", "own", "far"))
+        sets = [np.frombuffer(v, np.uint64) for v in table.column("hashes").to_pylist()]
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        # far sets of the one block with all of the other, then far sets of the other with the rest of the one
+        turns = [(far, np.ones(len(ids), bool))] if i == j else [(far & (own == i), own == j), (far & (own == j), ~far & (own == i))]
+        a, b = [], []
+        for p, q in turns:
+            p, q = np.flatnonzero(p), np.flatnonzero(q)
+            for s in range(0, len(p), 256):
+                x, y = _verify([sets[k] for k in p[s : s + 256]], [sets[k] for k in q], similarity)
+                x, y = _forest(p[s : s + 256][x], q[y], len(ids))
+                a.append(x)
+                b.append(y)
+        a, b = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (a, b))
+        a, b = _forest(a, b, len(ids))
+        return pa.table({"a": pa.array(ids[a], pa.int64()), "b": pa.array(ids[b], pa.int64())})
+
+    return direct.unionByName(dealt.groupBy("coarse", "i", "j").applyInArrow(compare, "a long, b long"))
+
+
+def similar_documents(docs: DataFrame, *, similarity=0.8, size=5) -> DataFrame:
+    """id and component_id (the least id of all that links reach) for each row of `docs` (id, text). Texts link if the Jaccard similarity of their
+    shingle sets (64-bit hashes) is at least `similarity`: near fingerprints only make candidates, whose sets are compared."""
+    docs = docs.select(F.col("id").cast("long").alias("id"), F.xxhash64("text").alias("at"), "text")  # `at` parts rows that repeat an id
+    plan = wide_plan(docs.count(), similarity)
+    marked = stash(_marks(docs, size, plan["words"]))
+    units = stash(marked.filter("id is not null").groupBy("key", "fp").agg(F.min(F.struct("id", "at")).alias("m")).select("key", "fp", "m.id", "m.at"))
+    known = stash(units.groupBy("fp").agg(F.min("id").alias("id")))
+    pairs = links(known, n=known.count(), **plan)
+    label = least_labels(known.select(F.col("id").alias("node"), F.col("id").alias("label")).distinct(), pairs)
+    label = known.join(label.hint("merge"), known.id == label.node).select("fp", F.col("label").alias("coarse"))
+    coarse = stash(units.join(label.hint("merge"), "fp").select("id", "at", "key", "coarse"))
+    several = coarse.groupBy("coarse").agg(F.count("*").alias("n")).filter("n > 1").select("coarse")
+    asked = stash(coarse.join(several.hint("merge"), "coarse"))
+    sets = stash(_sets(docs.join(asked.hint("merge"), ["id", "at"]).select("id", "key", "coarse", "text"), size).dropDuplicates(["key"]))
+    label = least_labels(coarse.select(F.col("id").alias("node"), F.col("id").alias("label")).distinct(), verified_links(sets, similarity))
+    label = units.join(label.hint("merge"), units.id == label.node).select("key", F.col("label").alias("component_id"))
+    return marked.filter("id is not null").select("id", "key").join(label.hint("merge"), "key").select("id", "component_id")
 
 
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -240,6 +388,6 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, similarity: float = 0.8) -> DataFrame:
     """Pipeline stage: of texts that share five-word shingles at `similarity` or more, the document with the least id of each component stays."""
-    found = near_duplicates(docs, size=5, **wide_plan(docs.count(), similarity))
+    found = similar_documents(docs.select(F.col("doc_id").alias("id"), "text"), similarity=similarity)
     gone = found.filter("id <> component_id").select(F.col("id").alias("_wl_id")).distinct()
     return docs.join(gone.hint("merge"), docs["doc_id"] == gone["_wl_id"], "left_anti").select(*docs.columns)
