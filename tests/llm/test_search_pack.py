@@ -52,6 +52,22 @@ def test_nearest_few(spark):
     assert ann.nearest(df.filter("false"), F.col("vec_id") == 0).count() == 0
 
 
+@pytest.mark.parametrize("noise", [1e-4, 1e-3])
+def test_nearest_among_near_copies(spark, noise):
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((1500, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[::3] = x[0] + noise * rng.standard_normal((500, 64))  # a third of the rows
+    got = ann.nearest(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), F.col("vec_id") % 30 == 0).toPandas()
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    hit = 0
+    for qid in range(0, 1500, 30):
+        s = -np.linalg.norm(x - x[qid], axis=1)
+        s[qid] = -9
+        hit += len(set(np.argsort(-s)[:5].tolist()) & set(got[got.query_id == qid].vec_id))
+    assert hit >= 0.9 * 5 * 50, hit
+
+
 @needs_data
 def test_nearest_recall(spark):
     got = ann.op1_nn_descent_search(spark, D).toPandas()

@@ -4,9 +4,9 @@ Equal vectors are one node of the graph, which keeps its smallest ids. The graph
 blocks of random hyperplanes. A round of NN-descent joins each node's neighbours and reverse neighbours with their vectors, compares
 them with each other (neighbours of neighbours), and offers each the better ones; every node keeps its `k` best. A query's search
 begins at its own node, follows the graph from the `beam` best nodes found so far, and ends when none of them is new. The best
-found are scored once more by the cosine of the original vectors in double precision.
+beam, and what ties with its last, is scored once more by the cosine of the original vectors in double precision.
 
-Vectors travel as 8-bit integers during descent and search, and exactly for the last scoring.
+Vectors travel as unit vectors of 32-bit floats during descent and search, so that near copies keep their order, and are multiplied in double precision.
 
 Cases: vectors that are null, zero, or hold a null or non-finite component take no part; shorter vectors count as filled up with zeros. Rows that
 repeat an id count once (the least vector); a row with a null id takes no part. Equal scores go to smaller ids. Fewer candidates than asked: all.
@@ -23,18 +23,18 @@ from pyspark.sql.window import Window
 
 from .common import stash
 
-EDGES = "id long, other long, sim float"
+EDGES = "id long, other long, sim double"
 
 
 def _floats(column) -> np.ndarray:
-    """Fixed-length binary rows as a float matrix of unit vectors."""
+    """Fixed-length binary rows as a double matrix of unit vectors."""
     raw = column.to_pylist()
-    x = np.frombuffer(b"".join(raw), np.int8).reshape(len(raw), -1).astype(np.float32)
-    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+    x = np.frombuffer(b"".join(raw), np.float32).reshape(len(raw), -1).astype(np.float64)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 def _edges(a, b, s) -> pa.Table:
-    return pa.table({"id": pa.array(a, pa.int64()), "other": pa.array(b, pa.int64()), "sim": pa.array(s, pa.float32())})
+    return pa.table({"id": pa.array(a, pa.int64()), "other": pa.array(b, pa.int64()), "sim": pa.array(s, pa.float64())})
 
 
 def _best(ids: np.ndarray, other: np.ndarray, sim: np.ndarray, k: int) -> np.ndarray:
@@ -56,7 +56,7 @@ def _compare(ids: np.ndarray, x: np.ndarray, worst: np.ndarray, each: int) -> tu
     c = min(each, len(ids) - 1)
     if c < 1:
         none = np.zeros(0, np.int64)
-        return none, none, none.astype(np.float32)
+        return none, none, none.astype(np.float64)
     top = np.argpartition(-s, c - 1, axis=1)[:, :c]
     sim = np.take_along_axis(s, top, axis=1)
     ok = sim > worst[:, None]
@@ -64,7 +64,7 @@ def _compare(ids: np.ndarray, x: np.ndarray, worst: np.ndarray, each: int) -> tu
 
 
 class Graph:
-    """nodes: id, exact (array of double), small (8-bit vector), ids (the smallest ids of that vector); edges: id, other, sim."""
+    """nodes: id, exact (array of double), small (unit vector of 32-bit floats), ids (the smallest ids of that vector); edges: id, other, sim."""
 
     def __init__(self, rows: DataFrame, *, id_col="vec_id", vec_col="embedding", k=24, rounds=6, keep_ids=6, seed=5):
         self.k, self.spark = k, rows.sparkSession
@@ -78,14 +78,11 @@ class Graph:
         self.d, self.n = size.d or 0, size.n
         self.nodes = stash(self._small(grouped))
         self.edges = stash(self._start(seed))
-        total = F.sum(F.col("sim").cast("double"))
-        before = self.edges.agg(total).first()[0]
         for r in range(rounds):
-            self.edges = stash(self._descend(r))
-            now = self.edges.agg(total).first()[0]
-            if before is None or now - before <= 1e-4 * abs(now):  # the lists don't get better any more
+            before, self.edges = self.edges, stash(self._descend(r))
+            fresh = self.edges.join(before.select("id", "other").hint("merge"), ["id", "other"], "left_anti").count()
+            if fresh <= 1e-3 * self.edges.count():  # the lists don't change any more; sums of similarities would not show it among near copies
                 break
-            before = now
 
     def _nodes(self, keep_ids: int) -> DataFrame:
         """A node for each distinct vector, with its smallest ids; salted first, for a vector that very many rows share."""
@@ -103,7 +100,8 @@ class Graph:
                 for v in exact:
                     x = np.zeros(d)
                     x[: len(v)] = v
-                    small.append(np.rint(x * (127 / np.abs(x).max())).astype(np.int8).tobytes())
+                    x /= np.abs(x).max()
+                    small.append((x / np.linalg.norm(x)).astype(np.float32).tobytes())
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(small, pa.binary())], names=[*b.schema.names, "small"])
 
         return grouped.mapInArrow(run, "id long, exact array<double>, ids array<long>, small binary")
@@ -131,7 +129,7 @@ class Graph:
 
         def near(table: pa.Table) -> pa.Table:
             ids = np.asarray(table.column("id")).astype(np.int64)
-            return _edges(*_compare(ids, _floats(table.column("small")), np.full(len(ids), -2, np.float32), k))
+            return _edges(*_compare(ids, _floats(table.column("small")), np.full(len(ids), -2.0), k))
 
         return self._merge(dealt.groupBy("t", "code", "salt").applyInArrow(near, EDGES))
 
@@ -152,7 +150,7 @@ class Graph:
 
     def _descend(self, r: int, group: int = 96, each: int = 8) -> DataFrame:
         k = self.k
-        worst = self.edges.groupBy("id").agg(F.when(F.count("*") >= k, F.min("sim")).otherwise(F.lit(-2.0)).cast("float").alias("worst"))
+        worst = self.edges.groupBy("id").agg(F.when(F.count("*") >= k, F.min("sim")).otherwise(F.lit(-2.0)).alias("worst"))
         vectors = self.nodes.select(F.col("id").alias("other"), "small").join(worst.select(F.col("id").alias("other"), "worst").hint("merge"), "other", "left")
         met = self.both_ways().join(vectors.hint("merge"), "other")
         # a node with very many reverse neighbours is met in several groups of about `group`
@@ -161,7 +159,7 @@ class Graph:
 
         def run(table: pa.Table) -> pa.Table:
             center, salt, ids = (np.asarray(table.column(c)) for c in ("center", "salt", "other"))
-            low = np.asarray(table.column("worst").fill_null(-2)).astype(np.float32)
+            low = np.asarray(table.column("worst").fill_null(-2)).astype(np.float64)
             x = _floats(table.column("small"))
             order = np.lexsort((ids, salt, center))
             cut = np.flatnonzero((np.diff(center[order]) != 0) | (np.diff(salt[order]) != 0)) + 1
@@ -174,7 +172,7 @@ class Graph:
         offers = met.select("center", "salt", "other", "worst", "small").groupBy(bucket).applyInArrow(run, EDGES)
         return self._merge(offers.unionByName(self.edges))
 
-    def search(self, queries: DataFrame, *, beam: int | None = None, most_rounds=12, rerank=24) -> DataFrame:
+    def search(self, queries: DataFrame, *, beam: int | None = None, most_rounds=12) -> DataFrame:
         """id, other, score: for each node in `queries` (id) its best nodes, itself included, by the exact cosine. The beam grows with the
         root of the number of nodes, unless given: at one width, recall falls as the graph grows."""
         beam = max(96, int(self.n**0.5)) if beam is None else beam
@@ -185,9 +183,9 @@ class Graph:
             for b in batches:
                 if b.num_rows:
                     sim = np.einsum("nd,nd->n", _floats(b.column("q")), _floats(b.column("small")))
-                    yield pa.RecordBatch.from_arrays([b.column("id"), b.column("other"), pa.array(sim, pa.float32())], names=["id", "other", "sim"])
+                    yield pa.RecordBatch.from_arrays([b.column("id"), b.column("other"), pa.array(sim, pa.float64())], names=["id", "other", "sim"])
 
-        found = stash(asked.select("id", F.col("id").alias("other"), F.lit(1.0).cast("float").alias("sim"), F.lit(False).alias("followed")))
+        found = stash(asked.select("id", F.col("id").alias("other"), F.lit(1.0).alias("sim"), F.lit(False).alias("followed")))
         order = Window.partitionBy("id").orderBy(F.desc("sim"), "other")
         for _ in range(most_rounds):
             ranked = found.withColumn("r", F.row_number().over(order))
@@ -201,7 +199,8 @@ class Graph:
             found = stash(followed.unionByName(new.withColumn("followed", F.lit(False))))
             if new.isEmpty():
                 break
-        best = found.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= rerank).select("id", "other")
+        level = Window.partitionBy("id").orderBy(F.desc("sim"))
+        best = found.withColumn("r", F.rank().over(level)).filter(F.col("r") <= beam).select("id", "other")
         exact = self.nodes.select(F.col("id").alias("other"), F.col("exact").alias("b"))
         pairs = best.join(exact.hint("merge"), "other").join(self.nodes.select("id", F.col("exact").alias("a")).hint("merge"), "id")
         d = self.d
