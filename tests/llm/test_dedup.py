@@ -82,6 +82,14 @@ def test_suffix_dedup(spark, byte_rows):
     assert have == brute_bytes(byte_rows)
 
 
+@pytest.mark.parametrize("size", [20, 21, 33])
+def test_suffix_dedup_of_other_lengths(spark, byte_rows, size):
+    rows = byte_rows[:90]
+    got = suffix_dedup.removed_spans(spark.createDataFrame(rows, "doc_id long, text string"), min_len=size).collect()
+    have = sorted(((r.id, r.n_bytes, sum(s.end - s.begin for s in r.spans), len(r.spans), hashlib.sha256(r.kept).hexdigest()) for r in got), key=str)
+    assert have == brute_bytes(rows, size)
+
+
 def test_interval_tree():
     # suffixes: three share 60 bytes, of which two share 80; only different left neighbours make a repeat
     lcp, docs = np.array([0, 60, 80]), np.array([4, 2, 7])

@@ -66,12 +66,25 @@ def anchors(t: Texts, min_len: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     low[np.cumsum(gone[:-1]) > 0] = 0
     edge = np.zeros(w - 1, np.uint32)
     at = np.flatnonzero(_slide(np.concatenate([edge, low, edge]), w, np.maximum)[:m] == h)
-    key = np.zeros(len(at), np.uint64)
-    for j, c in zip(range(0, K, 4), (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F), strict=True):
-        key = (key ^ four[at + j].astype(np.uint64)) * np.uint64(c)
-        key ^= key >> np.uint64(29)
     doc = np.searchsorted(t.end, at, "right")
-    return at, doc, mix(key)
+    return at, doc, _key([four[at + j] for j in range(0, K, 4)])
+
+
+def _key(parts: list[np.ndarray]) -> np.ndarray:
+    """64-bit hashes of anchors, each given as K / 4 numbers of 32 bits."""
+    key = np.zeros(len(parts[0]), np.uint64)
+    for x, c in zip(parts, (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F), strict=True):
+        key = (key ^ x.astype(np.uint64)) * np.uint64(c)
+        key ^= key >> np.uint64(29)
+    return mix(key)
+
+
+def _lead(same: np.ndarray) -> np.ndarray:
+    """How many values at the head of each row are true."""
+    if not same.size:
+        return np.zeros(len(same), np.int64)
+    first = same.argmin(axis=1)
+    return np.where(same[np.arange(len(same)), first], same.shape[1], first)
 
 
 def surroundings(t: Texts, at: np.ndarray, doc: np.ndarray, min_len: int) -> tuple[np.ndarray, np.ndarray]:
@@ -97,6 +110,13 @@ def _hash_rows(rows: np.ndarray) -> np.ndarray:
     return mix(h)
 
 
+def _heads(h: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Where a new surrounding begins in an order by hash; bytes decide, so that equal hashes alone join nothing."""
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (rows[1:] != rows[:-1]).any(axis=1)
+    return np.flatnonzero(new)
+
+
 def intervals(lcp: np.ndarray, least: np.ndarray, diverse: np.ndarray, min_len: int) -> list[tuple[int, int, int, int]]:
     """The maximal repeats of a suffix array: (first, last, length, least document) of each interval of the common-prefix
     tree with length >= min_len whose left neighbours differ.
@@ -133,8 +153,8 @@ def intervals(lcp: np.ndarray, least: np.ndarray, diverse: np.ndarray, min_len:
 def repeats(rows: np.ndarray, group: np.ndarray, least: np.ndarray, min_len: int) -> tuple[np.ndarray, ...]:
     """Maximal repeats among the distinct surroundings of each anchor: row, begin, end, least document, one for each occurrence."""
     left, width = min_len - K, 2 * min_len - K
-    begin = left - (rows[:, :left] != PAD)[:, ::-1].cumprod(axis=1).sum(axis=1)
-    end = left + (rows[:, left:width] != PAD).cumprod(axis=1).sum(axis=1)
+    begin = left - _lead((rows[:, :left] != PAD)[:, ::-1])
+    end = left + _lead(rows[:, left:width] != PAD)
     # a surrounding that several documents hold repeats as a whole
     all_rows = np.flatnonzero(end - begin >= min_len)
     found = [(all_rows, begin[all_rows], end[all_rows], least[all_rows])]
@@ -142,11 +162,11 @@ def repeats(rows: np.ndarray, group: np.ndarray, least: np.ndarray, min_len: int
     some = np.flatnonzero(n[back] > 1)
     if len(some):
         # where left extensions differ: bytes that neighbours in the order of their reversed left parts share
-        turned = np.ascontiguousarray(rows[some][:, left - 1 :: -1] if left else rows[some][:, :0])
-        order = np.argsort(turned.view(f"S{left}").ravel(), kind="stable")
+        turned = np.ascontiguousarray(rows[some, :left][:, ::-1])
+        order = np.argsort(turned.view(f"S{left}").ravel(), kind="stable") if left else np.arange(len(some))
         order = order[np.argsort(back[some][order], kind="stable")]
         some, turned = some[order], turned[order]
-        same = (turned[1:] == turned[:-1]).cumprod(axis=1).sum(axis=1)
+        same = _lead(turned[1:] == turned[:-1])
         room = left - begin[some]
         same = np.minimum(same, np.minimum(room[1:], room[:-1]))
         together = back[some][1:] == back[some][:-1]
@@ -159,7 +179,7 @@ def repeats(rows: np.ndarray, group: np.ndarray, least: np.ndarray, min_len: int
         at = left - depth[which]
         ok = (at >= begin[member]) & (end[member] - at >= min_len)
         which, member, at = which[ok], member[ok], at[ok]
-        for a, b in _cuts(which, 1 << 18):
+        for a, b in _cuts(which, 1 << 16):
             found.append(_scan(rows, which[a:b], member[a:b], at[a:b], begin, end, least, min_len, width))
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
@@ -175,14 +195,17 @@ def _cuts(which: np.ndarray, size: int) -> list[tuple[int, int]]:
 
 
 def _scan(rows, which, member, at, begin, end, least, min_len, width):
-    cols = at[:, None] + np.arange(width)
-    text = np.where(cols < end[member][:, None], rows[member[:, None], np.minimum(cols, width - 1)], 0)
-    order = np.argsort(np.ascontiguousarray(text.astype(np.uint8)).view(f"S{width}").ravel(), kind="stable")
+    text = np.zeros((len(at), width), np.uint8)
+    for a in np.unique(at).tolist():  # few starts: one copy of a range of columns for each
+        mine = np.flatnonzero(at == a)
+        text[mine, : width - a] = rows[member[mine], a:width]
+    text[np.arange(width, dtype=np.int16) >= (end[member] - at).astype(np.int16)[:, None]] = 0
+    order = np.argsort(text.view(f"S{width}").ravel(), kind="stable")
     order = order[np.argsort(which[order], kind="stable")]
     which, member, at, text = which[order], member[order], at[order], text[order]
     lcp = np.zeros(len(which), np.int64)
     size = end[member] - at
-    lcp[1:] = np.minimum((text[1:] == text[:-1]).cumprod(axis=1).sum(axis=1), np.minimum(size[1:], size[:-1]))
+    lcp[1:] = np.minimum(_lead(text[1:] == text[:-1]), np.minimum(size[1:], size[:-1]))
     lcp[1:][which[1:] != which[:-1]] = 0
     edge = at == begin[member]
     before = np.where(edge, -1, rows[member, np.maximum(at - 1, 0)].astype(np.int64))
@@ -221,7 +244,7 @@ def removed_spans(docs: DataFrame, *, id_col="doc_id", text_col="text", min_len=
             at, doc, key = at[go], doc[go], key[go]
             rows, h = surroundings(t, at, doc, min_len)
             order = np.lexsort((t.ids[doc], h))
-            pick = order[np.flatnonzero(np.diff(h[order], prepend=~h[order][:1]))] if len(order) else order
+            pick = order[_heads(h[order], rows[order])]
             where, parts = split(key[pick], buckets) if len(pick) else ([], [])
             out = [(int(b), t.chunk, squeezed(t.ids[doc[pick[p]]]), squeezed(rows[pick[p]])) for b, p in zip(where, parts, strict=True)]
         return pa.table({n: pa.array([x[k] for x in out], kind) for k, (n, kind) in enumerate((("bucket", pa.int64()), ("from", pa.int64()), ("ids", pa.binary()), ("rows", pa.binary())))})
@@ -232,22 +255,29 @@ def removed_spans(docs: DataFrame, *, id_col="doc_id", text_col="text", min_len=
         ids, rows = np.concatenate(ids), np.concatenate(spread(table.column("rows").to_pylist(), np.uint8)).reshape(-1, width)
         h = _hash_rows(rows)
         order = np.lexsort((ids, h))
-        head = np.flatnonzero(np.diff(h[order], prepend=~h[order][:1]))
+        head = _heads(h[order], rows[order])
         one = order[head]  # each distinct surrounding, by its least document
         span = np.diff(np.append(head, len(order)))
         group = _hash_rows(np.ascontiguousarray(np.pad(rows[one][:, min_len - K : min_len], ((0, 0), (0, 4)))))
         row, begin, end, low = repeats(rows[one], group, ids[one], min_len)
+        # an occurrence is told back if a smaller document has it than the first holder of the whole surrounding, or is the whole (each row's first)
+        tell = low < ids[one][row]
+        tell[np.unique(row, return_index=True)[1]] = True
+        row, begin, end, low = (x[tell] for x in (row, begin, end, low))
         # back to every chunk that brought the surrounding
         n = span[row]
         to = order[np.repeat(head[row] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
         back = np.repeat(np.arange(len(row)), n)
         by = np.argsort(came[to], kind="stable")
         to, back = to[by], back[by]
+        anchor = np.ascontiguousarray(rows[:, min_len - K : min_len]).view("<u4")
+        key = _key([anchor[:, j] for j in range(K // 4)])
         values, first = np.unique(came[to], return_index=True)
         parts = np.split(np.arange(len(to)), first[1:]) if len(values) else []
         return pa.table(
             {
                 "chunk": pa.array(values, pa.int64()),
+                "keys": pa.array([squeezed(np.unique(key[to[p]])) for p in parts], pa.binary()),
                 "hash": pa.array([squeezed(h[to[p]]) for p in parts], pa.binary()),
                 "begin": pa.array([squeezed(begin[back[p]].astype(np.uint16)) for p in parts], pa.binary()),
                 "end": pa.array([squeezed(end[back[p]].astype(np.uint16)) for p in parts], pa.binary()),
@@ -262,7 +292,10 @@ def removed_spans(docs: DataFrame, *, id_col="doc_id", text_col="text", min_len=
             h, begin, end, least = (np.concatenate(spread(notes.column(c).to_pylist(), kind)) for c, kind in (("hash", np.uint64), ("begin", np.uint16), ("end", np.uint16), ("least", np.int64)))
             order = np.argsort(h, kind="stable")
             h, begin, end, least = h[order], begin[order].astype(np.int64), end[order].astype(np.int64), least[order]
-            at, doc, _ = anchors(t, min_len)
+            at, doc, key = anchors(t, min_len)
+            told = np.sort(np.concatenate(spread(notes.column("keys").to_pylist(), np.uint64)))
+            go = told[np.minimum(np.searchsorted(told, key), len(told) - 1)] == key
+            at, doc = at[go], doc[go]
             _, mine = surroundings(t, at, doc, min_len)
             lo, hi = np.searchsorted(h, mine, "left"), np.searchsorted(h, mine, "right")
             n = hi - lo
@@ -287,7 +320,7 @@ def removed_spans(docs: DataFrame, *, id_col="doc_id", text_col="text", min_len=
 
     seen = shared(chunks.each(hashes, OFFER))
     brought = chunks.with_notes(seen, bring, "bucket long, from long, ids binary, rows binary")
-    found = brought.groupBy("bucket").applyInArrow(compare, "chunk long, hash binary, begin binary, end binary, least binary")
+    found = brought.groupBy("bucket").applyInArrow(compare, "chunk long, keys binary, hash binary, begin binary, end binary, least binary")
     schema = "id long, n_bytes long, spans array<struct<begin:long,end:long>>, kept binary"
     if carry is not None:
         schema += f", kept_text string, void boolean, row {chunks.texts.schema['row'].dataType.simpleString()}"
