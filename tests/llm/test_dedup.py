@@ -112,6 +112,25 @@ def test_substring_dedup(spark, word_rows):
     assert have == brute_words(word_rows)
 
 
+def test_words_that_differ_in_one_pattern(spark):
+    # two words in Thue-Morse order have equal polynomial hashes modulo 2^64
+    bits = [bin(i).count("1") % 2 for i in range(1024)]
+    one, two = ("".join("ab"[b ^ flip] for b in bits) for flip in (0, 1))
+    words = [f"w{i}" for i in range(49)]
+    rows = [(1, " ".join([one, *words])), (2, " ".join([two, *words])), (3, " ".join(["x" if b else "y" for b in bits[:64]])), (4, " ".join(["y" if b else "x" for b in bits[:64]]))]
+    got = substring_dedup.removed_words(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.id, r.n_words, r.n_removed, hashlib.sha256(r.kept).hexdigest()) for r in got), key=str) == brute_words(rows)
+
+
+def test_runs():
+    x = np.random.default_rng(0).integers(0, 3, 400).astype(np.uint64)
+    for size in (1, 2, 20, 31, 50, 64):
+        h = substring_dedup._runs(x, size).tolist()
+        runs = [tuple(x[i : i + size].tolist()) for i in range(len(x) - size + 1)]
+        assert len(h) == len(runs) and len(set(zip(h, runs, strict=True))) == len(set(h)) == len(set(runs))
+    assert len(substring_dedup._runs(x[:10], 50)) == 0
+
+
 def test_cover():
     c, v = substring_dedup.COVER, substring_dedup.PERIOD
     assert {(a - b) % v for a in c for b in c} == set(range(v))

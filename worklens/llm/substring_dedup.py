@@ -6,7 +6,7 @@ window - PERIOD + 1 words at a cover position. Only runs at cover positions are
 hold is extended: every window around it is hashed whole, and the bucket of that hash finds the least document with
 the window. A word goes if a window that covers it also starts in a document with a smaller id.
 
-Words are compared by 64-bit hashes of themselves, windows by 64-bit hashes of their words.
+Words are compared by their XXH3 hashes of 64 bits, windows by 64-bit hashes mixed from their words'; texts aren't compared again.
 
 Cases: a null text has no words; texts under `window` words keep all. Rows with a null id come after all others. Repeated rows with one id are
 one document: they don't remove each other. Extra columns are ignored.
@@ -14,8 +14,11 @@ one document: they don't remove each other. Extra columns are ignored.
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,24 +29,23 @@ COVER = (1, 5, 11, 24, 25, 27)  # every remainder modulo 31 is a difference of t
 
 _space = np.zeros(256, bool)
 _space[[0x20, *range(0x09, 0x0E)]] = True
-_A, _B = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n + 1, base, np.uint64)
-    out[0] = 1
-    return np.cumprod(out, dtype=np.uint64)
 
 
-class _Windows:
-    """Hashes of any runs of values, by prefix sums of a polynomial with an odd base."""
+def _runs(values: np.ndarray, size: int) -> np.ndarray:
+    """A hash of each run of `size` values: halves are joined and mixed again and again, so that the hash is no sum whose terms could cancel out."""
+    out, done, step, part = None, 0, 1, values
+    while True:
+        if size & step:
+            out, done = (part, step) if out is None else (_joined(out, part[done:]), done + step)
+        step *= 2
+        if step > size:
+            return out[: max(0, len(values) - size + 1)]
+        part = _joined(part, part[step // 2 :])
 
-    def __init__(self, values: np.ndarray, base: int):
-        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * _powers(base, len(values))[:-1], dtype=np.uint64)])
-        self.down = _powers(pow(base, -1, 1 << 64), len(values))
 
-    def hashes(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix(((self.sums[end] - self.sums[begin]) * self.down[begin]) ^ (end - begin).astype(np.uint64))
+def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    n = min(len(a), len(b))
+    return mix((a[:n] * np.uint64(0x9E3779B97F4A7C15)) ^ mix(b[:n] + np.uint64(0xD6E8FEB86659FD93)))
 
 
 class _Words:
@@ -58,18 +60,19 @@ class _Words:
         last = black.copy()
         last[:-1] &= ~black[1:] | edge[1:-1]
         self.begin, self.end = np.flatnonzero(first), np.flatnonzero(last) + 1
-        self.hash = _Windows(t.raw.astype(np.uint64) + np.uint64(1), _A).hashes(self.begin, self.end)
+        # bytes.split() parts at exactly the bytes that _space marks
+        words = itertools.chain.from_iterable(t.raw[a:b].tobytes().split() for a, b in zip(t.start.tolist(), t.end.tolist(), strict=True))
+        self.hash = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(self.begin))
         # words of document d: from[d] to to[d]
         self.start, self.stop = np.searchsorted(self.begin, t.start, "left"), np.searchsorted(self.begin, t.end, "left")
         self.doc = np.repeat(np.arange(len(t.ids)), self.stop - self.start)
         self.place = np.arange(len(self.begin)) - self.start[self.doc]
         self.left = self.stop[self.doc] - np.arange(len(self.begin))  # words from here to the document's end
-        self.windows = _Windows(self.hash, _B)
 
 
 def _cover_runs(w: _Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     at = np.flatnonzero(np.isin(w.place % PERIOD, COVER) & (w.left >= size))
-    return at, w.windows.hashes(at, at + size)
+    return at, _runs(w.hash, size)[at]
 
 
 def removed_words(docs: DataFrame, *, id_col="doc_id", text_col="text", window=50) -> DataFrame:
@@ -94,7 +97,7 @@ def removed_words(docs: DataFrame, *, id_col="doc_id", text_col="text", window=5
             # every window that holds such a run whole, beginning up to PERIOD - 1 words before it
             near = covered(len(w.begin), np.maximum(at - PERIOD + 1, w.start[w.doc[at]]), at + 1)
             at = np.flatnonzero(near & (w.left >= window))
-            key, ids = w.windows.hashes(at, at + window), t.ids[w.doc[at]]
+            key, ids = _runs(w.hash, window)[at], t.ids[w.doc[at]]
             order = np.lexsort((ids, key))
             pick = order[np.flatnonzero(np.diff(key[order], prepend=~key[order][:1]))] if len(order) else order
             many = np.zeros(len(pick), bool)
@@ -129,7 +132,7 @@ def removed_words(docs: DataFrame, *, id_col="doc_id", text_col="text", window=5
             order = np.argsort(keys)
             keys, low = keys[order], low[order]
             at = np.flatnonzero(w.left >= window)
-            mine = w.windows.hashes(at, at + window)
+            mine = _runs(w.hash, window)[at]
             i = np.minimum(np.searchsorted(keys, mine), len(keys) - 1)
             at = at[(keys[i] == mine) & (low[i] < t.ids[w.doc[at]])]
             gone = covered(len(gone), at, at + window)
