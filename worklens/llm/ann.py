@@ -227,7 +227,7 @@ class Graph:
                 ids, sims, seen = (np.frombuffer(row[c], k) for c, k in (("ids", np.int64), ("sims", np.float64), ("seen", np.int64)))
                 a, b = np.searchsorted(who, row["id"], "left"), np.searchsorted(who, row["id"], "right")
                 q = np.frombuffer(row["q"], np.float32).astype(np.float64)
-                s = x[order[a:b]] @ (q / np.linalg.norm(q))
+                s = x[order[a:b]] @ (q / np.linalg.norm(q)) if b > a else np.zeros(0)
                 all_ids, all_sims = np.concatenate([ids, other[a:b]]), np.concatenate([sims, s])
                 keep = np.lexsort((all_ids, -all_sims))[:beam]
                 for c, v in zip(cols, (all_ids[keep].tobytes(), all_sims[keep].tobytes(), np.concatenate([seen, other[a:b]]).tobytes(), all_ids[keep[keep >= len(ids)]].tolist()), strict=True):
@@ -237,8 +237,9 @@ class Graph:
 
         state = stash(asked.select("id", "bucket", "small").mapInArrow(begin, STATE))
         for _ in range(most_rounds):
-            front = state.select("id", "bucket", F.explode("front").alias("node"))
-            got = front.join(links.hint("merge"), "node").select("id", "bucket", "links")
+            # new names for columns, as both sides of the cogroup come from `state`
+            front = state.select(F.col("id").alias("who"), F.col("bucket").alias("deal"), F.explode("front").alias("node"))
+            got = front.join(links.hint("merge"), "node").select(F.col("who").alias("id"), F.col("deal").alias("bucket"), "links")
             fresh = state.select("id", "bucket", "seen").groupBy("bucket").cogroup(got.groupBy("bucket")).applyInArrow(unseen, "id long, bucket long, other long")
             scored = fresh.join(self.vectors.hint("merge"), "other")
             state = stash(state.groupBy("bucket").cogroup(scored.groupBy("bucket")).applyInArrow(advance, STATE))
