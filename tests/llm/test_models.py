@@ -24,6 +24,15 @@ def test_language(spark):
     assert held.filter("lang_pred = lang").count() >= 0.97 * held.count() and got.filter("score < 0 or score > 1").count() == 0
 
 
+def test_language_letters(spark):
+    docs = spark.createDataFrame([(i, t, g) for i in range(40) for t, g in (("wolno czytam " + "z" * 60, "pl"), ("read slowly here", "en"))], "doc_id long, text string, lang string")
+    texts = ["² ½", "Ⅷ", "12 _", "read²slowly", "z" * 60, "y" * 10 + "z" * 45]
+    got = langid.predict(spark.createDataFrame([(t,) for t in texts], "text string"), langid.train(docs)).collect()
+    assert [r.lang_pred for r in got] == ["und", "und", "und", "en", "pl", "pl"]
+    docs = docs.unionByName(spark.createDataFrame([(i, "qqq www", "und") for i in range(40)], docs.schema))
+    assert langid.predict(spark.createDataFrame([("qqq www",)], "text string"), langid.train(docs)).first().lang_pred == "und"
+
+
 def test_language_odd(spark):
     docs = spark.createDataFrame([(10, "the cat sat", "en"), (11, "le chat assis", "fr"), (12, None, "de"), (13, "x", None)], "doc_id long, text string, lang string")
     model = langid.train(docs)

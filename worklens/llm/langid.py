@@ -8,13 +8,15 @@ starts there gives its log frequency, and the word scores the mean of these. A t
 language is the one with the largest sum over all its words.
 
 Cases: null text or one without a letter gives `und` with score 0; so does every text if no label was
-learned. Equal sums go to the alphabetically first language. Rows with a null id are scored; they count as held
+learned. Letters are Unicode letters, not numerals or fractions. Every label that occurs is learned, `und` too (the
+pipeline's stage drops what is predicted so), and the model grows with their number. Equal sums go to the alphabetically first language. Rows with a null id are scored; they count as held
 out only if their remainder says so (null: not held out). Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+import sys
 import uuid
 from collections.abc import Iterator
 
@@ -27,15 +29,17 @@ from pyspark.sql.window import Window
 
 from .common import remainder, resident, slices
 
-WORD = re.compile(r"[^\W\d_]+")
+# letters alone: \w also takes superscripts, fractions and numerals that look like letters
+_NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
+WORD = re.compile(rf"[^\W\d_{_NUMERALS}]+")
 MEMO = 400_000
 
 
-def train(docs: DataFrame, *, text_col="text", lang_col="lang", id_col="doc_id", per_lang=600, max_langs=200, max_chars=20_000, max_n=5, top=20_000) -> dict:
+def train(docs: DataFrame, *, text_col="text", lang_col="lang", id_col="doc_id", per_lang=600, max_chars=20_000, max_n=5, top=20_000) -> dict:
     """Word and n-gram log frequencies by language, from a bounded sample of labelled texts (at most `top` of each kind for a language)."""
     rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("g"))
-    rows = rows.filter("t is not null and g is not null and g <> 'und'").filter(F.length("t") <= max_chars)
-    counts = {r.g: r.n for r in rows.groupBy("g").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "g").limit(max_langs).collect()}
+    rows = rows.filter("t is not null and g is not null").filter(F.length("t") <= max_chars)
+    counts = {r.g: r.n for r in rows.groupBy("g").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return {"langs": [], "index": {}, "table": np.zeros((0, 0), np.float32), "max_n": max_n}
     langs = sorted(counts)
@@ -44,7 +48,7 @@ def train(docs: DataFrame, *, text_col="text", lang_col="lang", id_col="doc_id",
     picked = rows.filter(F.col("g").isin(langs)).filter((F.pmod(F.xxhash64(F.col("i").cast("string")), F.lit(1_000_003)) / 1_000_003) < share[F.col("g")])
     words = picked.select("g", F.explode(F.regexp_extract_all(F.lower("t"), F.lit(r"(\p{L}+)"), F.lit(1))).alias("w")).groupBy("g", "w").agg(F.count("*").alias("n"))
     words = words.repartition(F.col("w")).persist()
-    marked = F.concat(F.lit("<"), F.substring("w", 1, 40), F.lit(">"))
+    marked = F.concat(F.lit("<"), F.col("w"), F.lit(">"))
     grams = words.select("g", "n", marked.alias("m")).select(
         "g", "n", F.explode(F.flatten(F.array(*[F.expr(f"transform(sequence(1, greatest(1, length(m) - {k - 1})), p -> substring(m, p, {k}))") for k in range(1, max_n + 1)]))).alias("w")
     )
