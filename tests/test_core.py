@@ -224,3 +224,12 @@ def test_cooldown(spark):
     history = spark.createDataFrame([("x", None, datetime(2025, 12, 31, 23, tzinfo=UTC))], "action_id string, actor string, last_fired_at timestamp")
     got = {(r.actor, r["at"].hour): r.cooling for r in actions.thin(events, history, 7200).collect()}
     assert got == {("a", 0): False, ("a", 1): True, ("a", 3): False, ("a", 4): False, (None, 0): True}
+
+
+def test_folders_are_free(spark):
+    from worklens.operators import skills
+
+    stored = spark.createDataFrame([("bar", "h0", "bar"), ("bar", "h1", "bar-2"), ("baz-2", "h0", "baz-2")], "name string, content_hash string, folder string")
+    new = spark.createDataFrame([("foo", "h1"), ("foo", "h2"), ("foo-2", "h3"), ("bar-2", "h4"), ("bar", "h5"), ("bar", "h1"), ("baz", "h6"), ("baz", "h7")], "name string, content_hash string")
+    got = {(r.name, r.content_hash): r.folder for r in skills.file_names(stored, new).collect()}
+    assert got == {("foo", "h1"): "foo", ("foo", "h2"): "foo-3", ("foo-2", "h3"): "foo-2", ("bar-2", "h4"): "bar-2-2", ("bar", "h5"): "bar-3", ("baz", "h6"): "baz", ("baz", "h7"): "baz-3"}
