@@ -233,3 +233,29 @@ def test_folders_are_free(spark):
     new = spark.createDataFrame([("foo", "h1"), ("foo", "h2"), ("foo-2", "h3"), ("bar-2", "h4"), ("bar", "h5"), ("bar", "h1"), ("baz", "h6"), ("baz", "h7")], "name string, content_hash string")
     got = {(r.name, r.content_hash): r.folder for r in skills.file_names(stored, new).collect()}
     assert got == {("foo", "h1"): "foo", ("foo", "h2"): "foo-3", ("foo-2", "h3"): "foo-2", ("bar-2", "h4"): "bar-2-2", ("bar", "h5"): "bar-3", ("baz", "h6"): "baz", ("baz", "h7"): "baz-3"}
+
+
+def test_capped_sessions_go_on_counting_after_a_timeout():
+    import pandas as pd
+
+    from worklens.streaming.live import capped_step
+
+    class State:
+        exists, hasTimedOut, get = False, False, None
+
+        def update(self, value):
+            self.exists, self.get = True, value
+
+        def setTimeoutTimestamp(self, at):
+            pass
+
+        def getCurrentWatermarkMs(self):
+            return 0
+
+    state, step, out = State(), capped_step(1800, 6 * 3600), []
+    turns = lambda *minutes: [pd.DataFrame({"timestamp": [pd.Timestamp("2024-01-01") + pd.Timedelta(minutes=m) for m in minutes]})]
+    for batch in (turns(0, 10), None, turns(200, 300), None):
+        state.hasTimedOut = batch is None
+        out += next(step(("a",), batch, state)).values.tolist()
+    assert [(r[1], r[4], r[5]) for r in out] == [(1, 2, "open"), (2, 1, "gap"), (3, 1, "open")]
+    assert out[2][2] == pd.Timestamp("2024-01-01 05:00:00")

@@ -19,35 +19,40 @@ def gap_sessions(turns: DataFrame, *, gap="30 minutes", late="1 hour") -> DataFr
     return s.select("transcript", "started_at", "ended_at", "turn_count")
 
 
-def capped_sessions(turns: DataFrame, *, gap=30 * 60, cap=6 * 3600, late="1 hour") -> DataFrame:
-    """Sessions closed by a pause over `gap` or a length over `cap` seconds. The state of a transcript is its open session; a timer closes it when the
-    watermark has passed the gap."""
+def capped_step(gap: int, cap: int) -> Callable:
+    """The fold of `capped_sessions`. Its state: the last session's number, start, end and turns (0: closed by the timer)."""
 
     def step(key: tuple, batches, state: GroupState):
         out = []
-        number, start, last, n = state.get if state.exists else (0, None, None, 0)
+        number, start, last, n = state.get if state.exists else (0, 0, 0, 0)
 
         def close(reason):
             out.append((key[0], number, pd.Timestamp(start, unit="us"), pd.Timestamp(last, unit="us"), n, reason))
 
         if state.hasTimedOut:
             close("open")
-            state.remove()
+            state.update((number, 0, 0, 0))  # the number stays for a later session
         else:
             times = pd.concat([b["timestamp"] for b in batches]).sort_values().astype("datetime64[us]").astype("int64")
             for t in times.tolist():
-                reason = None if last is None else "gap" if t - last > gap * 1_000_000 else "cap" if t - start > cap * 1_000_000 else None
+                reason = None if not n else "gap" if t - last > gap * 1_000_000 else "cap" if t - start > cap * 1_000_000 else None
                 if reason:
                     close(reason)
-                if reason or last is None:
-                    number, start, n = number + 1, t, 0
-                last, n = max(t, last or t), n + 1
+                if reason or not n:
+                    number, start, last, n = number + 1, t, t, 0
+                last, n = max(t, last), n + 1
             state.update((number, start, last, n))
             state.setTimeoutTimestamp(max(last // 1000 + gap * 1000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["transcript", "number", "started_at", "ended_at", "turn_count", "ended_reason"])
 
+    return step
+
+
+def capped_sessions(turns: DataFrame, *, gap=30 * 60, cap=6 * 3600, late="1 hour") -> DataFrame:
+    """Sessions closed by a pause over `gap` or a length over `cap` seconds. The state of a transcript is its open session; a timer closes it when the
+    watermark has passed the gap, and the count of its sessions stays."""
     rows = turns.select("transcript", "timestamp").withWatermark("timestamp", late)
-    return rows.groupBy("transcript").applyInPandasWithState(step, SESSION, "number long, start long, last long, n long", "append", GroupStateTimeout.EventTimeTimeout)
+    return rows.groupBy("transcript").applyInPandasWithState(capped_step(gap, cap), SESSION, "number long, start long, last long, n long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def once(turns: DataFrame, late="1 hour") -> DataFrame:
