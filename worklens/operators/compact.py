@@ -28,7 +28,7 @@ def serialised(turns: DataFrame, *, order="seq") -> DataFrame:
 
 def prompts(sessions: DataFrame, turns: DataFrame, summaries: DataFrame | None = None, instructions: str = "") -> DataFrame:
     """session_id, prompt: a header with the first 400 turns, or with the summary (session_id, summary) and the last 40."""
-    head = F.concat(F.lit("Session: project="), "project", F.lit(" surface="), "surface", F.lit(" turns="), "turn_count")
+    head = F.concat(F.lit("Work in "), "project", F.lit(" by way of "), "surface", F.lit("; number of turns: "), "turn_count")
     s = sessions.select(F.col("id").alias("session_id"), head.alias("head"))
     s = s.join(summaries.hint("merge"), "session_id", "left") if summaries is not None else s.withColumn("summary", F.lit(None).cast("string"))
     summarised = F.col("summary").isNotNull() & (F.col("summary") != "")
@@ -36,8 +36,8 @@ def prompts(sessions: DataFrame, turns: DataFrame, summaries: DataFrame | None =
     full = serialised(head_tail(t.filter(~F.col("_tail")), head=MAX_TURNS))
     tail = serialised(head_tail(t.filter("_tail"), tail=TAIL))
     body = s.join(full.unionByName(tail).hint("merge"), "session_id", "left").withColumn("turns", F.coalesce("turns", F.lit("[]")))
-    text = F.when(summarised, F.concat(F.lit(instructions + "\n"), "head", F.lit("\n\nPRIOR_SUMMARY:\n"), "summary", F.lit("\n\nRECENT_TURNS:\n"), "turns", F.lit("\n")))
-    return body.select("session_id", text.otherwise(F.concat(F.lit(instructions + "\n"), "head", F.lit("\n\nTURNS:\n"), "turns", F.lit("\n"))).alias("prompt"))
+    text = F.when(summarised, F.concat(F.lit(instructions + "\n"), "head", F.lit("\n\n# Summary so far\n"), "summary", F.lit("\n\n# Last turns, as JSON\n"), "turns", F.lit("\n")))
+    return body.select("session_id", text.otherwise(F.concat(F.lit(instructions + "\n"), "head", F.lit("\n\n# Turns, as JSON\n"), "turns", F.lit("\n"))).alias("prompt"))
 
 
 def first_object(raw: str | None, *, prefer: str | None = None) -> str | None:
