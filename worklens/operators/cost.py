@@ -22,7 +22,7 @@ def session_cost(turns: DataFrame, *, by="session_id", order="seq") -> DataFrame
 
 def cost_table(sessions: DataFrame, costs: DataFrame, *, newest: int | None = None) -> DataFrame:
     """Cost of each session, newest first, with the total over all rows shown; `newest` keeps so many rows."""
-    rows = sessions.select("id", "project", "started_at").join(costs.withColumnRenamed("session_id", "id"), "id", "left")
+    rows = sessions.select("id", "project", "started_at").join(costs.withColumnRenamed("session_id", "id").hint("merge"), "id", "left")
     if newest is not None:
         rows = rows.orderBy(F.desc("started_at"), "id").limit(newest)
     rows = rows.withColumn("usd", F.coalesce("usd", F.lit(0.0)))

@@ -58,6 +58,21 @@ def owned(rows: DataFrame, org_id: str, team_id: str) -> DataFrame:
     return rows.filter((F.col("org_id") == org_id) & (F.col("team_id") == team_id) & F.col("released"))
 
 
+def orgs(rows: DataFrame) -> DataFrame:
+    """org_id of every org that has rows."""
+    return rows.filter(F.col("org_id").isNotNull()).select("org_id").distinct()
+
+
+def teams(rows: DataFrame, org_id: str) -> DataFrame:
+    """team_id of every team of an org."""
+    return rows.filter((F.col("org_id") == org_id) & F.col("team_id").isNotNull()).select("team_id").distinct()
+
+
+def audit(entries: DataFrame, *, action_id=None, actor=None, limit: int | None = None) -> DataFrame:
+    """Audit rows of an action and an actor (None: any), newest first."""
+    return listing(entries, time="fired_at", limit=limit, action_id=action_id, actor=actor)
+
+
 def pending(sessions: DataFrame, compactions: DataFrame, *, summarised_only=False) -> DataFrame:
     """Sessions still to be compacted: not personal, without a compaction."""
     rows = sessions.filter(F.col("mode") != "personal")

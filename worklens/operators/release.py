@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.redact import redact_compactions, redact_turns
@@ -26,11 +26,14 @@ def release_batch(compactions: DataFrame, sessions: DataFrame, ledger: DataFrame
 
 
 def sync(batch: DataFrame, ledger: DataFrame, path: str, when) -> tuple[DataFrame, int]:
-    """Write a batch, count it back, and only then mark it: the new ledger and the number sent."""
+    """Write a batch, hold what can be read back against what was given, and only then mark it: the new ledger and the number sent."""
     spark = batch.sparkSession
-    batch.write.parquet(path)
+    given = Observation("sync")
+    batch.observe(given, F.count(F.lit(1)).alias("n")).write.parquet(path)
     sent = spark.read.schema(batch.schema).parquet(path)
     ids, n = sent.select("id"), sent.count()
+    if n != given.get["n"]:
+        raise ValueError("the batch was not received whole; nothing was marked")
     if n != sent.select("id").distinct().count():
         raise ValueError("the batch repeats ids; nothing was marked")
     return mark_synced(ledger, ids, when), n
@@ -51,14 +54,18 @@ def write_raw(lines: DataFrame, path: str) -> DataFrame:
 
 
 def org_ingest(stored: DataFrame, batch: DataFrame, claims: DataFrame) -> DataFrame:
-    """Upsert a batch into the org's table. Any row that isn't released refuses the whole batch. Actor, org and team come from the claims (credential, actor, org_id,
-    team_id), never from the payload; keys get the org before them."""
+    """Upsert a batch into the org's table. A row that isn't released, an unknown credential or an id that an org sends twice refuses the whole batch. Actor, org and team
+    come from the claims (credential, actor, org_id, team_id; one row each), never from the payload; keys get the org before them."""
     ok = batch.agg(F.bool_and(F.coalesce("released", F.lit(False))).alias("ok")).first().ok
     if ok is False:
         raise ValueError("a batch may hold released rows only")
     payload = batch.drop("actor", "org_id", "team_id")
+    if not payload.join(claims.select("credential").hint("merge"), "credential", "left_anti").isEmpty():
+        raise ValueError("a batch may come from known credentials only")
     bound = payload.join(claims.hint("merge"), "credential").drop("credential")
     keyed = bound.withColumn("id", F.concat(F.col("org_id"), F.lit("::"), F.col("id")))
+    if not keyed.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
+        raise ValueError("a batch may hold an id once only")
     return upsert(stored, keyed.select(*stored.columns), ["id"])
 
 

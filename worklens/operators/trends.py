@@ -15,11 +15,12 @@ def loops(turns: DataFrame, *, by="session_id", key="tool_name", time="timestamp
 
 
 def prior_work(pairs: DataFrame, rows: DataFrame, *, n=3, same="project") -> DataFrame:
-    """id, other, sim, rank: the most similar earlier rows of the same project. `pairs`: a, b, sim; `rows`: id, started_at, project."""
+    """id, other, sim, rank: the most similar earlier rows of the same project (ties within nine digits go to smaller ids). `pairs`: a, b, sim; `rows`: id, started_at,
+    project."""
     both = pairs.select("a", "b", "sim").union(pairs.select("b", "a", "sim"))
     one, two = (rows.select(F.col("id").alias(k), F.col("started_at").alias(f"t{k}"), F.col(same).alias(f"p{k}")) for k in "ab")
     joined = both.join(one.hint("merge"), "a").join(two.hint("merge"), "b").filter("tb < ta and pa = pb")
-    order = Window.partitionBy("a").orderBy(F.desc("sim"), "b")
+    order = Window.partitionBy("a").orderBy(F.desc(F.round("sim", 9)), "b")
     return joined.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n).select(F.col("a").alias("id"), F.col("b").alias("other"), "sim", "rank")
 
 
@@ -33,6 +34,25 @@ def stuck(turns: DataFrame, *, by="session_id", times=3) -> DataFrame:
     return turns.filter(F.col("error").isNotNull()).groupBy(by, "tool_name").agg(F.count("*").alias("errors")).filter(F.col("errors") >= times)
 
 
+def helpers(stuck: DataFrame, sessions: DataFrame, compactions: DataFrame, *, n=2, by="session_id") -> DataFrame:
+    """by, tool_name, helper, rank: for each stuck session the newest `n` released compactions of the same org and project by other people. `sessions`: by, actor, org_id,
+    project; `compactions`: id, actor, org_id, project, started_at, released.
+
+    Of each project only the newest `n` of each of the first `n` + 1 people are met, so no stuck session meets a whole project.
+    """
+    place = ["org_id", "project"]
+    newest = (F.desc("started_at"), "helper")
+    rows = compactions.filter("released").select("org_id", "project", F.col("actor").alias("other"), F.col("id").alias("helper"), "started_at")
+    rows = rows.withColumn("_r", F.row_number().over(Window.partitionBy(*place, "other").orderBy(*newest))).filter(F.col("_r") <= n)
+    # the newest n rows of others are held by the n + 1 people who come first
+    people = rows.filter("_r = 1").withColumn("_p", F.row_number().over(Window.partitionBy(*place).orderBy(*newest))).filter(F.col("_p") <= n + 1)
+    rows = rows.join(people.select(*place, "other").hint("merge"), [*place, "other"], "left_semi")
+    asked = stuck.select(by, "tool_name").join(sessions.select(by, "actor", *place).hint("merge"), by)
+    met = asked.join(rows.drop("_r").hint("merge"), place).filter(F.col("other") != F.col("actor"))
+    line = Window.partitionBy(by, "tool_name").orderBy(*newest)
+    return met.withColumn("rank", F.row_number().over(line)).filter(F.col("rank") <= n).select(by, "tool_name", "helper", "rank")
+
+
 def weekly(rows: DataFrame, *, by: tuple[str, ...], time="started_at", cost="est_cost_usd") -> DataFrame:
     """by, week (its first day, Thursdays by the epoch), sessions, contributors, cost."""
     week = F.window(F.col(time), "7 days")["start"].alias("week")
@@ -40,6 +60,7 @@ def weekly(rows: DataFrame, *, by: tuple[str, ...], time="started_at", cost="est
 
 
 def cost_jumps(weeks: DataFrame, *, by: tuple[str, ...], factor=2.0) -> DataFrame:
-    """Weeks that cost `factor` times the one before or more (of weeks with rows)."""
-    before = F.lag("cost").over(Window.partitionBy(*by).orderBy("week"))
+    """Weeks that cost `factor` times the one before or more ; a week after one without rows is no jump."""
+    order = Window.partitionBy(*by).orderBy("week")
+    before = F.when(F.lag("week").over(order) == F.col("week") - F.expr("interval 7 days"), F.lag("cost").over(order))
     return weeks.withColumn("before", before).filter(F.col("cost") >= factor * F.col("before"))

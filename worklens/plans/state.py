@@ -5,19 +5,27 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share (`spark.checkpoint.dir`). Where it is unset, a folder of our own, in local mode only: on a cluster every
+    executor would write to a disk of its own, and rows would be lost."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not spark.conf.get("spark.master", "").startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    if not _own:
+        _own.append(tempfile.mkdtemp(prefix="spark-settled-"))
+    return _own[0]
+
+
 def settle(df: DataFrame) -> DataFrame:
-    """Write `df` to the shared folder (spark.checkpoint.dir; one of our own only where that is unset) and read it back."""
+    """Write `df` to the shared folder and read it back: cuts the lineage and gives later joins true sizes."""
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not _own:
-            _own.append(tempfile.mkdtemp(prefix="spark-settled-"))
-        base = _own[0]
-    path = f"{base.rstrip('/')}/settled-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/settled-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
