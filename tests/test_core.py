@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from worklens.functions import redact as R
 from worklens.functions.pricing import cost, resolve_tier
 from worklens.functions.times import cutoff, parse_time
-from worklens.operators import actions, citations, cluster, compact, kanon, release, sessionize, similarity, skills
+from worklens.operators import actions, citations, cluster, compact, kanon, release, sessionize, similarity, skills, trends
 from worklens.plans.capture import ingest
 from worklens.sources import transcripts
 
@@ -193,19 +193,47 @@ def test_clusters(spark):
     assert cluster.cohesion(got, vectors).first().cohesion == pytest.approx(mean, abs=1e-4)
 
 
-def test_greedy_matches_plain():
+def test_communities_match_plain(spark):
     rng = random.Random(1)
-    for _ in range(200):
-        n = rng.randint(2, 12)
-        near = {i: {j for j in range(n) if j != i and (i * 7 + j * 7) % 11 < 4} for i in range(n)}
-        near = {i: {j for j in near[i] if i in near[j]} for i in near}
-        candidates = sorted(({i, *near[i]} for i in range(n) if len(near[i]) + 1 >= 2), key=len, reverse=True)
-        assigned, want = set(), []
-        for m in candidates:
-            if len(fresh := m - assigned) >= 2:
-                want.append(sorted(fresh))
-                assigned |= fresh
-        assert cluster.greedy({i: list(x) for i, x in near.items()}, {i: i for i in range(n)}, 2) == want
+    links, want = [], {}
+    for graph in range(60):
+        n, base = rng.randint(2, 14), graph * 100
+        chosen = [(base + i, base + j) for i in range(n) for j in range(i + 1, n) if rng.random() < rng.choice([0.15, 0.4])]
+        near = {base + i: {base + i} for i in range(n)}
+        for a, b in chosen:
+            near[a].add(b)
+            near[b].add(a)
+        links += chosen
+        free = set(near)
+        for m in sorted((x for x in near if len(near[x]) > 1), key=lambda x: (-len(near[x]), x)):
+            fresh = near[m] & free
+            if len(fresh) > 1:
+                want |= dict.fromkeys(fresh, min(fresh))
+                free -= fresh
+    ids = spark.range(6000).select("id", F.col("id").alias("ordinal"))
+    pairs = spark.createDataFrame([(a, b, 1.0) for a, b in links], "a long, b long, sim double")
+    assert {r.id: r.cluster for r in cluster.communities(ids, pairs).collect()} == want
+    assert cluster.communities(ids, pairs.limit(0)).count() == 0
+
+
+def test_dense_pairs_of_odd_vectors(spark):
+    rows = [(1, [1.0]), (2, [1.0, 2.0, 3.0]), (3, [1e200, 2e200, 3e200]), (4, [0.0, 0.0, 0.0]), (5, [float("nan"), 1.0, 1.0]), (6, [None, 1.0, 1.0]), (7, None), (8, [2.0])]
+    df = spark.createDataFrame(rows, "id long, embedding array<double>")
+    assert {(r.a, r.b): round(r.sim, 9) for r in similarity.dense_pairs(df, 0.5).collect()} == {(2, 3): 1.0, (1, 8): 1.0}
+
+
+def test_cost_jumps_need_the_week_before(spark):
+    weeks = spark.createDataFrame([("t", datetime(2026, 1, d), c) for d, c in ((1, 1.0), (8, 3.0), (22, 9.0), (29, 20.0))], "team_id string, week timestamp, cost double")
+    assert [r.week.day for r in trends.cost_jumps(weeks, by=("team_id",)).orderBy("week").collect()] == [8, 29]
+
+
+def test_ingest_refuses(spark):
+    stored = spark.createDataFrame([], "id string, actor string, org_id string, team_id string, released boolean")
+    claims = spark.createDataFrame([("k", "me", "o", "t")], "credential string, actor string, org_id string, team_id string")
+    shape = "id string, actor string, org_id string, team_id string, released boolean, credential string"
+    for rows in ([("c1", "x", "o", "t", True, "k"), ("c2", "x", "o", "t", True, "stolen")], [("c1", "x", "o", "t", True, "k"), ("c1", "y", "o", "t", True, "k")], [("c1", "x", "o", "t", True, None)]):
+        with pytest.raises(ValueError):
+            release.org_ingest(stored, spark.createDataFrame(rows, shape), claims)
 
 
 def test_skills(spark):

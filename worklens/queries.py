@@ -248,6 +248,26 @@ def pending_sessions(spark, d):
     return q.pending(rows, rows.filter("key % 3 = 1")).select("id")
 
 
+@query(C + "select distinct org_id, team_id from c where org_id is not null and org_id = 'org1' and team_id is not null union all select distinct org_id, null from c where org_id is not null")
+def orgs_and_teams(spark, d):
+    """Q12: all orgs, and the teams of one."""
+    rows = comps(spark, d)
+    return q.teams(rows, "org1").select(F.lit("org1").alias("org_id"), "team_id").union(q.orgs(rows).withColumn("team_id", F.lit(None).cast("string")))
+
+
+@query(C + "select id, case when key % 40 = 0 then 'fired' else 'suppressed' end as outcome from c where key % 20 = 0 and actor = 'a3' order by started_at desc, id limit 100")
+def list_audit(spark, d):
+    """Q4, Q15: an actor's audit rows under one action, newest first."""
+    return q.audit(_audit(spark, d), action_id="auto-tag", actor="a3", limit=100).select("id", "outcome")
+
+
+@query(C + "select 'audit' as kind, id from (select id from c where key % 20 = 0 order by started_at desc, id limit 200) union all select 'compaction', id from (select id from c order by started_at desc, id limit 500)")
+def newest_reviewed(spark, d):
+    """Q15: the newest 200 audit rows and the newest 500 compactions."""
+    lists = {"audit": q.audit(_audit(spark, d), limit=200), "compaction": q.listing(comps(spark, d), limit=500)}
+    return lists["audit"].select(F.lit("audit").alias("kind"), "id").union(lists["compaction"].select(F.lit("compaction").alias("kind"), "id"))
+
+
 @query(C + "select session_id as id, coalesce(key % 3 = 1, false) as compacted from c order by started_at desc, session_id limit 200")
 def review_list(spark, d):
     """Q15."""
@@ -338,7 +358,37 @@ def weekly_digest(spark, d):
     return rows.select(F.lit("week").alias("period"), F.date_format("week", "yyyy-MM-dd").alias("week"), "outcome", "sessions", "contributors", F.round("cost", 2).alias("cost"))
 
 
-@query(C + """, w as (select team_id, time_bucket(interval 7 day, started_at, timestamp '1970-01-01') as week, round(sum(est_cost_usd), 2) as cost from c group by all), l as (select *, lag(cost) over (partition by team_id order by week) as b from w)
+@query(SPLIT_SQL + "select strftime(time_bucket(interval 7 day, started_at, timestamp '1970-01-01'), '%Y-%m-%d') as week, tier, count(*) as sessions, round(sum(usd), 2) as cost from s join c on c.session_id = s.id group by all")
+def weekly_cost_by_tier(spark, d):
+    """Z6."""
+    x = split(spark, d)
+    rows = sessionize.sessions(x, keep=("actor",)).join(costs.session_cost(x).withColumnRenamed("session_id", "id").hint("merge"), "id")
+    return trends.weekly(rows, by=("tier",), cost="usd").select(F.date_format("week", "yyyy-MM-dd").alias("week"), "tier", "sessions", F.round("cost", 2).alias("cost"))
+
+
+@query(C + """, k as (select unnest(sequence_place) as kind, * from (select c.*, ['org', 'project', 'friction'] as sequence_place from c)),
+b as (select strftime(time_bucket(interval 7 day, started_at, timestamp '1970-01-01'), '%Y-%m-%d') as week, kind, org_id, case kind when 'project' then project when 'friction' then ['loop', 'tool_error', 'abandon', 'retry', 'deadend'][key % 5 + 1] end as bucket, actor
+  from k where kind <> 'friction' or key % 4 = 0) select week, kind, org_id, bucket, count(*) as sessions, count(distinct actor) as contributors from b group by all""")
+def weekly_org_digest(spark, d):
+    """An org's weeks in all, by project and by friction."""
+    rows = views.friction(comps(spark, d))
+    kinds = {"org": rows.withColumn("bucket", F.lit(None).cast("string")), "project": rows.withColumn("bucket", F.col("project"))}
+    kinds["friction"] = rows.withColumn("bucket", F.explode("friction_points.category"))
+    parts = [trends.weekly(r, by=("org_id", "bucket")).select(F.date_format("week", "yyyy-MM-dd").alias("week"), F.lit(k).alias("kind"), "org_id", "bucket", "sessions", "contributors") for k, r in kinds.items()]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
+@query(C + """, t as (select *, row_number() over (partition by session_id order by started_at) as n from c where key % 50 = 7),
+m as (select t.session_id, x.id, row_number() over (partition by t.session_id order by x.started_at desc, x.id) as rank from t join c x on x.org_id = t.org_id and x.project = t.project and x.actor <> t.actor and x.released)
+select session_id, id as helper, rank from m where rank <= 2""")
+def stuck_helpers(spark, d):
+    """Other people's newest compactions for sessions in which a tool failed again and again."""
+    c = comps(spark, d)
+    failed = c.filter("key % 50 = 7").select("session_id", F.lit("Bash").alias("tool_name"), F.explode(F.array_repeat(F.lit("failed"), 3)).alias("error"))
+    return trends.helpers(trends.stuck(failed), c, c).select("session_id", "helper", F.col("rank").cast("long").alias("rank"))
+
+
+@query(C + """, w as (select team_id, time_bucket(interval 7 day, started_at, timestamp '1970-01-01') as week, round(sum(est_cost_usd), 2) as cost from c group by all), l as (select w.*, v.cost as b from w join w v on v.team_id = w.team_id and v.week = w.week - interval 7 day)
 select team_id, strftime(week, '%Y-%m-%d') as week from l where cost >= 2 * b""")
 def cost_jumps(spark, d):
     """Z7."""
@@ -509,7 +559,8 @@ def detect_in_texts(spark, d):
     return rows.filter("found <> ''")
 
 
-COMMAND = "case doc_id % 5 when 0 then 'git push origin main --force' when 1 then 'rm -rf /tmp/' || doc_id when 2 then 'delete from t' || doc_id || ';' when 3 then 'git reset --hard' else substr(text, 1, 40) end"
+# every text, and some with a command after its end
+COMMAND = "coalesce(text, '') || case doc_id % 5 when 0 then ' git push origin main --force' when 1 then ' rm -rf /tmp/' || doc_id when 2 then ' delete from t' || doc_id || ';' when 3 then ' git reset --hard' else '' end"
 
 
 @query(f"with x as (select doc_id, {COMMAND} as c from documents) select doc_id, cast(" + " + ".join(f"regexp_matches(c, '{_re2(p)}')::int" for p in R.APPROVAL) + " as int) as hits from x")
@@ -549,7 +600,7 @@ def _narratives(spark, d):
 def _visible(spark, d):
     """Up to eleven rows for each narrative: its own order and those next to it."""
     rows = comps(spark, d).select(F.col("id").alias("query_id"), F.explode(F.sequence(F.col("key"), F.col("key") + 10)).alias("key"))
-    return rows.join(comps(spark, d).select("key", "id"), "key").select("query_id", "id", F.col("key").alias("rank"))
+    return rows.join(comps(spark, d).select("key", "id").hint("merge"), "key").select("query_id", "id", F.col("key").alias("rank"))
 
 
 CITE = C + """, n as (select id as query_id, 'done [' || id || ', comp-s' || (key // 10) || '] and [' || substr(id, 1, length(id) - 1) || '].' as text from c),
@@ -606,8 +657,8 @@ def prompt_table(spark, d):
     s = t.groupBy(F.col("session_id").alias("id")).agg(F.count("*").alias("turn_count")).withColumns({"project": F.lit("p"), "surface": F.lit("codex")})
     summaries = s.filter("cast(substr(id, 2) as bigint) % 2 = 0").select(F.col("id").alias("session_id"), F.lit("so far").alias("summary"))
     rows = compact.prompts(s, t, summaries)
-    n = F.least(F.regexp_extract("prompt", r"turns=(\d+)", 1).cast("long"), F.lit(400))
-    return rows.select("session_id", n.alias("turns"), F.when(F.col("prompt").contains("PRIOR_SUMMARY"), "summary").otherwise("full").alias("kind"))
+    n = F.least(F.regexp_extract("prompt", r"number of turns: (\d+)", 1).cast("long"), F.lit(400))
+    return rows.select("session_id", n.alias("turns"), F.when(F.col("prompt").contains("# Summary so far"), "summary").otherwise("full").alias("kind"))
 
 
 RAW = """case key % 4 when 0 then '{"task_intent": "fix ' || key || '", "outcome": "success", "artifacts": ["a.py", true, 3]}'
@@ -639,15 +690,14 @@ def assembled_compactions(spark, d):
 
 
 def _short(spark, d):
-    """Titles (a document's title is its first line), with an actor and a session each."""
-    words = F.split_part("text", F.lit("\n"), F.lit(1))
+    """Whole texts, with an actor and a session each."""
     return views.table(spark, d, "documents").select(
-        F.col("doc_id").alias("id"), F.concat(F.lit("a"), F.col("doc_id") % 17).alias("actor"), F.concat(F.lit("s"), "doc_id").alias("session_id"), words.alias("task_intent"), F.lit("").alias("approach"),
+        F.col("doc_id").alias("id"), F.concat(F.lit("a"), F.col("doc_id") % 17).alias("actor"), F.concat(F.lit("s"), "doc_id").alias("session_id"), F.col("text").alias("task_intent"), F.lit("").alias("approach"),
         F.timestamp_seconds(F.lit(1_700_000_000) - F.col("doc_id")).alias("started_at"), F.lit("p").alias("project"), (F.col("doc_id") % 2 == 0).alias("released"),
     )
 
 
-SHORT = r"""with recursive w as (select doc_id as id, split_part(text, chr(10), 1) as t from documents where text is not null),
+SHORT = r"""with recursive w as (select doc_id as id, text as t from documents where text is not null),
 k as (select id, unnest(regexp_extract_all(lower(t), '[a-z0-9]+')) as tok from w), b as (select id, cast(('0x' || right(sha256(tok), 8)) as bigint) % 256 as bucket, cast(count(*) as double) as n from k where length(tok) >= 2 group by 1, 2),
 e as (select id, bucket, n / sqrt(sum(n * n) over (partition by id)) as weight from b),
 s as (select x.id as a, y.id as b, sum(x.weight * y.weight) as sim from e x join e y on x.bucket = y.bucket and x.id < y.id group by 1, 2 having sum(x.weight * y.weight) >= 0.777)
@@ -690,7 +740,7 @@ def _communities(spark, d):
 
 @query()
 def text_communities(spark, d):
-    """Greedy communities of similar titles."""
+    """Greedy communities of similar texts."""
     return _communities(spark, d)[2]
 
 
@@ -707,12 +757,12 @@ def community_stats(spark, d):
     """Size, people, sessions and cohesion of recurring communities."""
     rows, vectors, members = _communities(spark, d)
     stats = cluster.recurring(cluster.cluster_stats(members, rows), min_contributors=2, min_sessions=2)
-    return stats.join(cluster.cohesion(members, vectors), "cluster").select("cluster", "size", F.size("contributors").alias("people"), "cohesion")
+    return stats.join(cluster.cohesion(members, vectors).hint("merge"), "cluster").select("cluster", "size", F.size("contributors").alias("people"), "cohesion")
 
 
 @query()
 def mined_proposals(spark, d):
-    """Proposals from recurring titles, names dropped."""
+    """Proposals from recurring texts, names dropped."""
     rows = skills.mine_org(_short(spark, d), threshold=0.8, min_contributors=4)
     return rows.select("cluster", "name", "contributor_count", "session_count", "confidence", "content_hash")
 
@@ -748,16 +798,18 @@ def proposal_folders(spark, d):
     return skills.file_names(stored, rows.select("name", "content_hash")).select("name", "content_hash", "folder")
 
 
-@query()
+@query(SHORT.replace("0.777", "0.7") + """, t as (select a, b, round(sim, 9) as sim from s union all select b, a, round(sim, 9) from s), r as (select a, b, sim, row_number() over (partition by a order by sim desc, b) as k from t where b > a)
+select a as id, b as other, round(sim, 6) as sim, cast(k as integer) as rank from r where k <= 3""")
 def prior_work(spark, d):
-    """The most similar earlier titles of the same project."""
+    """The most similar earlier texts of the same project."""
     rows = _short(spark, d)
     return trends.prior_work(similarity.similar_pairs(similarity.embed(rows, text=F.col("task_intent")), 0.7), rows).select("id", "other", F.round("sim", 6).alias("sim"), "rank")
 
 
-@query()
+@query(SHORT + """, t as (select a, b, round(sim, 9) as sim from s union all select b, a, round(sim, 9) from s), r as (select a, b, sim, row_number() over (partition by a order by sim desc, b) as k from t where b > a and a % 2 = 0 and b % 2 = 0 and a % 17 = b % 17)
+select a as id, b as other, round(sim, 6) as sim from r where k <= 1""")
 def own_solutions(spark, d):
-    """Z3: an actor's own released titles that are similar."""
+    """Z3: an actor's own released texts that are similar."""
     rows = _short(spark, d)
     return trends.own_solutions(similarity.similar_pairs(similarity.embed(rows, text=F.col("task_intent")), 0.777), rows).select("id", "other", F.round("sim", 6).alias("sim"))
 
