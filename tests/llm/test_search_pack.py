@@ -1,8 +1,10 @@
 """op1, op4, op7, op10 and the pipeline against brute force."""
 
+import math
 import os
 import random
 import zlib
+from fractions import Fraction
 
 import duckdb
 import numpy as np
@@ -106,6 +108,19 @@ def test_exact_top_k(spark):
     assert bitslice.top_inner_products(bitslice.quantised(df.filter("false")), F.lit(True)).count() == 0
 
 
+def test_exact_top_k_of_large_components(spark):
+    rows = [(10, [20000.0, 1.0]), (11, [-3e5, 0.5]), (12, [1e6, -2e6]), (20, [0.0, 1e-320]), (21, [4e12, 1.0]), (22, [-0.25, -1e-9]), (30, [1e300, -1e300]), (31, [float("inf"), 1.0]), (32, [1e15, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    x = {i: [math.floor(Fraction(c) * 1024) for c in v] for i, v in rows if all(map(math.isfinite, v))}
+    short = lambda s: min(max(s, -(2**63)), 2**63 - 1)
+    want = []
+    for a in (i for i in x if i % 10 == 0):
+        scores = sorted((-short(sum(p * q for p, q in zip(x[a], x[b], strict=True))), b) for b in x if b != a)
+        want += [(a, n + 1, b, -s) for n, (s, b) in enumerate(scores)]
+    got = bitslice.top_inner_products(bitslice.quantised(df), F.col("id") % 10 == 0, k=10)
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
 def test_tokens_by_parts_are_the_tokenizers():
     t = packing.Tokens(**{"path": packing.default_tokenizer()["tokenizer"], "ranks": packing.default_tokenizer()["ranks"]})
     rng = random.Random(1)

@@ -8,8 +8,8 @@ downward; the rows still level at the end are the boundary, and ids decide among
 
 Rows are dealt to blocks by hash, queries to blocks too; each pair of blocks is one group, and its best k of each query meet in a window.
 
-Cases: vectors that are null or hold a null or non-finite component, or a scaled component of 2^24 or more, take no part. Vectors of different
-lengths don't meet. Rows that repeat an id count once (the least vector); a row with a null id takes no part. Ties go to smaller ids. Fewer
+Cases: vectors that are null or hold a null or non-finite component take no part. Sums that may pass 63 bits are made with Python's integers; a score
+past the range of a long stands at its end, and so does a scaled component past the range of a double. Vectors of different lengths don't meet. Rows that repeat an id count once (the least vector); a row with a null id takes no part. Ties go to smaller ids. Fewer
 than k candidates: all. Extra columns are ignored.
 """
 
@@ -23,20 +23,36 @@ from pyspark.sql.window import Window
 
 from .common import stash
 
-BOUND = float(1 << 24)
+WHOLE, LONG = float(1 << 53), float(1 << 62)  # from WHOLE on every double is an integer
+FAR = float(np.finfo(np.float64).max)
 
 
 def quantised(rows: DataFrame, *, id_col="vec_id", vec_col="embedding", scale=1024) -> DataFrame:
-    """id, v (array of long) of the rows that take part."""
-    v = F.transform(F.col(vec_col), lambda x: F.floor(x.cast("double") * scale))
+    """id, v (array of double, all of them integers) of the rows that take part."""
+
+    def level(x):
+        y = F.least(F.greatest(x.cast("double") * scale, F.lit(-FAR)), F.lit(FAR))
+        return F.when(F.abs(y) < WHOLE, F.floor(y).cast("double")).otherwise(y)
+
     x = F.col(vec_col)
-    fine = x.isNotNull() & F.forall(x, lambda e: F.coalesce(~F.isnan(e) & (F.abs(e.cast("double") * scale) < BOUND), F.lit(False)))
+    v = F.transform(x, level)
+    fine = x.isNotNull() & F.forall(x, lambda e: F.coalesce(~F.isnan(e) & (F.abs(e) < float("inf")), F.lit(False)))
     return rows.filter(fine & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.min(v).alias("v"))
 
 
 def _matrix(column: pa.ChunkedArray, d: int) -> np.ndarray:
+    """Integers of 64 bits, or Python's where one needs more."""
     arr = column.combine_chunks()
-    return np.asarray(arr.flatten()).astype(np.int64).reshape(len(arr), d)
+    x = np.asarray(arr.flatten()).reshape(len(arr), d)
+    return x.astype(np.int64) if not x.size or np.abs(x).max() < LONG else np.vectorize(int, otypes=[object])(x)
+
+
+def _products(v: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Inner products as longs; exact wherever they fit."""
+    if v.dtype != object and q.dtype != object and (np.abs(v.astype(np.float64)) @ np.abs(q.astype(np.float64)) < LONG).all():
+        return v @ q
+    ends = np.iinfo(np.int64)
+    return np.array([min(max(sum(int(a) * int(b) for a, b in zip(row, q, strict=True)), ends.min), ends.max) for row in v], np.int64)
 
 
 def _bitmaps(bits: np.ndarray) -> np.ndarray:
@@ -52,7 +68,7 @@ class SlicedBlock:
 
     def __init__(self, ids: np.ndarray, v: np.ndarray):
         self.ids, self.v, self.n = ids, v, len(ids)
-        self.low = v.min(axis=0)
+        self.low = v.min(axis=0) if len(v) else np.zeros(v.shape[1], v.dtype)
         u = v - self.low
         self.depth = max(1, int(u.max()).bit_length()) if u.size else 1
         self.slices = _bitmaps(np.stack([(u >> b & 1).astype(bool).T for b in range(self.depth)], axis=1))  # attribute, bit, words
@@ -105,7 +121,7 @@ class SlicedBlock:
                     break
         rows, edge = (np.flatnonzero(np.unpackbits(x.view(np.uint8), bitorder="little")) for x in (taken, level))
         rows = np.concatenate([rows, edge[: max(0, k - len(rows))]])
-        return self.ids[rows], self.v[rows] @ q
+        return self.ids[rows], _products(self.v[rows], q)
 
 
 def top_inner_products(rows: DataFrame, queries: Column, *, k=10, block=8192, query_block=1024) -> DataFrame:

@@ -2,38 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_own_dir: str | None = None
-_resident: dict = {}
-
+from ..plans.state import settle as stash
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (`spark.checkpoint.dir`); a folder of our own only where that is unset, as in tests."""
-    global _own_dir
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if _own_dir is None:
-        _own_dir = tempfile.mkdtemp(prefix="spark-shared-")
-    return _own_dir
+__all__ = ["remainder", "resident", "slices", "spread", "squeezed", "stash", "text_bytes", "vacate"]
 
-
-def stash(df: DataFrame) -> DataFrame:
-    """Write `df` as Parquet to the shared folder and read it back: cuts the lineage and gives later joins true sizes."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/worklens-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+_resident: dict = {}
 
 
 def text_bytes(col: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
