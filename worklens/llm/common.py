@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -65,5 +67,11 @@ def resident(key, make):
 
 
 def vacate() -> None:
-    """Let go of what an earlier operator kept in this worker."""
-    _resident.clear()
+    """Let go of what an earlier operator kept in this worker, and give freed memory back: workers outlive a stage, and so does what they hold."""
+    if _resident:
+        _resident.clear()
+        gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)

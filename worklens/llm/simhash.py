@@ -262,6 +262,7 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
     """`docs` (id, key, coarse, text) with the set instead of the text; rows whose text has another key are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vacate()
         for batch in slices(batches, "text"):
             keys, at, out = batch.column("key").to_pylist(), [], []
             for i, t in enumerate(batch.column("text").to_pylist()):

@@ -42,13 +42,28 @@ def _slide(x: np.ndarray, w: int, f) -> np.ndarray:
     return f(x[: len(x) - (w - size)], x[w - size :]) if w > size else x
 
 
+PART = 1 << 20
+
+
 def anchors(t: Texts, min_len: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Place, document number and 64-bit hash of each anchor."""
-    n, w = len(t.raw), min_len - K + 1
+    """Place, document number and 64-bit hash of each anchor. Anchors depend on their own document alone, so whole documents go by parts of about PART bytes."""
+    none = np.zeros(0, np.int64)
+    found = [(none, none, none.astype(np.uint64))]
+    first = np.flatnonzero(np.diff(t.start // PART, prepend=-1)) if len(t.start) else none
+    for a, b in zip(first.tolist(), [*first[1:].tolist(), len(t.start)], strict=True):
+        begin = t.start[a]
+        at, doc, key = _anchors(t.raw[begin : t.end[b - 1]], t.start[a:b] - begin, t.end[a:b] - begin, min_len)
+        found.append((at + begin, doc + a, key))
+    at, doc, key = (np.concatenate(x) for x in zip(*found, strict=True))
+    return at, doc, key
+
+
+def _anchors(raw: np.ndarray, start: np.ndarray, end: np.ndarray, min_len: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n, w = len(raw), min_len - K + 1
     none = np.zeros(0, np.int64)
     if n < min_len:
         return none, none, none.astype(np.uint64)
-    four = np.ndarray((n - 3,), "<u4", t.raw, strides=(1,)).copy()
+    four = np.ndarray((n - 3,), "<u4", np.ascontiguousarray(raw), strides=(1,)).copy()
     m = n - K + 1
     h = four[:m] * np.uint32(0x9E3779B1)
     for j, c in zip(range(4, K, 4), (0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1), strict=True):
@@ -57,16 +72,16 @@ def anchors(t: Texts, min_len: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     h *= np.uint32(0x2C1B3C6D)
     h ^= h >> np.uint32(13)
     np.maximum(h, 1, out=h)
-    low = _slide(h, w, np.minimum)
+    low = _slide(h, w, np.minimum) if w > 1 else h.copy()
     # runs that cross a document's end don't count
     gone = np.zeros(len(low) + 1, np.int32)
-    cut = np.clip(np.maximum(t.end - min_len + 1, t.start), 0, len(low))
+    cut = np.clip(np.maximum(end - min_len + 1, start), 0, len(low))
     np.add.at(gone, cut, 1)
-    np.add.at(gone, np.clip(t.end, 0, len(low)), -1)
-    low[np.cumsum(gone[:-1]) > 0] = 0
+    np.add.at(gone, np.clip(end, 0, len(low)), -1)
+    low[np.cumsum(gone[:-1], dtype=np.int32) > 0] = 0
     edge = np.zeros(w - 1, np.uint32)
     at = np.flatnonzero(_slide(np.concatenate([edge, low, edge]), w, np.maximum)[:m] == h)
-    doc = np.searchsorted(t.end, at, "right")
+    doc = np.searchsorted(end, at, "right")
     return at, doc, _key([four[at + j] for j in range(0, K, 4)])
 
 
