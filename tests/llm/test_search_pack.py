@@ -192,7 +192,7 @@ def test_warc_round_trip(spark, tmp_path):
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_sql(spark, name):
     c = duckdb.connect()
-    for t in ("documents", "embeddings", "pages"):
+    for t in ("documents", "embeddings", "pages", "benchmark"):
         c.execute(f"create view {t} as select * from '{D}/{t}.parquet'")
     df = queries.QUERIES[name](spark, D)
     want = c.execute(f"select {', '.join(df.columns)} from ({queries.ORACLE_SQL[name]})").fetchall()
