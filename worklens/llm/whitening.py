@@ -185,9 +185,11 @@ def whiten(vectors: DataFrame, model: Whitening) -> DataFrame:
 def identity_error(whitened: DataFrame, k: int) -> float:
     """The largest absolute entry of the covariance of w (divisor: all rows, centred before multiplying) less the identity."""
     cells = [(i, j) for i in range(k) for j in range(i, k)]
+    if not cells:
+        return 0.0
     w = F.col("w")
     row = whitened.agg(*[F.covar_pop(w[i], w[j]).alias(f"c{i}_{j}") for i, j in cells]).first()
-    return max((abs(row[f"c{i}_{j}"] - (i == j)) for i, j in cells), default=0.0)
+    return max(abs(row[f"c{i}_{j}"] - (i == j)) for i, j in cells)
 
 
 def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
