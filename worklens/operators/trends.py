@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..plans.state import settle
+from .similarity import Similar, salted_join
+
 
 def loops(turns: DataFrame, *, by="session_id", key="tool_name", time="timestamp", times=3, seconds=600) -> DataFrame:
     """Turns at which the same key was seen `times` or more within the last `seconds`."""
@@ -14,19 +17,23 @@ def loops(turns: DataFrame, *, by="session_id", key="tool_name", time="timestamp
     return rows.withColumn("seen", F.count("*").over(w)).filter(F.col("seen") >= times).drop("_at")
 
 
-def prior_work(pairs: DataFrame, rows: DataFrame, *, n=3, same="project") -> DataFrame:
-    """id, other, sim, rank: the most similar earlier rows of the same project (ties within nine digits go to smaller ids). `pairs`: a, b, sim; `rows`: id, started_at,
-    project."""
-    both = pairs.select("a", "b", "sim").union(pairs.select("b", "a", "sim"))
-    one, two = (rows.select(F.col("id").alias(k), F.col("started_at").alias(f"t{k}"), F.col(same).alias(f"p{k}")) for k in "ab")
-    joined = both.join(one.hint("merge"), "a").join(two.hint("merge"), "b").filter("tb < ta and pa = pb")
-    order = Window.partitionBy("a").orderBy(F.desc(F.round("sim", 9)), "b")
-    return joined.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n).select(F.col("a").alias("id"), F.col("b").alias("other"), "sim", "rank")
+def prior_work(found: Similar, rows: DataFrame, *, n=3, same="project") -> DataFrame:
+    """id, other, sim, rank: for each of `rows` (id, started_at, project) the most similar earlier work of the same project, cosines rounded to six digits, ties to smaller ids.
+    Equal texts count once, by the first of them in the project: so a text that many rows copy is one piece of work, and no row meets its copies."""
+    placed = settle(found.members.join(rows.select("id", F.col("started_at").alias("at"), F.col(same).alias("place")).hint("merge"), "id"))
+    first = placed.groupBy("rep", "place").agg(F.min(F.struct("at", "id")).alias("first")).select(F.col("rep").alias("to"), "place", F.col("first.at").alias("since"), F.col("first.id").alias("other"))
+    own = placed.select("rep", F.col("rep").alias("to"), F.lit(1.0).alias("sim")).distinct()
+    sim = F.round("sim", 6).alias("sim")
+    links = found.pairs.select(F.col("a").alias("rep"), F.col("b").alias("to"), sim).union(found.pairs.select("b", "a", sim)).union(own)
+    works = links.join(first.hint("merge"), "to").select("rep", "place", "sim", "since", "other")
+    met = salted_join(placed, works, ["rep", "place"]).filter("since < at")
+    order = Window.partitionBy("id").orderBy(F.desc("sim"), "other")
+    return met.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n).select("id", "other", "sim", "rank")
 
 
-def own_solutions(pairs: DataFrame, rows: DataFrame, *, n=1) -> DataFrame:
+def own_solutions(found: Similar, rows: DataFrame, *, n=1) -> DataFrame:
     """As prior_work(), among an actor's own released rows."""
-    return prior_work(pairs, rows.filter("released"), n=n, same="actor")
+    return prior_work(found, rows.filter("released"), n=n, same="actor")
 
 
 def stuck(turns: DataFrame, *, by="session_id", times=3) -> DataFrame:

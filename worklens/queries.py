@@ -697,24 +697,54 @@ def _short(spark, d):
     )
 
 
-SHORT = r"""with recursive w as (select doc_id as id, text as t from documents where text is not null),
-k as (select id, unnest(regexp_extract_all(lower(t), '[a-z0-9]+')) as tok from w), b as (select id, cast(('0x' || right(sha256(tok), 8)) as bigint) % 256 as bucket, cast(count(*) as double) as n from k where length(tok) >= 2 group by 1, 2),
-e as (select id, bucket, n / sqrt(sum(n * n) over (partition by id)) as weight from b),
-s as (select x.id as a, y.id as b, sum(x.weight * y.weight) as sim from e x join e y on x.bucket = y.bucket and x.id < y.id group by 1, 2 having sum(x.weight * y.weight) >= 0.777)
+def _counts_sql(dim: int) -> str:
+    return rf"""with recursive w as (select doc_id as id, text as t from documents where text is not null),
+k as (select id, unnest(regexp_extract_all(lower(t), '[a-z0-9]+')) as tok from w), b as (select id, cast(('0x' || right(sha256(tok), 8)) as bigint) % {dim} as bucket, cast(count(*) as double) as n from k where length(tok) >= 2 group by 1, 2)
 """
 
 
+SHORT = _counts_sql(256) + ", e as (select id, bucket, n / sqrt(sum(n * n) over (partition by id)) as weight from b) "
+
+
+def _similar_sql(threshold: float) -> str:
+    """Classes of equal texts, and pairs between their least ids."""
+    return _counts_sql(1 << 18) + f""", f as (select bucket, 1 + ln((1.0 + (select count(distinct id) from b)) / (1.0 + count(*))) as idf from b group by bucket),
+e as (select id, bucket, n * idf / sqrt(sum(n * idf * n * idf) over (partition by id)) as weight from b join f using (bucket)),
+m as (select id, min(id) over (partition by v) as rep from (select id, list((bucket, n) order by bucket) as v from b group by id)), c as (select e.* from e join m using (id) where id = rep),
+s as (select x.id as a, y.id as b, sum(x.weight * y.weight) as sim from c x join c y on x.bucket = y.bucket and x.id < y.id group by 1, 2 having sum(x.weight * y.weight) >= {threshold})
+"""
+
+
+ALIKE = _similar_sql(0.777)
+
+
+def _alike(spark, d, threshold=0.777) -> tuple[DataFrame, similarity.Similar]:
+    rows = _short(spark, d)
+    return rows, similarity.similar(rows, threshold, text=F.col("task_intent"), embedder=similarity.TfIdf())
+
+
 @query(SHORT + "select id, cast(bucket as int) as bucket, round(weight, 9) as weight from e")
 def text_embeddings(spark, d):
     """Sparse hashed token vectors."""
     return similarity.embed(_short(spark, d), text=F.col("task_intent")).select("id", "bucket", F.round("weight", 9).alias("weight"))
 
 
-@query(SHORT + "select a, b, round(sim, 6) as sim from s")
+@query(_similar_sql(2) + "select id, cast(bucket as int) as bucket, round(weight, 9) as weight from c")
+def weighted_embeddings(spark, d):
+    """Vectors of hashed tokens, weighted by rarity, in so many buckets that whole texts differ."""
+    return _alike(spark, d, 2.0)[1].vectors.select("id", "bucket", F.round("weight", 9).alias("weight"))
+
+
+@query(ALIKE + "select a, b, round(sim, 6) as sim from s")
 def similar_texts(spark, d):
-    """All pairs at a cosine of 0.777."""
-    rows = similarity.similar_pairs(similarity.embed(_short(spark, d), text=F.col("task_intent")), 0.777)
-    return rows.select("a", "b", F.round("sim", 6).alias("sim"))
+    """All pairs of different texts at a cosine of 0.777; of equal texts the one with the least id stands for all."""
+    return _alike(spark, d)[1].pairs.select("a", "b", F.round("sim", 6).alias("sim"))
+
+
+@query(ALIKE + "select id, rep from m")
+def similar_members(spark, d):
+    """Which text stands for each."""
+    return _alike(spark, d, 2.0)[1].members
 
 
 @query("""with v as (select vec_id, list_transform(embedding, lambda x: cast(x as double)) as v from embeddings where embedding is not null) select x.vec_id as a, y.vec_id as b, round(list_cosine_similarity(x.v, y.v), 6) as sim
@@ -732,10 +762,8 @@ def own_cosine(spark, d):
 
 
 def _communities(spark, d):
-    rows = _short(spark, d)
-    vectors = similarity.embed(rows, text=F.col("task_intent"))
-    members = cluster.communities(rows.select("id", F.col("id").alias("ordinal")), similarity.similar_pairs(vectors, 0.777))
-    return rows, vectors, members
+    rows, found = _alike(spark, d)
+    return rows, found, cluster.communities(rows.select("id", F.col("id").alias("ordinal")), found.pairs, classes=found.members)
 
 
 @query()
@@ -744,26 +772,26 @@ def text_communities(spark, d):
     return _communities(spark, d)[2]
 
 
-@query(SHORT + """, u as (select a, b from s union all select b, a from s union all select id, id from w), r as (select a, b from u union select r.a, u.b from r join u on u.a = r.b) select a as id, min(b) as component from r group by a""")
+@query(ALIKE + """, u as (select a, b from s union all select b, a from s union all select id, rep from m union all select rep, id from m union all select id, id from w), r as (select a, b from u union select r.a, u.b from r join u on u.a = r.b)
+select a as id, min(b) as component from r group by a""")
 def similarity_components(spark, d):
     """The components that bound the greedy choice."""
-    rows = _short(spark, d)
-    pairs = similarity.similar_pairs(similarity.embed(rows, text=F.col("task_intent")), 0.777)
-    return cluster.component_labels(rows.filter("task_intent is not null").select("id"), pairs)
+    rows, found = _alike(spark, d)
+    return cluster.component_labels(rows.filter("task_intent is not null").select("id"), found.pairs, found.members)
 
 
 @query()
 def community_stats(spark, d):
     """Size, people, sessions and cohesion of recurring communities."""
-    rows, vectors, members = _communities(spark, d)
+    rows, found, members = _communities(spark, d)
     stats = cluster.recurring(cluster.cluster_stats(members, rows), min_contributors=2, min_sessions=2)
-    return stats.join(cluster.cohesion(members, vectors).hint("merge"), "cluster").select("cluster", "size", F.size("contributors").alias("people"), "cohesion")
+    return stats.join(cluster.cohesion(members, found.vectors, found.members).hint("merge"), "cluster").select("cluster", "size", F.size("contributors").alias("people"), "cohesion")
 
 
 @query()
 def mined_proposals(spark, d):
     """Proposals from recurring texts, names dropped."""
-    rows = skills.mine_org(_short(spark, d), threshold=0.8, min_contributors=4)
+    rows = skills.mine_org(_short(spark, d), threshold=0.8, min_contributors=4, embedder=similarity.TfIdf())
     return rows.select("cluster", "name", "contributor_count", "session_count", "confidence", "content_hash")
 
 
@@ -798,20 +826,26 @@ def proposal_folders(spark, d):
     return skills.file_names(stored, rows.select("name", "content_hash")).select("name", "content_hash", "folder")
 
 
-@query(SHORT.replace("0.777", "0.7") + """, t as (select a, b, round(sim, 9) as sim from s union all select b, a, round(sim, 9) from s), r as (select a, b, sim, row_number() over (partition by a order by sim desc, b) as k from t where b > a)
-select a as id, b as other, round(sim, 6) as sim, cast(k as integer) as rank from r where k <= 3""")
+def _prior_sql(threshold: float, where: str, place: str, n: int) -> str:
+    """Later ids are earlier texts."""
+    return _similar_sql(threshold) + f""", o as (select id, rep, {place} as place from m where {where}), h as (select rep, place, max(id) as other from o group by 1, 2),
+l as (select a, b, round(sim, 6) as sim from s union all select b, a, round(sim, 6) from s union all select distinct rep, rep, 1.0 from m),
+r as (select o.id, h.other, l.sim, row_number() over (partition by o.id order by l.sim desc, h.other) as k from o join l on l.a = o.rep join h on h.rep = l.b and h.place = o.place where h.other > o.id)
+select id, other, sim, cast(k as integer) as rank from r where k <= {n}"""
+
+
+@query(_prior_sql(0.7, "true", "0", 3))
 def prior_work(spark, d):
     """The most similar earlier texts of the same project."""
-    rows = _short(spark, d)
-    return trends.prior_work(similarity.similar_pairs(similarity.embed(rows, text=F.col("task_intent")), 0.7), rows).select("id", "other", F.round("sim", 6).alias("sim"), "rank")
+    rows, found = _alike(spark, d, 0.7)
+    return trends.prior_work(found, rows)
 
 
-@query(SHORT + """, t as (select a, b, round(sim, 9) as sim from s union all select b, a, round(sim, 9) from s), r as (select a, b, sim, row_number() over (partition by a order by sim desc, b) as k from t where b > a and a % 2 = 0 and b % 2 = 0 and a % 17 = b % 17)
-select a as id, b as other, round(sim, 6) as sim from r where k <= 1""")
+@query(_prior_sql(0.777, "id % 2 = 0", "id % 17", 1))
 def own_solutions(spark, d):
     """Z3: an actor's own released texts that are similar."""
-    rows = _short(spark, d)
-    return trends.own_solutions(similarity.similar_pairs(similarity.embed(rows, text=F.col("task_intent")), 0.777), rows).select("id", "other", F.round("sim", 6).alias("sim"))
+    rows, found = _alike(spark, d)
+    return trends.own_solutions(found, rows)
 
 
 # ---- actions
