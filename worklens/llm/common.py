@@ -61,7 +61,7 @@ def spread(parts: list[bytes], kind) -> list[np.ndarray]:
 def resident(key, make):
     """An object that a Python worker keeps between tasks. A worker keeps one at a time: it serves one operator after another."""
     if key not in _resident:
-        _resident.clear()
+        vacate()
         _resident[key] = make()
     return _resident[key]
 

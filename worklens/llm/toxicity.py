@@ -33,7 +33,7 @@ WORD = re.compile(r"[^\W_]+")
 WIDTH, STRIDE = 40, 30
 D, H = 8, 8  # size of each embedding, of each direction's state
 GRAMS, SLOTS = (3, 4, 5), 1 << 17
-MEMO = 300_000
+MEMO = 120_000
 BATCH = 2048
 
 
