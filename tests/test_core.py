@@ -266,24 +266,40 @@ def test_folders_are_free(spark):
 def test_capped_sessions_go_on_counting_after_a_timeout():
     import pandas as pd
 
-    from worklens.streaming.live import capped_step
+    from worklens.streaming.live import CappedSessions
 
-    class State:
-        exists, hasTimedOut, get = False, False, None
+    class Handle:
+        value, timers = None, []
+
+        def getValueState(self, name, schema):
+            return self
+
+        def exists(self):
+            return self.value is not None
+
+        def get(self):
+            return self.value
 
         def update(self, value):
-            self.exists, self.get = True, value
+            self.value = value
+
+        def registerTimer(self, at):
+            self.timers.append(at)
 
-        def setTimeoutTimestamp(self, at):
-            pass
+        def deleteTimer(self, at):
+            self.timers.remove(at)
 
-        def getCurrentWatermarkMs(self):
+        def getCurrentWatermarkInMs(self):
             return 0
 
-    state, step, out = State(), capped_step(1800, 6 * 3600), []
-    turns = lambda *minutes: [pd.DataFrame({"timestamp": [pd.Timestamp("2024-01-01") + pd.Timedelta(minutes=m) for m in minutes]})]
+    handle, steps, out = Handle(), CappedSessions(1800, 6 * 3600), []
+    steps.init(handle)
+    turns = lambda *minutes: iter([pd.DataFrame({"seq": range(len(minutes)), "timestamp": [pd.Timestamp("2024-01-01") + pd.Timedelta(minutes=m) for m in minutes]})])
     for batch in (turns(0, 10), None, turns(200, 300), None):
-        state.hasTimedOut = batch is None
-        out += next(step(("a",), batch, state)).values.tolist()
+        if batch is None:
+            assert len(handle.timers) == 1
+            handle.timers.clear()
+        got = steps.handleExpiredTimer(("a",), handle, None) if batch is None else steps.handleInputRows(("a",), batch, handle)
+        out += next(got).values.tolist()
     assert [(r[1], r[4], r[5]) for r in out] == [(1, 2, "open"), (2, 1, "gap"), (3, 1, "open")]
     assert out[2][2] == pd.Timestamp("2024-01-01 05:00:00")

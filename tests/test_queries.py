@@ -41,7 +41,7 @@ def test_runs(spark, name):
 
 
 def stream(spark, tmp_path):
-    rows = views.turns(spark, D).select(F.concat("transcript", F.lit("-"), "seq").alias("id"), "transcript", "timestamp").orderBy("timestamp")
+    rows = views.turns(spark, D).select(F.concat("transcript", F.lit("-"), "seq").alias("id"), "transcript", "seq", "timestamp").orderBy("timestamp")
     rows.coalesce(1).write.parquet(str(tmp_path / "in"))
     return spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")), rows
 

@@ -7,8 +7,9 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 SESSION = "transcript string, number long, started_at timestamp, ended_at timestamp, turn_count long, ended_reason string"
 
 
@@ -19,40 +20,76 @@ def gap_sessions(turns: DataFrame, *, gap="30 minutes", late="1 hour") -> DataFr
     return s.select("transcript", "started_at", "ended_at", "turn_count")
 
 
-def capped_step(gap: int, cap: int) -> Callable:
-    """The fold of `capped_sessions`. Its state: the last session's number, start, end and turns (0: closed by the timer)."""
+class CappedSessions(StatefulProcessor):
+    """Closes a transcript's sessions by a pause over `gap` or a length over `cap` seconds, as split_turns() does over a table.
+
+    State: the last session's number, its first and last time (microseconds), its turns (0: it was closed by the timer), turns that wait for a first time,
+    and when its timer rings. A turn without a time takes the last one seen; turns before any time wait and belong to the first session.
+    A timer closes a session when the watermark has passed its last turn by the gap. The number of sessions stays for `forget` seconds more, so that a later one
+    counts on; then the transcript is forgotten.
+    """
+
+    def __init__(self, gap: float, cap: float, forget: float | None = None):
+        self.gap, self.cap, self.forget = int(gap * 1_000_000), int(cap * 1_000_000), None if forget is None else int(forget * 1_000_000)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("session", "number long, start long, last long, n long, waiting long, timer long")
+
+    def _rows(self, key, closed: list[tuple]) -> pd.DataFrame:
+        at = lambda k: pd.to_datetime([c[k] for c in closed], unit="us")
+        text = lambda values: pd.Series(values, dtype=object)
+        return pd.DataFrame({"transcript": text([key[0]] * len(closed)), "number": [c[0] for c in closed], "started_at": at(1), "ended_at": at(2), "turn_count": [c[3] for c in closed], "ended_reason": text([c[4] for c in closed])})
+
+    def _set_timer(self, old: int, at: int, timers) -> int:
+        if old >= 0:
+            self.handle.deleteTimer(old)
+        at = max(at // 1000 + 1, timers.getCurrentWatermarkInMs() + 1)
+        self.handle.registerTimer(at)
+        return at
+
+    def handleInputRows(self, key, rows, timerValues):
+        number, start, last, n, waiting, timer = self.state.get() if self.state.exists() else (0, 0, 0, 0, 0, -1)
+        turns, closed = pd.concat(list(rows)).sort_values("seq", kind="stable"), []
+        times = turns["timestamp"].astype("datetime64[us]")
+        for t, missing in zip(times.astype("int64").tolist(), times.isna().tolist(), strict=True):
+            if missing:
+                if n:
+                    n += 1
+                else:  # before any time, or after the timer closed the session that it would belong to
+                    waiting += 1
+                continue
+            why = None if not n else "gap" if t - last > self.gap else "cap" if t - start > self.cap else None
+            if why:
+                closed.append((number, start, last, n, why))
+            if why or not n:
+                number, start, n, waiting = number + 1, t, waiting, 0
+            last, n = t, n + 1
+        if n:
+            timer = self._set_timer(timer, last + self.gap, timerValues)
+        self.state.update((number, start, last, n, waiting, timer))
+        yield self._rows(key, closed)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        number, start, last, n, waiting, _ = self.state.get()
+        if n:
+            timer = -1 if self.forget is None else self._set_timer(-1, last + self.gap + self.forget, timerValues)
+            self.state.update((number, start, last, 0, waiting, timer))
+            yield self._rows(key, [(number, start, last, n, "open")])
+        else:
+            self.state.clear()
+            yield self._rows(key, [])
 
-    def step(key: tuple, batches, state: GroupState):
-        out = []
-        number, start, last, n = state.get if state.exists else (0, 0, 0, 0)
+    def close(self) -> None:
+        pass
 
-        def close(reason):
-            out.append((key[0], number, pd.Timestamp(start, unit="us"), pd.Timestamp(last, unit="us"), n, reason))
 
-        if state.hasTimedOut:
-            close("open")
-            state.update((number, 0, 0, 0))  # the number stays for a later session
-        else:
-            times = pd.concat([b["timestamp"] for b in batches]).sort_values().astype("datetime64[us]").astype("int64")
-            for t in times.tolist():
-                reason = None if not n else "gap" if t - last > gap * 1_000_000 else "cap" if t - start > cap * 1_000_000 else None
-                if reason:
-                    close(reason)
-                if reason or not n:
-                    number, start, last, n = number + 1, t, t, 0
-                last, n = max(t, last), n + 1
-            state.update((number, start, last, n))
-            state.setTimeoutTimestamp(max(last // 1000 + gap * 1000, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=["transcript", "number", "started_at", "ended_at", "turn_count", "ended_reason"])
-
-    return step
-
-
-def capped_sessions(turns: DataFrame, *, gap=30 * 60, cap=6 * 3600, late="1 hour") -> DataFrame:
-    """Sessions closed by a pause over `gap` or a length over `cap` seconds. The state of a transcript is its open session; a timer closes it when the
-    watermark has passed the gap, and the count of its sessions stays."""
-    rows = turns.select("transcript", "timestamp").withWatermark("timestamp", late)
-    return rows.groupBy("transcript").applyInPandasWithState(capped_step(gap, cap), SESSION, "number long, start long, last long, n long", "append", GroupStateTimeout.EventTimeTimeout)
+def capped_sessions(turns: DataFrame, *, gap=30 * 60, cap=6 * 3600, late="1 hour", forget: float | None = None) -> DataFrame:
+    """Sessions of a stream of turns (transcript, seq, timestamp), closed as CappedSessions says: each transcript's turns come in the order of `seq`, batch after batch. Timed
+    turns that come after the watermark are dropped. Needs the RocksDB state store, which is set for the session."""
+    turns.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    rows = turns.select("transcript", "seq", "timestamp").withWatermark("timestamp", late)
+    return rows.groupBy("transcript").transformWithStateInPandas(CappedSessions(gap, cap, forget), SESSION, "Append", "EventTime")
 
 
 def once(turns: DataFrame, late="1 hour") -> DataFrame:
