@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..operators.keyed import replace_family
 from ..operators.sessionize import CAP, GAP, sessions, split_turns
-from ..sources.transcripts import changed, discover, file_facts, flatten, next_ledger, objects, read_lines, summaries
+from ..sources.files import read_lines_of
+from ..sources.transcripts import changed, discover, file_facts, flatten, next_ledger, objects, summaries
+from .state import settle
 
 
 def ingest(lines: DataFrame, *, actor: str, surface="claude_code", mode="work", gap=GAP, cap=CAP) -> tuple[DataFrame, DataFrame]:
@@ -23,13 +25,24 @@ def ingest(lines: DataFrame, *, actor: str, surface="claude_code", mode="work",
     return out, kept.drop("new_seq", "opened_by", "segment", "mtime", "cwd", "project", "path", "line_no", "block")
 
 
-def capture(spark: SparkSession, root: str, ledger: DataFrame, stored: tuple[DataFrame, DataFrame] | None = None, **options) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """One cycle over changed files: the new sessions and turns tables and the new ledger. Unchanged files aren't read."""
-    found = discover(spark, root)
-    paths = [r.path for r in changed(found, ledger).collect()]  # a list of files to read
-    if not paths:
-        return (*stored, next_ledger(found, ledger, found.limit(0))) if stored else (None, None, ledger)
-    new = ingest(read_lines(spark, paths), **options)
+def quarantine(old: DataFrame | None, failed: DataFrame, found: DataFrame) -> DataFrame:
+    """path, mtime, error, tries of files that couldn't be read: those of this cycle with their tries counted on, and those of before that weren't tried again. A file that was
+    read since, or is gone, leaves."""
+    if old is None:
+        return failed.select("path", "mtime", "error", F.lit(1).alias("tries"))
+    tries = failed.join(old.select("path", F.col("tries").alias("_before")).hint("merge"), "path", "left")
+    return tries.select("path", "mtime", "error", (F.coalesce("_before", F.lit(0)) + 1).alias("tries"))
+
+
+def capture(spark: SparkSession, root: str, ledger: DataFrame, stored: tuple[DataFrame, DataFrame] | None = None, failures: DataFrame | None = None, **options) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """One cycle over changed files: the new sessions and turns tables, the new ledger (path, mtime) and the new quarantine (path, mtime, error, tries).
+
+    Unchanged files aren't read. Changed ones are read on executors; one that can't be read stands in the quarantine, stays off the ledger, and is tried again in
+    the next cycle, while what was stored of it before stays."""
+    found = settle(discover(spark, root))
+    lines, failed = read_lines_of(changed(found, ledger))
+    lines, failed = settle(lines), settle(failed)
+    new = ingest(lines, **options)
     if stored is not None:
         new = replace_family(*stored, *new)
-    return *new, next_ledger(found, ledger, spark.createDataFrame([(p,) for p in paths], "path string"))
+    return *new, next_ledger(found, ledger, lines.select("path").distinct()), quarantine(failures, failed, found)

@@ -12,7 +12,7 @@ LINES = "path string, mtime timestamp, line_no int, raw string"
 
 
 def discover(spark: SparkSession, root: str) -> DataFrame:
-    """path, mtime of `root/*/*.jsonl`: exactly one folder deep, so nested files don't count."""
+    """path, mtime of `root/*/*.jsonl`: exactly one folder deep, so nested files don't count. Spark lists no empty files."""
     return spark.read.format("binaryFile").load(f"{root.rstrip('/')}/*/*.jsonl").select("path", F.col("modificationTime").alias("mtime")).orderBy("path")
 
 
@@ -29,7 +29,7 @@ def next_ledger(found: DataFrame, ledger: DataFrame, done: DataFrame) -> DataFra
 
 def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """path, mtime, line_no, raw: every line with its number; lines end at line feeds alone."""
-    whole = spark.read.option("wholetext", True).text(paths)
+    whole = spark.read.text(paths, wholetext=True)
     whole = whole.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("mtime"), "value")
     return whole.select("path", "mtime", F.posexplode(F.split("value", "\n")).alias("line_no", "raw"))
 
