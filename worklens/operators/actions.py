@@ -47,14 +47,14 @@ def apply_tags(sessions: DataFrame, new: DataFrame) -> DataFrame:
 
 def thin(events: DataFrame, history: DataFrame, seconds: float, *, key=("action_id", "actor")) -> DataFrame:
     """`events` (key, at, fires) with `cooling`: whether the last fired one of its key, in history (key, last_fired_at) or earlier in the batch, is under
-    `seconds` ago. Only events that fire reset the clock, so each key is a sequential fold; it runs over times alone."""
+    `seconds` ago. Only events that fire reset the clock, so each key is a sequential fold; it runs over times alone. Events at one time follow each other by session, if they have one."""
     rows = _with_history(events, history, key)
     if not seconds:
         return rows.withColumn("cooling", F.lit(False)).drop("_last")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "_last") + ", cooling boolean"
 
     def fold(table: pa.Table) -> pa.Table:
-        table = table.sort_by("at")
+        table = table.sort_by([(c, "ascending") for c in ("at", "session_id") if c in table.column_names])
         at = np.asarray(table.column("at").cast(pa.int64()))
         fires, last = table.column("fires").to_pylist(), table.column("_last").cast(pa.int64())[0].as_py()
         cooling = []
@@ -74,12 +74,16 @@ def _with_history(events: DataFrame, history: DataFrame, key) -> DataFrame:
     return events.join(past.hint("merge"), on, "left").drop(*[f"_h_{k}" for k in key])
 
 
-def dispatch(events: DataFrame, sessions: DataFrame, consent: DataFrame, audit: DataFrame, results: DataFrame, *, action_id: str, cooldown: float | None = None, threshold: float | None = None, org_consent: DataFrame | None = None) -> DataFrame:
-    """An audit row for each event: the first gate that stops it, or its handler's result.
+GATED = ("action_id", "actor", "session_id", "at", "fires", "_gate", "outcome", "trigger_condition", "confidence", "details", "error")
 
-    Gates in order: session unknown, personal session, opted out (by the actor, or by the org where `org_consent` is given),
-    cooldown, error, confidence under `threshold`. `results`: session_id, outcome, trigger_condition, confidence, details, error.
-    """
+
+def _below(threshold: float | None) -> Column:
+    return F.coalesce(F.col("confidence") < F.lit(threshold), F.lit(False)) if threshold is not None else F.lit(False)
+
+
+def gated(events: DataFrame, sessions: DataFrame, consent: DataFrame, results: DataFrame, *, action_id: str, threshold: float | None = None, org_consent: DataFrame | None = None) -> DataFrame:
+    """Events with the first gate before the cooldown that stops them (`_gate`), their handler's result, and whether they fire unless they are cooling. Works on a stream of events
+    beside tables: each join has one key and keeps the stream's rows."""
     e = events.withColumn("action_id", F.lit(action_id))
     e = e.join(sessions.select(F.col("id").alias("session_id"), "mode").hint("merge"), "session_id", "left")
     out = consent.filter((F.col("action_category") == action_id) & (F.col("state") == "opt_out")).select(F.col("subject").alias("actor"), F.lit(True).alias("_out")).distinct()
@@ -89,10 +93,13 @@ def dispatch(events: DataFrame, sessions: DataFrame, consent: DataFrame, audit:
         no = org_consent.filter((F.col("action_category") == action_id) & (F.col("state") == "opt_out")).agg(F.count("*").alias("n"))
         opted_out = opted_out | (no.scalar() > 0)
     gate = F.when(F.col("mode").isNull(), "session_unresolved").when(F.col("mode") == "personal", "personal_mode_excluded").when(opted_out, "consent_opt_out")
-    low = F.coalesce(F.col("confidence") < F.lit(threshold), F.lit(False)) if threshold is not None else F.lit(False)
-    e = e.withColumn("_gate", gate).withColumn("fires", F.col("_gate").isNull() & F.col("error").isNull() & ~low & (F.coalesce("outcome", F.lit("failed")) == "fired"))
-    e = thin(e.select("action_id", "actor", "session_id", "at", "fires", "_gate", "outcome", "trigger_condition", "confidence", "details", "error"), last_fired(audit), cooldown or 0)
-    low = F.coalesce(F.col("confidence") < F.lit(threshold), F.lit(False)) if threshold is not None else F.lit(False)
+    e = e.withColumn("_gate", gate).withColumn("fires", F.col("_gate").isNull() & F.col("error").isNull() & ~_below(threshold) & (F.coalesce("outcome", F.lit("failed")) == "fired"))
+    return e.select(*GATED)
+
+
+def audited(e: DataFrame, threshold: float | None = None) -> DataFrame:
+    """The audit rows of gated events that have `cooling`."""
+    low = _below(threshold)
     reason = F.coalesce("_gate", F.when(F.col("cooling"), "cooldown"))
     verdict = F.when(reason.isNotNull(), "suppressed").when(F.col("error").isNotNull(), "failed").when(low, "suppressed").otherwise(F.coalesce("outcome", F.lit("failed")))
     why = F.coalesce(reason, F.when(F.col("error").isNotNull(), F.concat(F.lit("error:"), "error")), F.when(low, "below_confidence_threshold"), F.col("trigger_condition"), F.lit("session_not_found"))
@@ -101,6 +108,16 @@ def dispatch(events: DataFrame, sessions: DataFrame, consent: DataFrame, audit:
     return e.select(key.alias("id"), "action_id", "actor", "session_id", F.col("at").alias("fired_at"), why.alias("trigger_condition"), F.when(ran, F.col("confidence")).alias("confidence"), verdict.alias("outcome"), F.when(ran & ~low, F.col("details")).alias("details"))
 
 
+def dispatch(events: DataFrame, sessions: DataFrame, consent: DataFrame, audit: DataFrame, results: DataFrame, *, action_id: str, cooldown: float | None = None, threshold: float | None = None, org_consent: DataFrame | None = None) -> DataFrame:
+    """An audit row for each event: the first gate that stops it, or its handler's result.
+
+    Gates in order: session unknown, personal session, opted out (by the actor, or by the org where `org_consent` is given),
+    cooldown, error, confidence under `threshold`. `results`: session_id, outcome, trigger_condition, confidence, details, error.
+    """
+    e = gated(events, sessions, consent, results, action_id=action_id, threshold=threshold, org_consent=org_consent)
+    return audited(thin(e, last_fired(audit), cooldown or 0), threshold)
+
+
 def tag_results(new: DataFrame) -> DataFrame:
     """Handler results of tagging: every tagged session fires."""
     return new.select(F.col("id").alias("session_id"), F.lit("fired").alias("outcome"), F.lit("session_closed").alias("trigger_condition"), F.lit(None).cast("double").alias("confidence"), F.to_json("tags").alias("details"), F.lit(None).cast("string").alias("error"))

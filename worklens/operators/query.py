@@ -73,6 +73,13 @@ def audit(entries: DataFrame, *, action_id=None, actor=None, limit: int | None =
     return listing(entries, time="fired_at", limit=limit, action_id=action_id, actor=actor)
 
 
+def consents(entries: DataFrame, *, subject: str | None = None, org_id: str | None = None) -> DataFrame:
+    """Consent entries, of a subject or an org (None: any), by their key."""
+    for c, v in (("subject", subject), ("org_id", org_id)):
+        entries = entries if v is None else entries.filter(F.col(c) == v)
+    return entries.orderBy("id")
+
+
 def pending(sessions: DataFrame, compactions: DataFrame, *, summarised_only=False) -> DataFrame:
     """Sessions still to be compacted: not personal, without a compaction."""
     rows = sessions.filter(F.col("mode") != "personal")
@@ -81,7 +88,7 @@ def pending(sessions: DataFrame, compactions: DataFrame, *, summarised_only=Fals
 
 
 def review(sessions: DataFrame, compactions: DataFrame, limit: int | None = 200) -> DataFrame:
-    """Newest sessions with a flag for those that have a compaction."""
+    """Newest sessions, with the tags they carry and a flag for those that have a compaction."""
     done = compactions.select(F.col("session_id").alias("id")).distinct().withColumn("compacted", F.lit(True))
     return newest(sessions, "started_at", limit, "id").join(done.hint("merge"), "id", "left").withColumn("compacted", F.coalesce("compacted", F.lit(False)))
 

@@ -71,3 +71,17 @@ def cost_jumps(weeks: DataFrame, *, by: tuple[str, ...], factor=2.0) -> DataFram
     order = Window.partitionBy(*by).orderBy("week")
     before = F.when(F.lag("week").over(order) == F.col("week") - F.expr("interval 7 days"), F.lag("cost").over(order))
     return weeks.withColumn("before", before).filter(F.col("cost") >= factor * F.col("before"))
+
+
+def cost_trend(weeks: DataFrame, *, by: tuple[str, ...]) -> DataFrame:
+    """by, weeks, total, slope, mean: the line through the weekly costs of weekly(), from a group's first week to its last; a week without rows costs nothing and counts. The slope is
+    the change a week; a single week has none. A group's weeks are as many as the calendar has, however many rows there are."""
+    one = "interval 7 days"
+    ends = weeks.groupBy(*by).agg(F.min("week").alias("first"), F.max("week").alias("last"))
+    spine = ends.select(*by, F.posexplode(F.sequence("first", "last", F.expr(one))).alias("x", "week"))
+    on = F.lit(True)
+    for c in by:
+        on = on & F.col(f"s.{c}").eqNullSafe(F.col(f"w.{c}"))
+    filled = spine.alias("s").join(weeks.alias("w").hint("merge"), on & (F.col("s.week") == F.col("w.week")), "left")
+    rows = filled.select(*[F.col(f"s.{c}").alias(c) for c in by], F.col("s.x").cast("double").alias("x"), F.coalesce("w.cost", F.lit(0.0)).alias("cost"))
+    return rows.groupBy(*by).agg(F.count("*").alias("weeks"), F.round(F.sum("cost"), 2).alias("total"), F.round(F.regr_slope("cost", "x"), 4).alias("slope"), F.round(F.avg("cost"), 4).alias("mean"))

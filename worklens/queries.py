@@ -11,8 +11,9 @@ from .functions import redact as R
 from .functions.pricing import cost, resolve_tier
 from .functions.times import parse_time
 from .operators import actions, citations, cluster, compact, cost as costs, kanon, keyed, query as q, release, sessionize, similarity, skills, trends
-from .plans import views
+from .plans import digest, views
 from .plans.views import COMPACTIONS_SQL, TURNS_SQL
+from .schemas import FRICTION
 from .sources import transcripts
 from .streaming.live import gap_sessions
 
@@ -268,11 +269,13 @@ def newest_reviewed(spark, d):
     return lists["audit"].select(F.lit("audit").alias("kind"), "id").union(lists["compaction"].select(F.lit("compaction").alias("kind"), "id"))
 
 
-@query(C + "select session_id as id, coalesce(key % 3 = 1, false) as compacted from c order by started_at desc, session_id limit 200")
+@query(C + "select session_id as id, coalesce(key % 3 = 1, false) as compacted, project, case when key % 2 = 0 then 'implementation' else 'conversation' end as task_type from c order by started_at desc, session_id limit 200")
 def review_list(spark, d):
-    """Q15."""
-    rows = comps(spark, d).withColumn("id", F.col("session_id"))
-    return q.review(rows, rows.filter("key % 3 = 1")).select("id", "compacted")
+    """Q15: the newest sessions, their tags, and whether they have a compaction."""
+    c = comps(spark, d)
+    s = c.select(F.col("session_id").alias("id"), "project", "started_at", F.lit(None).cast("map<string,string>").alias("tags"))
+    tagged = actions.apply_tags(s, actions.tags(s, c.select("session_id", F.when(F.col("key") % 2 == 0, "Edit").alias("tool_name")), c.limit(0).withColumn("friction_points", F.array().cast(FRICTION))))
+    return q.review(tagged, c.filter("key % 3 = 1")).select("id", "compacted", *[F.col("tags")[k].alias(k) for k in ("project", "task_type")])
 
 
 @query(C + "select project, count(*) as sessions from c group by project")
@@ -358,6 +361,16 @@ def weekly_digest(spark, d):
     return rows.select(F.lit("week").alias("period"), F.date_format("week", "yyyy-MM-dd").alias("week"), "outcome", "sessions", "contributors", F.round("cost", 2).alias("cost"))
 
 
+@query(C + """, w as (select org_id, project, time_bucket(interval 7 day, started_at, timestamp '1970-01-01') as week, round(sum(est_cost_usd), 2) as cost from c where key % 5 = 2 group by all),
+e as (select org_id, project, min(week) as a, max(week) as b from w group by all), s as (select org_id, project, unnest(generate_series(a, b, interval 7 day)) as week, a from e),
+f as (select s.org_id, s.project, date_diff('day', s.a, s.week) / 7.0 as x, coalesce(cost, 0) as cost from s left join w on w.org_id = s.org_id and w.project = s.project and w.week = s.week)
+select org_id, project, count(*) as weeks, round(sum(cost), 2) as total, round(regr_slope(cost, x), 4) as slope, round(avg(cost), 4) as mean from f group by all""")
+def cost_trends(spark, d):
+    """How an org's projects' weekly costs rise or fall; weeks without rows count as nothing."""
+    by = ("org_id", "project")
+    return trends.cost_trend(trends.weekly(comps(spark, d).filter("key % 5 = 2"), by=by), by=by)
+
+
 @query(SPLIT_SQL + "select strftime(time_bucket(interval 7 day, started_at, timestamp '1970-01-01'), '%Y-%m-%d') as week, tier, count(*) as sessions, round(sum(usd), 2) as cost from s join c on c.session_id = s.id group by all")
 def weekly_cost_by_tier(spark, d):
     """Z6."""
@@ -533,6 +546,13 @@ def consent_table(spark, d):
     return keyed.set_consent(empty, rows).select("id", "state")
 
 
+@query(C + ", k as (select org_id || ':' || actor || ':auto-tag' as id, org_id, case when key % 2 = 0 then 'opt_out' else 'opt_in' end as state, started_at, key from c) select id, arg_max(state, (started_at, key)) as state from k where org_id = 'org2' group by id")
+def list_consents(spark, d):
+    """Q14: an org's consent entries."""
+    rows = comps(spark, d).select("org_id", F.col("actor").alias("subject"), F.lit("auto-tag").alias("action_category"), F.when(F.col("key") % 2 == 0, "opt_out").otherwise("opt_in").alias("state"), F.struct("started_at", "key").alias("set_at"))
+    return q.consents(keyed.set_consent(rows.limit(0).withColumn("id", F.lit("").cast("string")), rows), org_id="org2").select("id", "state")
+
+
 # ---- redaction of texts
 
 
@@ -686,6 +706,25 @@ def assembled_compactions(spark, d):
     return rows.select("id", "task_intent", "duration_seconds", "prompt_version", "est_cost_usd")
 
 
+@query(C + """select id, session_id, 'stored' as task_intent, 'v0' as prompt_version from c where key % 3 = 1 union all
+select 'comp-' || session_id, session_id, case key % 4 when 0 then 'fix ' || key when 1 then 'found ' || key else 'say ' || key end, case when key % 5 = 1 then 'v0-summary' else 'v0' end from c where mode <> 'personal' and key % 3 <> 1 and key % 7 <> 0""")
+def compacted_pending(spark, d):
+    """M7: what waits is prompted, answered (every seventh response fails and waits on), assembled and put beside what is stored."""
+    c = comps(spark, d)
+    s = c.select(F.col("session_id").alias("id"), "actor", "surface", "project", "mode", "started_at", F.col("started_at").alias("ended_at"), F.lit(1).alias("turn_count"))
+    zero = {k: F.lit(None).cast("long") for k in ("tokens_in", "tokens_out", "cache_creation_tokens", "cache_read_tokens")}
+    none = {k: F.lit(None).cast("string") for k in ("tool_output", "tool_name", "model")}
+    t = c.select("session_id", F.lit(0).alias("seq"), F.lit("user").alias("role"), F.concat(F.lit("say "), "key").alias("content")).withColumns(zero | none)
+    stored = c.filter("key % 3 = 1").select("id", "session_id", F.lit("stored").alias("task_intent"), F.lit("v0").alias("prompt_version"))
+
+    def respond(prompts):  # stands for a model: an answer made of the number that the prompt quotes
+        key = F.regexp_extract("prompt", r"say (\d+)", 1).cast("long")
+        return prompts.select("session_id", key.alias("key")).select("session_id", F.when(F.col("key") % 7 != 0, F.expr(RAW)).alias("raw"))
+
+    new = digest.compact_pending(s, t, stored, respond, c.filter("key % 5 = 1").select("session_id", F.lit("so far").alias("summary")))
+    return keyed.upsert(stored, new.select("id", "session_id", "task_intent", "prompt_version"), ["id"])
+
+
 # ---- similarity, clusters, skills
 
 
@@ -884,7 +923,18 @@ def gate_chain(spark, d):
     return _dispatched(spark, d, threshold=0.3).select("session_id", "trigger_condition")
 
 
-@query()
+COOL_SQL = """, ev as (select actor, session_id, started_at as tm, key % 13 = 0 as unknown, mode, key % 17 = 0 as error, row_number() over (partition by actor order by started_at, session_id) as n from c),
+h as (select actor, max(started_at) as last from c where key % 40 = 0 group by actor),
+g as (select e.*, h.last as prev, case when unknown then 'session_unresolved' when mode = 'personal' then 'personal_mode_excluded' when e.actor = 'a3' then 'consent_opt_out' end as gate from ev e left join h using (actor)),
+f as (
+  select actor, n, gate, error, coalesce(tm < prev + interval 30 day, false) as cooling, case when gate is null and not error and not coalesce(tm < prev + interval 30 day, false) then tm else prev end as last from g where n = 1
+  union all
+  select g.actor, g.n, g.gate, g.error, coalesce(g.tm < f.last + interval 30 day, false), case when g.gate is null and not g.error and not coalesce(g.tm < f.last + interval 30 day, false) then g.tm else f.last end
+  from f join g on g.actor = f.actor and g.n = f.n + 1)
+select actor, case when gate is not null then gate when cooling then 'cooldown' when error then 'error:ValueError' else 'session_closed' end as trigger_condition, count(*) as n from f group by all"""
+
+
+@query(C.replace("with c as", "with recursive c as") + COOL_SQL)
 def cooldown_chain(spark, d):
     """Only what fires resets the clock, also within the batch."""
     rows = _dispatched(spark, d, cooldown=30 * 86_400)

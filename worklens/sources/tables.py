@@ -31,6 +31,12 @@ def read_table(spark: SparkSession, root: str, name: str, schema: str) -> DataFr
     return spark.read.schema(schema).parquet(f"{root}/{name}/{newest}") if newest else spark.createDataFrame([], schema)
 
 
+def table_exists(spark: SparkSession, root: str, name: str) -> bool:
+    """Whether a version of a table, be it an empty one, has been written to its end."""
+    pointers = _found(spark, lambda r: r.text(f"{root}/{name}/_current-*"))
+    return pointers is not None and not pointers.isEmpty()
+
+
 def replace_table(df: DataFrame, root: str, name: str, *, partition_by: tuple[str, ...] = ()) -> None:
     """Write a new version beside the old ones, then a pointer of its own name: readers take the newest pointer that is there, so they see the old version or the
     new one, and nothing is deleted under them."""
