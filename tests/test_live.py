@@ -74,3 +74,61 @@ def test_forgotten_transcripts_begin_anew(spark, tmp_path):
         drain(live.capped_sessions(spark.readStream.schema(SHAPE).parquet(str(tmp_path / "in")), gap=1800, cap=4000, late="1 minute", forget=20_000), str(tmp_path), f"forget{i}")
     got = [(r.number, r.started_at.timestamp() - T0) for r in spark.read.parquet(str(tmp_path / "out")).filter("transcript = 'a'").orderBy("started_at").collect()]
     assert got == [(1, 0), (1, 95_000)]
+
+
+def test_actions_on_live_events(spark, tmp_path):
+    """The audit rows of a stream over four batches and restarts are those of one batch over all."""
+    from worklens.operators import actions
+    from worklens.streaming.dispatch import dispatch_stream
+
+    rng, shape = random.Random(5), "session_id string, actor string, at timestamp"
+    events = [(f"s{i}", rng.choice(["a", "b", "c", "d", None]), at(600 * i + rng.choice([0, 0, 60]))) for i in range(160)]
+    sessions = spark.createDataFrame([(f"s{i}", "personal" if i % 11 == 0 else "work") for i in range(160) if i % 7], "id string, mode string")
+    consent = spark.createDataFrame([("b", "tag", "opt_out"), ("c", "other", "opt_out")], "subject string, action_category string, state string")
+    results = spark.createDataFrame([(f"s{i}", "fired" if i % 3 else "suppressed", "closed", (i % 10) / 10, "{}", "ValueError" if i % 13 == 0 else None) for i in range(160)], "session_id string, outcome string, trigger_condition string, confidence double, details string, error string")
+    audit = spark.createDataFrame([("tag", "a", at(-100), "fired"), ("tag", "c", at(-9000), "fired"), ("tag", "d", at(-50), "suppressed"), ("tag", None, at(-10), "fired")], "action_id string, actor string, fired_at timestamp, outcome string")
+    rules = {"action_id": "tag", "cooldown": 7200.0, "threshold": 0.2}
+    for k in range(0, 160, 40):
+        spark.createDataFrame(events[k : k + 40], shape).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        drain(dispatch_stream(spark.readStream.schema(shape).parquet(str(tmp_path / "in")), sessions, consent, audit, results, **rules), str(tmp_path), f"act{k}")
+    want = actions.dispatch(spark.createDataFrame(events, shape), sessions, consent, audit, results, **rules)
+    got = spark.read.parquet(str(tmp_path / "out")).select(*want.columns)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() == 160
+    assert {r.trigger_condition for r in got.select("trigger_condition").distinct().collect()} >= {"cooldown", "closed", "consent_opt_out", "session_unresolved", "personal_mode_excluded", "error:ValueError", "below_confidence_threshold"}
+
+
+def test_digests_of_batches_that_come_again(spark, tmp_path):
+    """A replay changes nothing and asks nobody, personal sessions never pass, a failed response stays pending and can be tried again."""
+    from worklens.operators.query import pending
+    from worklens.plans.digest import DigestChain, digest_table
+
+    shape = "id string, actor string, surface string, project string, mode string, started_at timestamp, ended_at timestamp, turn_count long"
+    closed = [(f"s{i}", "me", "codex", "p", "personal" if i % 5 == 0 else "work", at(i), at(i + 60), 1) for i in range(12)]
+    turn = "session_id string, seq long, role string, content string, tool_name string, tool_output string, model string, tokens_in long, tokens_out long, cache_creation_tokens long, cache_read_tokens long"
+    turns = spark.createDataFrame([(f"s{i}", 0, "user", f"do {i}", None, None, "opus", 1_000_000, 0, 0, 0) for i in range(12)], turn)
+    asked, broken = [], {"s3"}
+
+    def respond(prompts):
+        rows = [(r.session_id, None if r.session_id in broken else '{"task_intent": "did %s (%d)", "outcome": "success"}' % (r.session_id, len(asked)) if r.session_id != "s4" else "no json") for r in prompts.collect()]
+        asked.append(sorted(r[0] for r in rows))
+        return spark.createDataFrame(rows, "session_id string, raw string")
+
+    table = digest_table(spark, str(tmp_path / "digests"), buckets=4)
+    chain = DigestChain(table, str(tmp_path / "answers"), lambda: turns, respond)
+    for i, part in enumerate((closed[:6], closed[6:])):
+        spark.createDataFrame(part, shape).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(shape).parquet(str(tmp_path / "in"))
+        stream.writeStream.foreachBatch(chain).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    rows = lambda: {r.session_id: (r.id, r.task_intent, r.outcome, r.est_cost_usd) for r in table.read().collect()}
+    first = rows()
+    assert asked == [["s1", "s2", "s3", "s4"], ["s11", "s6", "s7", "s8", "s9"]] and set(first) == {"s1", "s2", "s4", "s6", "s7", "s8", "s9", "s11"}
+    assert first["s1"] == ("comp-s1", "did s1 (0)", "success", 15.0) and first["s4"] == ("comp-s4", "do 4", "partial", 15.0)
+    everything = spark.createDataFrame(closed, shape)
+    chain(spark.createDataFrame(closed[:6], shape), 0)  # comes again after its end
+    table.replace(spark.createDataFrame([("s1",), ("s7",)], "session_id string"), table.read().limit(0))
+    chain(spark.createDataFrame(closed[:6], shape), 0)  # comes again after a failure between the answers and the table
+    assert len(asked) == 2 and rows() == {k: v for k, v in first.items() if k != "s7"}
+    assert sorted(r.id for r in pending(everything, table.read()).collect()) == ["s3", "s7"]
+    broken.clear()
+    chain(everything, "retry-1")
+    assert asked[2] == ["s3", "s7"] and rows()["s3"][1] == "did s3 (2)" and set(rows()) == {f"s{i}" for i in range(12) if i % 5}

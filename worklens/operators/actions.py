@@ -48,33 +48,34 @@ def apply_tags(sessions: DataFrame, new: DataFrame) -> DataFrame:
 def thin(events: DataFrame, history: DataFrame, seconds: float, *, key=("action_id", "actor")) -> DataFrame:
     """`events` (key, at, fires) with `cooling`: whether the last fired one of its key, in history (key, last_fired_at) or earlier in the batch, is under
     `seconds` ago. Only events that fire reset the clock, so each key is a sequential fold; it runs over times alone. Events at one time follow each other by session, if they have one."""
-    rows = _with_history(events, history, key)
+    rows = with_history(events, history, key)
     if not seconds:
-        return rows.withColumn("cooling", F.lit(False)).drop("_last")
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "_last") + ", cooling boolean"
+        return rows.withColumn("cooling", F.lit(False)).drop("before")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "before") + ", cooling boolean"
 
     def fold(table: pa.Table) -> pa.Table:
         table = table.sort_by([(c, "ascending") for c in ("at", "session_id") if c in table.column_names])
         at = np.asarray(table.column("at").cast(pa.int64()))
-        fires, last = table.column("fires").to_pylist(), table.column("_last").cast(pa.int64())[0].as_py()
+        fires, last = table.column("fires").to_pylist(), table.column("before").cast(pa.int64())[0].as_py()
         cooling = []
         for t, f in zip(at.tolist(), fires, strict=True):
             cool = last is not None and t - last < seconds * 1_000_000
             cooling.append(cool)
             if f and not cool:
                 last = t
-        return table.drop_columns(["_last"]).append_column("cooling", pa.array(cooling))
+        return table.drop_columns(["before"]).append_column("cooling", pa.array(cooling))
 
     return rows.groupBy(*key).applyInArrow(fold, schema)
 
 
-def _with_history(events: DataFrame, history: DataFrame, key) -> DataFrame:
-    past = history.select(*[F.col(k).alias(f"_h_{k}") for k in key], F.col("last_fired_at").alias("_last"))
+def with_history(events: DataFrame, history: DataFrame, key) -> DataFrame:
+    """`events` with `before`, the time when its key last fired according to `history`."""
+    past = history.select(*[F.col(k).alias(f"_h_{k}") for k in key], F.col("last_fired_at").alias("before"))
     on = [events[k].eqNullSafe(past[f"_h_{k}"]) for k in key]
     return events.join(past.hint("merge"), on, "left").drop(*[f"_h_{k}" for k in key])
 
 
-GATED = ("action_id", "actor", "session_id", "at", "fires", "_gate", "outcome", "trigger_condition", "confidence", "details", "error")
+GATED = ("action_id", "actor", "session_id", "at", "fires", "gate", "outcome", "trigger_condition", "confidence", "details", "error")
 
 
 def _below(threshold: float | None) -> Column:
@@ -82,7 +83,7 @@ def _below(threshold: float | None) -> Column:
 
 
 def gated(events: DataFrame, sessions: DataFrame, consent: DataFrame, results: DataFrame, *, action_id: str, threshold: float | None = None, org_consent: DataFrame | None = None) -> DataFrame:
-    """Events with the first gate before the cooldown that stops them (`_gate`), their handler's result, and whether they fire unless they are cooling. Works on a stream of events
+    """Events with the first gate before the cooldown that stops them (`gate`), their handler's result, and whether they fire unless they are cooling. Works on a stream of events
     beside tables: each join has one key and keeps the stream's rows."""
     e = events.withColumn("action_id", F.lit(action_id))
     e = e.join(sessions.select(F.col("id").alias("session_id"), "mode").hint("merge"), "session_id", "left")
@@ -93,14 +94,14 @@ def gated(events: DataFrame, sessions: DataFrame, consent: DataFrame, results: D
         no = org_consent.filter((F.col("action_category") == action_id) & (F.col("state") == "opt_out")).agg(F.count("*").alias("n"))
         opted_out = opted_out | (no.scalar() > 0)
     gate = F.when(F.col("mode").isNull(), "session_unresolved").when(F.col("mode") == "personal", "personal_mode_excluded").when(opted_out, "consent_opt_out")
-    e = e.withColumn("_gate", gate).withColumn("fires", F.col("_gate").isNull() & F.col("error").isNull() & ~_below(threshold) & (F.coalesce("outcome", F.lit("failed")) == "fired"))
+    e = e.withColumn("gate", gate).withColumn("fires", F.col("gate").isNull() & F.col("error").isNull() & ~_below(threshold) & (F.coalesce("outcome", F.lit("failed")) == "fired"))
     return e.select(*GATED)
 
 
 def audited(e: DataFrame, threshold: float | None = None) -> DataFrame:
     """The audit rows of gated events that have `cooling`."""
     low = _below(threshold)
-    reason = F.coalesce("_gate", F.when(F.col("cooling"), "cooldown"))
+    reason = F.coalesce("gate", F.when(F.col("cooling"), "cooldown"))
     verdict = F.when(reason.isNotNull(), "suppressed").when(F.col("error").isNotNull(), "failed").when(low, "suppressed").otherwise(F.coalesce("outcome", F.lit("failed")))
     why = F.coalesce(reason, F.when(F.col("error").isNotNull(), F.concat(F.lit("error:"), "error")), F.when(low, "below_confidence_threshold"), F.col("trigger_condition"), F.lit("session_not_found"))
     ran = reason.isNull() & F.col("error").isNull()
