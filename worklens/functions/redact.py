@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
+from ..plans.state import settle
 from ..schemas import any_of
 
 # fixed values: what is matched; (?i) ignores case
@@ -68,7 +69,8 @@ def redact_value(value, active: list[tuple[str, re.Pattern]]):
 
 
 def redact_json(column: Column, active: list[tuple[str, str]] | None = None) -> Column:
-    """JSON text with every string and key redacted; text that isn't JSON is redacted as text. (Recursion has no native form.)"""
+    """JSON text with every string and key redacted; text that isn't JSON is redacted as text. One column expression, row by row in Python; redact_nested() works
+    on a whole table without it."""
     named = patterns() if active is None else active
 
     @F.pandas_udf(StringType())
@@ -88,6 +90,54 @@ def redact_json(column: Column, active: list[tuple[str, str]] | None = None) ->
     return run(column)
 
 
+ANCHORED = re.compile(r"[\^$]|\\[bBAZz]|\(\?[=!<]")
+
+
+def _quoted(text: Column) -> Column:
+    """A string as JSON text."""
+    array = F.to_json(F.array(text))
+    return F.substring(array, F.lit(2), F.length(array) - 2)
+
+
+def redact_nested(rows: DataFrame, column: str, active: list[tuple[str, str]] | None = None) -> DataFrame:
+    """`rows` with every string and key of the JSON text in `column` redacted at any depth, without Python: documents are opened level by level (variant_explode) into values with
+    their paths, values and keys are redacted as text, and containers are put together again from the deepest level up.
+
+    As redact_json(), except that keys come out in order, that of keys which become equal the last in order stays, and that a document in which no pattern can match keeps its
+    spelling. Text that isn't JSON (or names a key twice) is redacted as text. Levels are written to the shared folder, as many as the deepest document has.
+    """
+    named = patterns() if active is None else active
+    spark, text = rows.sparkSession, F.col(f"`{column}`")
+    # without escapes a string stands in the text as it is, so where a pattern without anchors finds nothing it finds nothing in any part
+    free = F.lit(False) if any(ANCHORED.search(p) for _, p in named) else ~text.contains("\\") & (F.size(detect(text, named)) == 0)
+    base = settle(rows.withColumn("wl_row", F.monotonically_increasing_id()).withColumn("wl_free", F.coalesce(free, F.lit(True))))
+    level = base.filter("not wl_free").select("wl_row", F.array().cast("array<struct<pos:int,key:string>>").alias("path"), F.try_parse_json(text).alias("v")).filter("v is not null")
+    kind, levels = F.schema_of_variant("v"), []
+    while True:
+        level = settle(level)
+        holds = (kind.startswith("OBJECT") | kind.startswith("ARRAY")) & ~F.to_json("v").isin("{}", "[]")
+        value = F.when(kind == "STRING", _quoted(redact(F.try_variant_get("v", "$", "string"), named))).otherwise(F.to_json("v"))
+        levels.append(level.filter(~holds).select("wl_row", "path", value.alias("text")))
+        inner = level.filter(holds)
+        if inner.isEmpty():
+            break
+        opened = spark.sql("select t.wl_row, t.path, e.pos, e.key, e.value as v from {t} t, lateral variant_explode(t.v) e", t=inner)
+        level = opened.select("wl_row", F.concat("path", F.array(F.struct("pos", "key"))).alias("path"), "v")
+    built = levels.pop()
+    while levels:
+        own, last = F.slice("path", F.lit(1), F.size("path") - 1), F.element_at("path", -1)
+        part = built.select("wl_row", own.alias("path"), last["pos"].alias("pos"), F.when(last["key"].isNotNull(), _quoted(redact(last["key"], named))).alias("key"), last["key"].isNotNull().alias("named"), "text")
+        # an array's places are its keys
+        once = part.groupBy("wl_row", "path", "named", F.coalesce("key", F.col("pos").cast("string")).alias("key")).agg(F.max(F.struct("pos", "text")).alias("x"))
+        item = F.when(F.col("named"), F.concat("key", F.lit(":"), F.col("x.text"))).otherwise(F.col("x.text"))
+        whole = once.groupBy("wl_row", "path", "named").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col("x.pos").alias("pos"), item.alias("item")))), lambda y: y["item"]), ",").alias("items"))
+        braced = F.when(F.col("named"), F.concat(F.lit("{"), "items", F.lit("}"))).otherwise(F.concat(F.lit("["), "items", F.lit("]")))
+        built = levels.pop().unionByName(whole.select("wl_row", "path", braced.alias("text")))
+    done = base.join(built.select("wl_row", F.col("text").alias("wl_text")).hint("merge"), "wl_row", "left")
+    new = F.when(F.col("wl_free"), text).otherwise(F.coalesce("wl_text", redact(text, named)))
+    return done.withColumn(column, new).select(*[f"`{c}`" for c in rows.columns])
+
+
 def redact_turns(turns: DataFrame, active=None) -> DataFrame:
     """Content, tool output and error as text, tool input as JSON."""
     for c in ("content", "tool_output", "error"):

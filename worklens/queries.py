@@ -600,12 +600,19 @@ def sensitive_paths(spark, d):
     return rows.select("doc_id", R.sensitive_path(F.col("p")).alias("hit"))
 
 
-@query("select event_id, case when event_id % 3 = 0 then '[REDACTED:email]' else 'ok' end as inner_text from events")
+@query("""select event_id, case when event_id % 3 = 0 then '[REDACTED:email]' else 'ok' end as inner_text, case when event_id % 4 = 0 then '[REDACTED:email]' else 'note' end as deep_key, event_id % 50 as k,
+  case when event_id % 5 = 0 then 'call [REDACTED:phone]' else 'say "hi"' end as deep_value from events""")
 def redact_nested(spark, d):
-    """Strings and keys inside JSON."""
+    """Strings and keys at any depth of JSON."""
+    e = views.table(spark, d, "events")
     text = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("u"), "event_id", F.lit("@example.org"))).otherwise(F.lit("ok"))
-    rows = views.table(spark, d, "events").select("event_id", F.to_json(F.struct(F.struct(F.array(text).alias("list")).alias("a"))).alias("j"))
-    return rows.select("event_id", F.get_json_object(R.redact_json(F.col("j")), "$.a.list[0]").alias("inner_text"))
+    key = F.when(F.col("event_id") % 4 == 0, F.concat(F.lit("k"), "event_id", F.lit("@example.org"))).otherwise(F.lit("note"))
+    value = F.when(F.col("event_id") % 5 == 0, "call 555-123-4567").otherwise('say "hi"')
+    deep = F.create_map(key, F.array(F.struct(value.alias("v"), (F.col("event_id") % 50).alias("k"))))
+    rows = R.redact_nested(e.select("event_id", F.to_json(F.struct(F.struct(F.array(text).alias("list"), deep.alias("deep")).alias("a"))).alias("j")), "j")
+    deep = F.from_json(F.get_json_object("j", "$.a.deep"), "map<string,array<struct<v:string,k:long>>>")
+    rows = rows.select("event_id", F.get_json_object("j", "$.a.list[0]").alias("inner_text"), F.explode(deep).alias("deep_key", "x"))
+    return rows.select("event_id", "inner_text", "deep_key", F.col("x")[0]["v"].alias("deep_value"), F.col("x")[0]["k"].alias("k"))
 
 
 # ---- citations
