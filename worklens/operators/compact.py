@@ -60,8 +60,9 @@ def first_object(raw: str | None, *, prefer: str | None = None) -> str | None:
 
 
 def extract_object(raw: Column, *, prefer: str | None = None) -> Column:
-    """JSON text of a response's object. Responses that are one object whole take the native path; the rest are searched row by row."""
-    whole = F.when(F.trim(raw).startswith("{") & F.try_parse_json(raw).isNotNull(), raw)
+    """JSON text of a response's object. Responses that begin with an object take the native path, as parsers end with it; the rest are searched row by row, and so are all if
+    the preferred object may come later."""
+    whole = F.when(F.trim(raw).startswith("{") & F.try_parse_json(raw).isNotNull(), raw) if prefer is None else F.lit(None).cast("string")
 
     @F.pandas_udf(StringType())
     def search(texts):

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.redact import redact_compactions, redact_turns
+from ..sources.files import write_files
 from .keyed import mark_synced, upsert
 
 
@@ -53,6 +54,14 @@ def write_raw(lines: DataFrame, path: str) -> DataFrame:
     return lines.select(F.concat_ws("::", F.lit("raw"), "org_id", "compaction_id").alias("id"), "org_id", "team_id", "compaction_id", F.concat_ws("/", F.lit(path), "org_id", "team_id", "compaction_id").alias("path")).distinct()
 
 
+def export_raw(lines: DataFrame, root: str) -> DataFrame:
+    """Write org/team/compaction.jsonl files of raw_export()'s lines, in the order of `seq`; returns the pointer rows (id, org_id, team_id, compaction_id, path)."""
+    named = lines.select(F.concat(F.concat_ws("/", "org_id", "team_id", "compaction_id"), F.lit(".jsonl")).alias("name"), F.col("seq").alias("no"), F.col("value").alias("line"))
+    parts = F.split(F.substring("path", len(root.rstrip("/")) + 2, 1 << 30), "/")
+    rows = write_files(named, root).select(parts[0].alias("org_id"), parts[1].alias("team_id"), F.regexp_replace(parts[2], r"\.jsonl$", "").alias("compaction_id"), "path")
+    return rows.select(F.concat_ws("::", F.lit("raw"), "org_id", "compaction_id").alias("id"), "org_id", "team_id", "compaction_id", "path")
+
+
 def org_ingest(stored: DataFrame, batch: DataFrame, claims: DataFrame) -> DataFrame:
     """Upsert a batch into the org's table. A row that isn't released, an unknown credential or an id that an org sends twice refuses the whole batch. Actor, org and team
     come from the claims (credential, actor, org_id, team_id; one row each), never from the payload; keys get the org before them."""

@@ -39,7 +39,12 @@ def capture(spark: SparkSession, root: str, ledger: DataFrame, stored: tuple[Dat
 
     Unchanged files aren't read. Changed ones are read on executors; one that can't be read stands in the quarantine, stays off the ledger, and is tried again in
     the next cycle, while what was stored of it before stays."""
-    found = settle(discover(spark, root))
+    return cycle(spark, discover(spark, root), ledger, stored, failures, **options)
+
+
+def cycle(spark: SparkSession, found: DataFrame, ledger: DataFrame, stored: tuple[DataFrame, DataFrame] | None = None, failures: DataFrame | None = None, **options) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """capture() for files that were found otherwise (path, mtime)."""
+    found = settle(found)
     lines, failed = read_lines_of(changed(found, ledger))
     lines, failed = settle(lines), settle(failed)
     new = ingest(lines, **options)

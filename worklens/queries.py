@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,10 +12,11 @@ from .functions import redact as R
 from .functions.pricing import cost, resolve_tier
 from .functions.times import parse_time
 from .operators import actions, citations, cluster, compact, cost as costs, kanon, keyed, query as q, release, sessionize, similarity, skills, trends
-from .plans import digest, views
+from .plans import capture, digest, views
+from .plans.state import settle, shared_dir
 from .plans.views import COMPACTIONS_SQL, TURNS_SQL
 from .schemas import FRICTION
-from .sources import transcripts
+from .sources import files, transcripts
 from .streaming.live import gap_sessions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -677,15 +679,19 @@ def turn_texts(spark, d):
     return _talk(spark, d).select("session_id", "seq", compact.turn_text().alias("text"))
 
 
-@query("select 'c' || conv_id as session_id, least(count(*), 400) as turns, case when conv_id % 2 = 0 then 'summary' else 'full' end as kind from conversations group by conv_id")
+@query("""with t as (select 'c' || conv_id as id, turn, role, case when length(coalesce(text, '')) > 600 then substr(text, 1, 600) || '…' else coalesce(text, '') end as text, count(*) over (partition by conv_id) as n,
+  row_number() over (partition by conv_id order by turn desc) as back, row_number() over (partition by conv_id order by turn) as place, conv_id % 2 = 0 as short from conversations),
+k as (select * from t where case when short then back <= 40 else place <= 400 end),
+j as (select id, short, n, '[' || string_agg('{' || concat_ws(',', '"seq":' || turn, '"role":' || to_json(role)::varchar, '"text":' || to_json(text)::varchar) || '}', ',' order by turn nulls first, role nulls first, text) || ']' as turns from k group by all)
+select id as session_id, case when short then 'summary' else 'full' end as kind,
+  md5(chr(10) || 'Work in p by way of codex; number of turns: ' || n || chr(10) || chr(10) || case when short then '# Summary so far' || chr(10) || 'so far' || chr(10) || chr(10) || '# Last turns, as JSON' else '# Turns, as JSON' end || chr(10) || turns || chr(10)) as prompt from j""")
 def prompt_table(spark, d):
-    """M2: prompts from turns, or from a summary and the last turns."""
+    """M2: whole prompts from turns, or from a summary and the last turns."""
     t = _talk(spark, d)
     s = t.groupBy(F.col("session_id").alias("id")).agg(F.count("*").alias("turn_count")).withColumns({"project": F.lit("p"), "surface": F.lit("codex")})
     summaries = s.filter("cast(substr(id, 2) as bigint) % 2 = 0").select(F.col("id").alias("session_id"), F.lit("so far").alias("summary"))
     rows = compact.prompts(s, t, summaries)
-    n = F.least(F.regexp_extract("prompt", r"number of turns: (\d+)", 1).cast("long"), F.lit(400))
-    return rows.select("session_id", n.alias("turns"), F.when(F.col("prompt").contains("# Summary so far"), "summary").otherwise("full").alias("kind"))
+    return rows.select("session_id", F.when(F.col("prompt").contains("# Summary so far"), "summary").otherwise("full").alias("kind"), F.md5("prompt").alias("prompt"))
 
 
 RAW = """case key % 4 when 0 then '{"task_intent": "fix ' || key || '", "outcome": "success", "artifacts": ["a.py", true, 3]}'
@@ -807,6 +813,15 @@ def own_cosine(spark, d):
     return views.table(spark, d, "embeddings").select("vec_id", F.round(similarity.cosine(v, v), 9).alias("own"))
 
 
+@query("""with v as (select vec_id, list_transform(embedding, lambda x: cast(x as double)) as v from embeddings where embedding is not null), n as (select vec_id, v, (select x.v from v x where x.vec_id = v.vec_id + 1) as w from v)
+select vec_id, coalesce(round(list_cosine_similarity(v, w), 9), 0) as sim from n""")
+def next_cosine(spark, d):
+    """The cosine of each vector and the next one; none for the last, as for a zero vector."""
+    v = views.table(spark, d, "embeddings").filter("embedding is not null").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    pairs = v.alias("a").join(v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("v").alias("w")).hint("merge"), "vec_id", "left")
+    return pairs.select("vec_id", F.coalesce(F.round(similarity.cosine(F.col("v"), F.coalesce("w", F.array(F.lit(0.0)))), 9), F.lit(0.0)).alias("sim"))
+
+
 def _communities(spark, d):
     rows, found = _alike(spark, d)
     return rows, found, cluster.communities(rows.select("id", F.col("id").alias("ordinal")), found.pairs, classes=found.members)
@@ -857,6 +872,73 @@ def name_checks(spark, d):
     return rows.select("doc_id", F.array_join(skills.name_errors(F.col("name")), ",").alias("errors"))
 
 
+DRAFT = {
+    "name": "case doc_id % 5 when 0 then 'Bad Name' when 1 then '' when 2 then repeat('x', 70) else 'ok-' || doc_id end",
+    "description": "case doc_id % 7 when 0 then ' ' when 1 then 'a <b>tag</b>' when 2 then 'tab' || chr(9) || 'here' else text end",
+    "body": "case doc_id % 3 when 0 then '  ' else 'steps' end",
+}
+DRAFTS_SQL = "with d as (select doc_id, " + ", ".join(f"{e} as {n}" for n, e in DRAFT.items()) + r"""  from documents), e as (select doc_id,
+  case when name = '' then ['name: missing'] else list_filter([case when length(name) > 64 then 'name: too long' end, case when not regexp_full_match(name, '[a-z0-9-]+') then 'name: characters' end], lambda x: x is not null) end ||
+  case when trim(coalesce(description, ''), ' ') = '' then ['description: missing'] else list_filter([case when length(description) > 1024 then 'description: too long' end, case when regexp_matches(description, '<[^>]+>') then 'description: tags' end,
+    case when regexp_matches(description, '[\x00-\x1f\x7f-\x{9f}]') then 'description: control characters' end], lambda x: x is not null) end ||
+  case when trim(body, ' ') = '' then ['body: missing'] else [] end as errors from d) """
+
+
+def _drafts(spark, d):
+    return views.table(spark, d, "documents").select("doc_id", *[F.expr(e).alias(n) for n, e in DRAFT.items()])
+
+
+@query(DRAFTS_SQL + "select doc_id, array_to_string(errors, ', ') as errors from e")
+def draft_checks(spark, d):
+    """What is wrong with names, descriptions and bodies."""
+    return skills.draft_errors(_drafts(spark, d)).select("doc_id", F.array_join("errors", ", ").alias("errors"))
+
+
+ANSWER = """case doc_id % 4 when 0 then 'First {"note": 1} then ' || chr(10) || '```json' || chr(10) || '{"name": "Fix It ' || doc_id || '", "description": "how <i>to</i> fix", "body": "do it"}' || chr(10) || '``` {"x": 2}'
+  when 1 then '{"name": "n", "description": " ", "body": "b"}' when 2 then 'nothing' else '{"a": {"b": 1}} and {"c": 3}' end"""
+
+
+@query("""select doc_id, case doc_id % 4 when 0 then 'Fix It ' || doc_id when 1 then 'n' end as name, case doc_id % 4 when 3 then 3 end as c from documents""")
+def preferred_objects(spark, d):
+    """M4: of a response's objects the last with a description, else the last."""
+    rows = views.table(spark, d, "documents").select("doc_id", F.expr(ANSWER).alias("raw"))
+    found = compact.extract_object(F.col("raw"), prefer="description")
+    return rows.select("doc_id", F.get_json_object(found, "$.name").alias("name"), F.get_json_object(found, "$.c").cast("int").alias("c"))
+
+
+@query("""select doc_id as cluster, case when doc_id % 4 = 0 then 'fix-it-' || doc_id else 'template-' || doc_id end as name, case when doc_id % 4 = 0 then 'how to fix' else 'made of members' end as description, case when doc_id % 4 = 0 then 'do it' else 'steps' end as body from documents""")
+def response_drafts(spark, d):
+    """Drafts from responses, repaired; the template's where one can't be made valid."""
+    rows = views.table(spark, d, "documents").select(F.col("doc_id").alias("cluster"), F.expr(ANSWER).alias("raw"))
+    template = rows.select("cluster", F.concat(F.lit("template-"), "cluster").alias("name"), F.lit("made of members").alias("description"), F.lit("steps").alias("body"))
+    return skills.response_drafts(rows, template).select("cluster", "name", "description", "body")
+
+
+def _evidence(spark, d):
+    k = F.col("key")
+    return comps(spark, d).select(
+        k.alias("cluster"), F.lit("n").alias("name"), F.lit("doc").alias("document"), F.when(k % 6 == 1, " ").otherwise("mined").alias("source"), F.when(k % 6 != 2, F.col("started_at")).alias("created_at"),
+        F.when(k % 6 == 3, 1.5).otherwise(0.5).alias("confidence"), F.when(k % 6 == 4, -1).otherwise(2).alias("contributor_count"), F.lit(3).alias("session_count"),
+        F.when(k % 5 == 1, F.array().cast("array<string>")).otherwise(F.array("id")).alias("evidence"), F.when(k % 6 == 5, "md5:1").otherwise("sha256:1").alias("content_hash"), F.lit("v0").alias("prompt_version"),
+        F.when(k % 7 == 1, F.array(F.col("actor"))).when(k % 7 == 2, F.array("actor", "org_id")).alias("contributors"),
+    )
+
+
+@query(C + """select key as cluster, array_to_string(list_filter([case when key % 6 = 1 then 'source' end, case when key % 6 = 2 then 'created_at' end, case when key % 6 = 3 then 'confidence' end, case when key % 6 = 4 then 'counts' end,
+  case when key % 5 = 1 then 'evidence' end, case when key % 6 = 5 then 'content_hash' end, case when key % 7 = 1 or (key % 7 = 2 and key % 6 = 4) then 'contributors' end], lambda x: x is not null), ',') as errors from c""")
+def provenance_checks(spark, d):
+    """What is wrong with a proposal's evidence."""
+    return skills.provenance_errors(_evidence(spark, d)).select("cluster", F.array_join("errors", ",").alias("errors"))
+
+
+@query(C + """select key as cluster, '{' || concat_ws(',', '"confidence":' || case when key % 6 = 3 then '1.5' else '0.5' end, '"content_hash":"' || case when key % 6 = 5 then 'md5:1' else 'sha256:1' end || '"', '"contributor_count":' || case when key % 6 = 4 then -1 else 2 end,
+  case key % 7 when 1 then '"contributors":["' || actor || '"]' when 2 then '"contributors":["' || actor || '","' || org_id || '"]' end, case when key % 6 <> 2 then '"created_at":"' || strftime(started_at, '%Y-%m-%dT%H:%M:%S.000Z') || '"' end,
+  '"evidence":[' || case when key % 5 = 1 then '' else '"' || id || '"' end || ']', '"prompt_version":"v0","session_count":3', '"source":"' || case when key % 6 = 1 then ' ' else 'mined' end || '"') || '}' as provenance from c""")
+def provenance_documents(spark, d):
+    """Evidence as JSON with sorted keys."""
+    return skills.provenance_json(_evidence(spark, d))
+
+
 @query("select doc_id, case when length(t) > 1024 then rtrim(substr(t, 1, 1023)) || '…' else t end as description from (select doc_id, trim(regexp_replace(regexp_replace(coalesce(text, ''), '<[^>]+>', '', 'g'), '[\\x00-\\x1f\\x7f-\\x{9f}]', '', 'g')) as t from documents)")
 def repaired_descriptions(spark, d):
     """E9."""
@@ -923,11 +1005,15 @@ def _dispatched(spark, d, **options):
     return actions.dispatch(events, s, consent, _audit(spark, d), results, action_id="auto-tag", **options)
 
 
-@query(C + """select session_id, case when key % 13 = 0 then 'session_unresolved' when mode = 'personal' then 'personal_mode_excluded' when actor = 'a3' then 'consent_opt_out'
-  when key % 17 = 0 then 'error:ValueError' when key % 100 < 30 then 'below_confidence_threshold' else 'session_closed' end as trigger_condition from c""")
+@query(C + """, g as (select *, case when key % 13 = 0 then 'session_unresolved' when mode = 'personal' then 'personal_mode_excluded' when actor = 'a3' then 'consent_opt_out' end as gate, key % 100 < 30 as low, key % 17 = 0 as error from c)
+select 'audit-' || substr(sha256('auto-tag|' || actor || '|' || session_id || '|' || strftime(started_at, '%Y-%m-%d %H:%M:%S')), 1, 12) as id, session_id, actor,
+  coalesce(gate, case when error then 'error:ValueError' when low then 'below_confidence_threshold' else 'session_closed' end) as trigger_condition,
+  case when gate is not null then 'suppressed' when error then 'failed' when low then 'suppressed' else 'fired' end as outcome,
+  case when gate is null and not error then cast(key % 100 as integer) end as percent, case when gate is null and not error and not low then '{}' end as details, strftime(started_at, '%Y-%m-%d') as day from g""")
 def gate_chain(spark, d):
-    """The first gate that stops an event, in order."""
-    return _dispatched(spark, d, threshold=0.3).select("session_id", "trigger_condition")
+    """The first gate that stops an event, in order, as whole audit rows."""
+    rows = _dispatched(spark, d, threshold=0.3)
+    return rows.select("id", "session_id", "actor", "trigger_condition", "outcome", F.round(F.col("confidence") * 100).cast("int").alias("percent"), "details", F.date_format("fired_at", "yyyy-MM-dd").alias("day"))
 
 
 COOL_SQL = """, ev as (select actor, session_id, started_at as tm, key % 13 = 0 as unknown, mode, key % 17 = 0 as error, row_number() over (partition by actor order by started_at, session_id) as n from c),
@@ -1002,6 +1088,27 @@ def paired_results(spark, d):
     return rows.groupBy(F.col("tool_name").isNotNull().alias("paired")).agg(F.count("*").alias("n"))
 
 
+@query(LINES + f"""select 'c' || conv_id as base_session_id, 'proj' || (conv_id % 5) as project, cast({TURN_COUNT} as bigint) as turn_count, 1 as tries from c where conv_id % 3 <> 0 group by conv_id
+having cast({TURN_COUNT} as bigint) > 0 union all select 'c' || conv_id, 'unread', 0, 2 from conversations where conv_id is not null and turn is not null and conv_id % 3 = 0 group by conv_id""")
+def captured_transcripts(spark, d):
+    """Transcripts written as files, discovered, and captured in two cycles; files of every third conversation can't be read, stand in the quarantine with two tries, and stop nobody."""
+    lines = _lines(spark, d).filter("path like '/t/p/%'")
+    named = lines.select(F.regexp_replace("path", "^/t/", "").alias("name"), F.col("line_no").alias("no"), F.col("raw").alias("line"))
+    root = f"{shared_dir(spark).rstrip('/')}/transcripts-{uuid.uuid4().hex}"
+    files.write_files(named, root)
+    third = F.regexp_extract("path", r"c(\d+)\.jsonl", 1).cast("long") % 3 == 0
+    found = transcripts.discover(spark, root)
+    gone = found.select(F.when(third, F.concat("path", F.lit(".gone"))).otherwise(F.col("path")).alias("path"), "mtime")  # as if a third went between listing and reading
+    ledger, stored, failures = found.limit(0), None, None
+    for _ in range(2):
+        sessions, turns, ledger, failures = capture.cycle(spark, gone, ledger, stored, failures, actor="me")
+        stored = settle(sessions), settle(turns)
+        ledger, failures = settle(ledger), settle(failures)
+    read = stored[0].groupBy("base_session_id").agg(F.min("project").alias("project"), F.sum("turn_count").alias("turn_count")).withColumn("tries", F.lit(1))
+    bad = failures.select(transcripts.stem(F.regexp_replace("path", r"\.gone$", "")).alias("base_session_id"), F.lit("unread").alias("project"), F.lit(0).cast("long").alias("turn_count"), "tries")
+    return read.unionByName(bad)
+
+
 @query("select 'c' || conv_id as stem, 'proj' || (conv_id % 5) as project from conversations where conv_id is not null and turn is not null group by conv_id")
 def transcript_facts(spark, d):
     """S3, F10."""

@@ -1,7 +1,8 @@
-"""Reading transcript files on executors, from a table of paths: what can't be read stands in a table of its own."""
+"""Files read and written on executors: from a table of paths, where what can't be read stands in a table of its own, and as one file for each name."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -9,6 +10,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.state import settle
 from .transcripts import LINES
 
 RAW = f"{LINES}, error string"
@@ -67,3 +69,22 @@ def read_lines_of(paths: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Lines (path, mtime, line_no, raw) and failures (path, mtime, error) of the files in `paths`."""
     rows = read_files(paths)
     return rows.filter("error is null").drop("error"), rows.filter("error is not null").select("path", "mtime", "error")
+
+
+def write_files(lines: DataFrame, root: str) -> DataFrame:
+    """path, lines, bytes: a file `root/<name>` for each name in `lines` (name, no, line), its lines in order, each ended by a line feed. Written on executors to a name of its own and
+    then renamed, so a task that runs again puts the same file in the same place; a name may hold folders. `root` has to be in a store that executors share."""
+
+    def put(table: pa.Table) -> pa.Table:
+        name = table.column("name")[0].as_py()
+        text = "".join(f"{x}\n" for x in table.sort_by("no").column("line").to_pylist()).encode()
+        store, at = located(f"{root.rstrip('/')}/{name}")
+        store.create_dir(at.rpartition("/")[0], recursive=True)
+        part = f"{at.rpartition('/')[0]}/_{uuid.uuid4().hex}"  # hidden from readers
+        with store.open_output_stream(part) as f:
+            f.write(text)
+        store.move(part, at)
+        return pa.table({"path": [f"{root.rstrip('/')}/{name}"], "lines": pa.array([table.num_rows], pa.int64()), "bytes": pa.array([len(text)], pa.int64())})
+
+    rows = lines.select("name", F.col("no").cast("long").alias("no"), F.coalesce("line", F.lit("")).alias("line"))
+    return settle(rows.groupBy("name").applyInArrow(put, "path string, lines long, bytes long"))
