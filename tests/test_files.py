@@ -167,3 +167,17 @@ def test_upserts_in_place(spark, tmp_path):
     t.upsert(new.filter("false"), ["id"])
     t.replace(spark.createDataFrame([(f"k{i}",) for i in range(100)], "id string"), new.filter("false"))
     assert t.read().count() == 0
+
+
+def test_raw_export_as_files(spark, tmp_path):
+    from worklens.operators import release
+
+    lines = spark.createDataFrame([("o", "t", "c1", 1, '{"b": 2}'), ("o", "t", "c1", 0, '{"a": "é"}'), ("o", "u", "c2", 0, "{}")], "org_id string, team_id string, compaction_id string, seq long, value string")
+    root = str(tmp_path / "raw")
+    for _ in range(2):  # the same again puts the same files in the same places
+        got = {r.compaction_id: (r.id, r.org_id, r.team_id, r.path) for r in release.export_raw(lines, root).collect()}
+        assert got == {"c1": ("raw::o::c1", "o", "t", f"{root}/o/t/c1.jsonl"), "c2": ("raw::o::c2", "o", "u", f"{root}/o/u/c2.jsonl")}
+        assert (tmp_path / "raw" / "o" / "t" / "c1.jsonl").read_text() == '{"a": "é"}\n{"b": 2}\n'
+    assert sorted(f for _, _, names in os.walk(root) for f in names) == ["c1.jsonl", "c2.jsonl"]
+    back = transcripts.read_lines(spark, f"{root}/*/*/*.jsonl").filter("raw <> ''")
+    assert back.count() == 3

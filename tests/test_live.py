@@ -132,3 +132,20 @@ def test_digests_of_batches_that_come_again(spark, tmp_path):
     broken.clear()
     chain(everything, "retry-1")
     assert asked[2] == ["s3", "s7"] and rows()["s3"][1] == "did s3 (2)" and set(rows()) == {f"s{i}" for i in range(12) if i % 5}
+
+
+def test_batches_keep_their_distance(spark, tmp_path):
+    """A trigger starts one batch in an interval at most."""
+    import time
+
+    first = time.time()
+    spark.range(3).write.parquet(str(tmp_path / "in"))
+    began = []
+    query = live.each_batch(spark.readStream.schema("id long").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")), lambda df, n: began.append(time.time()), str(tmp_path / "c"), every="3 seconds")
+    try:
+        query.processAllAvailable()
+        spark.range(3).write.mode("append").parquet(str(tmp_path / "in"))
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    assert 2 <= len(began) <= (began[-1] - first) / 3 + 2

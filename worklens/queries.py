@@ -91,6 +91,17 @@ def turn_sessions(spark, d):
     return split(spark, d).groupBy("session_id").agg(F.count("*").alias("n"), F.sum("seq").alias("places"), F.max("opened_by").alias("opened_by"))
 
 
+@query(f"""with recursive t as ({TURNS_SQL}), u as (select transcript, seq, last_value(case when event_id % 4 <> 0 and seq > 1 then ts end ignore nulls) over (partition by transcript order by seq) as tm, case when event_id % 4 <> 0 and seq > 1 then ts end as own from t),
+f as (select transcript, seq, tm, tm as anchor, 1 as segment, own from u where seq = 0 union all
+  select transcript, seq, tm, case when why then tm else coalesce(anchor, tm) end, segment + why::int, own from (select u.transcript, u.seq, u.tm, u.own, f.anchor, f.segment, coalesce(u.tm - f.tm > interval 8 hour or u.tm - f.anchor > interval 24 hour, false) as why from f join u on u.transcript = f.transcript and u.seq = f.seq + 1))
+select transcript, cast(segment as bigint) as segment, count(*) as turn_count, strftime(arg_min(own, seq) filter (where own is not null), '%Y-%m-%d %H:%M:%S') as started, strftime(arg_max(own, seq) filter (where own is not null), '%Y-%m-%d %H:%M:%S') as ended from f group by all""")
+def untimed_sessions(spark, d):
+    """Every fourth turn and the first two of a transcript have no time; those before any time belong to the first session."""
+    t = views.turns(spark, d).withColumn("timestamp", F.when((F.col("event_id") % 4 != 0) & (F.col("seq") > 1), F.col("timestamp")))
+    rows = sessionize.sessions(sessionize.split_turns(t, gap=GAP, cap=CAP))
+    return rows.select("transcript", "segment", "turn_count", stamp("started_at").alias("started"), stamp("ended_at").alias("ended"))
+
+
 @query(SPLIT_SQL + "select session_id, model, tokens_in, tokens_out, cache_creation_tokens, cache_read_tokens, tier, usd from c")
 def session_cost(spark, d):
     """W7, A1, A2, J4, J11."""
@@ -103,7 +114,7 @@ from s join c on c.session_id = s.id group by project having count(distinct acto
 """)
 def kanon_project_rollup(spark, d):
     """Sessions, cost and contributors of each project with four people or more."""
-    x = split(spark, d)
+    x = settle(split(spark, d))
     rows = sessionize.sessions(x, keep=("project", "actor")).join(costs.session_cost(x).withColumnRenamed("session_id", "id").hint("merge"), "id")
     out = kanon.rollup(rows, dims=("project",), cost="usd").filter("kind = 'project' and shown")
     return out.select("bucket", "session_count", "contributors", F.round("total_cost", 4).alias("cost"))
@@ -115,7 +126,7 @@ select id, project, tier, usd, (select round(sum(usd), 4) from n) as total from
 """)
 def cost_table(spark, d):
     """Newest 200 sessions and their total."""
-    x = split(spark, d)
+    x = settle(split(spark, d))
     rows = costs.cost_table(sessionize.sessions(x, keep=("project",)), costs.session_cost(x), newest=200)
     return rows.select("id", "project", "tier", "usd", F.round("total_usd", 4).alias("total"))
 
@@ -376,7 +387,7 @@ def cost_trends(spark, d):
 @query(SPLIT_SQL + "select strftime(time_bucket(interval 7 day, started_at, timestamp '1970-01-01'), '%Y-%m-%d') as week, tier, count(*) as sessions, round(sum(usd), 2) as cost from s join c on c.session_id = s.id group by all")
 def weekly_cost_by_tier(spark, d):
     """Z6."""
-    x = split(spark, d)
+    x = settle(split(spark, d))
     rows = sessionize.sessions(x, keep=("actor",)).join(costs.session_cost(x).withColumnRenamed("session_id", "id").hint("merge"), "id")
     return trends.weekly(rows, by=("tier",), cost="usd").select(F.date_format("week", "yyyy-MM-dd").alias("week"), "tier", "sessions", F.round("cost", 2).alias("cost"))
 
