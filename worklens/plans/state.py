@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
+_settled: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,4 +31,21 @@ def settle(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/settled-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _settled.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Within it, what settle() writes is deleted at the end: for plans whose results are written inside. A DataFrame that still reads settled tables can't be used afterwards.
+
+    Settled tables otherwise stay, as a DataFrame that was returned may read them at any time; the folder's owner clears it."""
+    before = len(_settled)
+    try:
+        yield
+    finally:
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path
+        for path in _settled[before:]:
+            at = hadoop(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        del _settled[before:]

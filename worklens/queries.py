@@ -817,6 +817,18 @@ def similar_vectors(spark, d):
     return similarity.dense_pairs(views.table(spark, d, "embeddings"), 0.4, id_col="vec_id").select("a", "b", F.round("sim", 6).alias("sim"))
 
 
+@query("""with v as (select vec_id % 400 as k, vec_id, list_transform(embedding, lambda x: cast(x as double)) as v from embeddings where embedding is not null), c as (select v.vec_id, o.v from v join v o on o.vec_id = v.k),
+r as (select vec_id, v, min(vec_id) over (partition by v) as rep from c), u as (select vec_id, v from r where vec_id = rep)
+select 'member' as kind, vec_id as a, rep as b, 1.0 as sim from r union all select 'pair', x.vec_id, y.vec_id, round(list_cosine_similarity(x.v, y.v), 6) from u x join u y on x.vec_id < y.vec_id where list_cosine_similarity(x.v, y.v) >= 0.4""")
+def similar_vector_classes(spark, d):
+    """E3, J7 for dense vectors that repeat (the vectors of the first 400 ids stand for all): classes, and pairs of classes."""
+    e = views.table(spark, d, "embeddings").filter("embedding is not null")
+    rows = e.select("vec_id", (F.col("vec_id") % 400).alias("k")).join(e.select(F.col("vec_id").alias("k"), "embedding").hint("merge"), "k")
+    members, pairs = similarity.similar_dense(rows, 0.4, id_col="vec_id")
+    one = members.select(F.lit("member").alias("kind"), F.col("id").alias("a"), F.col("rep").alias("b"), F.lit(1.0).alias("sim"))
+    return one.union(pairs.select(F.lit("pair"), "a", "b", F.round("sim", 6)))
+
+
 @query("select vec_id, 1.0 :: double as own from embeddings")
 def own_cosine(spark, d):
     """E2."""
