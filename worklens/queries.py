@@ -16,7 +16,7 @@ from .plans import capture, digest, views
 from .plans.state import settle, shared_dir
 from .plans.views import COMPACTIONS_SQL, TURNS_SQL
 from .schemas import FRICTION
-from .sources import files, transcripts
+from .sources import files, tables, transcripts
 from .streaming.live import gap_sessions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -536,6 +536,19 @@ def replace_families(spark, d):
     return keyed.replace_family(s, s, new, new)[0].groupBy("segment").agg(F.count("*").alias("n"), F.sum("turn_count").alias("turns"))
 
 
+@query(SPLIT_SQL + "select transcript as base_session_id, cast(segment as bigint) as segment, turn_count from s where cast(substr(transcript, 2) as bigint) % 5 > 1 union all select transcript, 99, 1 from (select distinct transcript from s where cast(substr(transcript, 2) as bigint) % 5 = 0)")
+def families_in_place(spark, d):
+    """A stored table of sessions in which the families of every fifth transcript are replaced by one session each and those after them deleted; other folders aren't written."""
+    s = settle(sessions(spark, d).select(F.col("transcript").alias("base_session_id"), "segment", "turn_count"))
+    fifth = F.substring("base_session_id", 2, 99).cast("long") % 5
+    path = f"{shared_dir(spark).rstrip('/')}/families-{uuid.uuid4().hex}"
+    table = tables.KeyedTable(spark, path, "base_session_id string, segment long, turn_count long", "base_session_id", buckets=32)
+    table.replace(s, s)
+    some = s.filter(fifth <= 1).select("base_session_id").distinct()
+    table.replace(some, some.filter(fifth == 0).select("base_session_id", F.lit(99).cast("long").alias("segment"), F.lit(1).cast("long").alias("turn_count")))
+    return table.read()
+
+
 @query(SPLIT_SQL + "select 0 as \"table\", count(*) as removed from s where transcript in ('u1', 'u2', 'u3') union all select 1, count(*) from x where transcript in ('u1', 'u2', 'u3')")
 def delete_families(spark, d):
     """K4."""
