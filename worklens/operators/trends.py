@@ -19,16 +19,36 @@ def loops(turns: DataFrame, *, by="session_id", key="tool_name", time="timestamp
 
 def prior_work(found: Similar, rows: DataFrame, *, n=3, same="project") -> DataFrame:
     """id, other, sim, rank: for each of `rows` (id, started_at, project) the most similar earlier work of the same project, cosines rounded to six digits, ties to smaller ids.
-    Equal texts count once, by the first of them in the project: so a text that many rows copy is one piece of work, and no row meets its copies."""
+    Equal texts count once, by the first of them in the project: so a text that many rows copy is one piece of work, and no row meets its copies.
+
+    A pair travels once, to the one class and then to the other; it becomes works only where the class has a row later than the other's first. Of those that all rows of a class may
+    see the best `n` suffice; of the rest a work goes that `n` better ones precede. So rows meet few works.
+    """
     placed = settle(found.members.join(rows.select("id", F.col("started_at").alias("at"), F.col(same).alias("place")).hint("merge"), "id"))
-    first = placed.groupBy("rep", "place").agg(F.min(F.struct("at", "id")).alias("first")).select(F.col("rep").alias("to"), "place", F.col("first.at").alias("since"), F.col("first.id").alias("other"))
-    own = placed.select("rep", F.col("rep").alias("to"), F.lit(1.0).alias("sim")).distinct()
-    sim = F.round("sim", 6).alias("sim")
-    links = found.pairs.select(F.col("a").alias("rep"), F.col("b").alias("to"), sim).union(found.pairs.select("b", "a", sim)).union(own)
-    works = links.join(first.hint("merge"), "to").select("rep", "place", "sim", "since", "other")
-    met = salted_join(placed, works, ["rep", "place"]).filter("since < at")
-    order = Window.partitionBy("id").orderBy(F.desc("sim"), "other")
-    return met.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n).select("id", "other", "sim", "rank")
+    seen = placed.filter("at is not null and place is not null").groupBy("rep", "place").agg(F.min(F.struct("at", "id")).alias("first"), F.max("at").alias("until"))
+    seen = seen.select("rep", "place", F.col("first.at").alias("since"), F.col("first.id").alias("other"), "until")
+    one, two = seen.toDF("a", "place", "since", "other", "until"), seen.toDF("b", "place", "since2", "other2", "until2")
+    both = found.pairs.select("a", "b", F.round("sim", 6).alias("sim")).join(one.hint("merge"), "a").join(two.hint("merge"), ["b", "place"])
+    work = lambda rep, since, other, begun, until: F.struct(F.col(rep).alias("rep"), F.col(since).alias("since"), F.col(other).alias("other"), F.col(begun).alias("begun"), F.col(until).alias("until"))
+    ways = F.filter(F.array(work("a", "since2", "other2", "since", "until"), work("b", "since", "other", "since2", "until2")), lambda x: x["since"] < x["until"])
+    works = both.select("place", "sim", F.explode(ways).alias("w")).select("w.rep", "place", "sim", "w.since", "w.other", (F.col("w.since") < F.col("w.begun")).alias("early"))
+    order = (F.desc("sim"), "other")
+    early = works.filter("early").withColumn("k", F.row_number().over(Window.partitionBy("rep", "place").orderBy(*order))).filter(F.col("k") <= n)
+    own = seen.filter("since < until").select("rep", "place", F.lit(1.0).alias("sim"), "since", "other")
+    named = ("rep", "place", "sim", "since", "other")
+    line = F.array_sort(F.collect_list(F.struct((-F.col("sim")).alias("far"), "other", "since")))
+    late = works.filter("not early").select(*named).union(own).groupBy("rep", "place").agg(line.alias("line"))
+    none = F.filter("line", lambda x: F.lit(False))
+
+    def add(s, x):  # low: the `n` earliest times of those before
+        wanted = F.coalesce(x["since"] < F.get(s["low"], F.lit(n - 1)), F.lit(True))
+        return F.when(wanted, F.struct(F.concat(s["kept"], F.array(x)).alias("kept"), F.slice(F.array_sort(F.concat(s["low"], F.array(x["since"]))), 1, n).alias("low"))).otherwise(s)
+
+    kept = F.aggregate("line", F.struct(none.alias("kept"), F.transform(none, lambda x: x["since"]).alias("low")), add)["kept"]
+    late = late.select("rep", "place", F.explode(kept).alias("w")).select("rep", "place", (-F.col("w.far")).alias("sim"), "w.since", "w.other")
+    met = salted_join(placed, settle(early.select(*named).union(late)), ["rep", "place"]).filter("since < at")
+    ranked = met.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(*order)))
+    return ranked.filter(F.col("rank") <= n).select("id", "other", "sim", "rank")
 
 
 def own_solutions(found: Similar, rows: DataFrame, *, n=1) -> DataFrame:
