@@ -164,3 +164,15 @@ def test_sampling_does_not_depend_on_batches(lattice):
     whole = pieces.sample_texts(lattice, list(range(20)), texts, 2, 5)
     single = [pieces.sample_texts(lattice, [i], [t], 2, 5)[0] for i, t in enumerate(texts)]
     assert [[x[0].tolist() for x in g] for g in whole] == [[x[0].tolist() for x in g] for g in single]
+
+
+def test_training_embeds_a_batch_at_a_time(monkeypatch):
+    """No table of all the sample's words, and grams are counted in small numbers: the driver's memory is bounded by a batch."""
+    from worklens.llm import toxicity
+
+    seen, plain = [], toxicity.Network.embed
+    monkeypatch.setattr(toxicity.Network, "embed", lambda self, own, slot, word: (seen.append(len(own)), plain(self, own, slot, word))[1])
+    texts = [" ".join(f"w{i}x{j}" for j in range(20)) for i in range(16)]
+    toxicity.fit(texts, [i % 2 for i in range(16)], epochs=1, steps=1, batch=2)
+    assert seen and max(seen) <= 2 * 20
+    assert all(a.dtype == np.int32 for a in toxicity.gram_slots(["one", "two"]))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import remainder, resident, slices
+from .common import remainder, resident, slices, vacate
 
 WORD = re.compile(r"[^\W_]+")
 WIDTH, STRIDE = 40, 30
@@ -46,7 +46,7 @@ def gram_slots(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     text = "".join([f"<{w}>" for w in words])
     code = np.frombuffer(text.encode("utf-32-le"), np.uint32)
     size = np.array([len(w) + 2 for w in words], np.int64)
-    owner = np.repeat(np.arange(len(words)), size)
+    owner = np.repeat(np.arange(len(words), dtype=np.int32), size)
     slots, of = [], []
     for n in GRAMS:
         m = len(code) - n + 1
@@ -57,7 +57,7 @@ def gram_slots(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
             h = (h ^ code[j : j + m]) * np.uint32(0x01000193)
             h ^= h >> np.uint32(15)
         ok = owner[:m] == owner[n - 1 :]
-        slots.append((h[ok] % np.uint32(SLOTS)).astype(np.int64))
+        slots.append((h[ok] % np.uint32(SLOTS)).astype(np.int32))
         of.append(owner[:m][ok])
     slot, word = np.concatenate(slots), np.concatenate(of)
     order = np.argsort(word, kind="stable")
@@ -84,10 +84,12 @@ class Network:
             "b": np.array([-1.0], np.float32),
         }
 
-    def inputs(self, words: list[str]) -> tuple[np.ndarray, tuple]:
+    def named(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         own = np.array([self.vocab.get(w, len(self.vocab)) for w in words], np.int64)
-        slot, word = gram_slots(words)
-        return self.embed(own, slot, word), (own, slot, word)
+        return own, *gram_slots(words)
+
+    def inputs(self, words: list[str]) -> np.ndarray:
+        return self.embed(*self.named(words))
 
     def embed(self, own, slot, word) -> np.ndarray:
         n = np.bincount(word, minlength=len(own)).clip(1)
@@ -168,7 +170,8 @@ def _layout(n_words: list[int]) -> tuple[np.ndarray, np.ndarray]:
 def fit(texts: list[str], labels: list[int], *, epochs=6, steps=240, batch=64, rate=0.01, n_vocab=4000, seed=7) -> Network:
     """Train on texts in memory (a bounded sample): `epochs` passes over them, or more until there were `steps` batches."""
     rng = np.random.default_rng(seed)
-    words = [WORD.findall(t.lower()) for t in texts]
+    one: dict[str, str] = {}  # equal words are one string
+    words = [[one.setdefault(w, w) for w in WORD.findall(t.lower())] for t in texts]
     known = [i for i, w in enumerate(words) if w]
     words, y = [words[i] for i in known], np.array([labels[i] for i in known], np.float32)
     n1, n0 = max(1.0, float(y.sum())), max(1.0, float(len(y) - y.sum()))
@@ -181,7 +184,7 @@ def fit(texts: list[str], labels: list[int], *, epochs=6, steps=240, batch=64, r
     net = Network(vocab, rng)
     distinct = names
     at = {w: i for i, w in enumerate(distinct)}
-    x, (own, slot, word) = net.inputs(distinct)
+    own, slot, word = net.named(distinct)  # no embeddings of all words: batches embed their own
     # begin at how far a word's or n-gram's count in toxic texts stands from chance, in standard deviations; what
     # fewer than 3 texts hold stays at zero
     def odd(a, b):
@@ -190,7 +193,7 @@ def fit(texts: list[str], labels: list[int], *, epochs=6, steps=240, batch=64, r
 
     net.p["words"][: len(vocab), 0] = [odd(seen[1][w], seen[0][w]) for w in vocab]
     begin = np.searchsorted(word, np.arange(len(distinct) + 1))
-    counts = np.zeros((2, SLOTS))
+    counts = np.zeros((2, SLOTS), np.int32)
     for w, label in zip(words, y, strict=True):
         got = np.unique(np.concatenate([slot[begin[i] : begin[i + 1]] for i in {at[v] for v in w}]))
         counts[int(label), got] += 1
@@ -198,6 +201,7 @@ def fit(texts: list[str], labels: list[int], *, epochs=6, steps=240, batch=64, r
     live = counts.sum(axis=0) >= 3
     net.p["grams"] *= live[:, None]
     ids = [np.array([at[v] for v in w], np.int64) for w in words]
+    del words, one
     moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
     step = 0
     epochs = max(epochs, -(-steps // max(1, len(ids) // batch)))
@@ -260,7 +264,7 @@ class _Scorer:
             return out
         new = sorted(set(flat).difference(self.at))
         room = MEMO - len(self.at)
-        x = self.net.project(self.net.inputs(new)[0]) if new else np.zeros((0, 6 * H), np.float32)
+        x = self.net.project(self.net.inputs(new)) if new else np.zeros((0, 6 * H), np.float32)
         base = len(self.at) + 1
         self.rows[base : base + min(room, len(new))] = x[:room]
         self.at.update(zip(new[:room], range(base, base + room), strict=False))
@@ -295,7 +299,10 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col="doc_id", text_col="text
     sample = known.filter(F.pmod(F.xxhash64(F.col("i").cast("string"), F.lit("toxic")), F.lit(1_000_003)) / 1_000_003 < share).orderBy("y", "i").limit(2 * (n_toxic + n_clean))
     texts = docs.filter(F.length(text_col) <= max_chars).select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
     got = texts.join(F.broadcast(sample), "i").orderBy("i", "t").limit(2 * (n_toxic + n_clean)).collect()
-    return fit([r.t for r in got], [r.y for r in got]) if len({r.y for r in got}) == 2 else None
+    net = fit([r.t for r in got], [r.y for r in got]) if len({r.y for r in got}) == 2 else None
+    del got
+    vacate()
+    return net
 
 
 def score(docs: DataFrame, net: Network | None, *, text_col="text", out="toxicity") -> DataFrame:
