@@ -28,7 +28,10 @@ def prior_work(found: Similar, rows: DataFrame, *, n=3, same="project") -> DataF
     seen = placed.filter("at is not null and place is not null").groupBy("rep", "place").agg(F.min(F.struct("at", "id")).alias("first"), F.max("at").alias("until"))
     seen = seen.select("rep", "place", F.col("first.at").alias("since"), F.col("first.id").alias("other"), "until")
     one, two = seen.toDF("a", "place", "since", "other", "until"), seen.toDF("b", "place", "since2", "other2", "until2")
-    both = found.pairs.select("a", "b", F.round("sim", 6).alias("sim")).join(one.hint("merge"), "a").join(two.hint("merge"), ["b", "place"])
+    # to the first class a pair goes as an entry of two lists, its cosine in millionths
+    near = found.pairs.select("a", "b", F.round(F.round("sim", 6) * 1e6).cast("int").alias("k")).groupBy("a").agg(F.collect_list("b").alias("bs"), F.collect_list("k").alias("ks"))
+    near = near.join(one.hint("merge"), "a").select("a", "place", "since", "other", "until", F.explode(F.arrays_zip("bs", "ks")).alias("x"))
+    both = near.select("a", "place", "since", "other", "until", F.col("x.bs").alias("b"), F.col("x.ks").alias("k")).join(two.hint("merge"), ["b", "place"]).withColumn("sim", F.col("k") / F.lit(1e6))
     work = lambda rep, since, other, begun, until: F.struct(F.col(rep).alias("rep"), F.col(since).alias("since"), F.col(other).alias("other"), F.col(begun).alias("begun"), F.col(until).alias("until"))
     ways = F.filter(F.array(work("a", "since2", "other2", "since", "until"), work("b", "since", "other", "since2", "until2")), lambda x: x["since"] < x["until"])
     works = both.select("place", "sim", F.explode(ways).alias("w")).select("w.rep", "place", "sim", "w.since", "w.other", (F.col("w.since") < F.col("w.begun")).alias("early"))
