@@ -51,3 +51,13 @@ def test_nested_with_anchored_patterns(spark):
 def test_keys_that_become_equal(spark):
     rows = spark.createDataFrame([('{"a@b.co": 1, "c@d.co": {"e@f.co": "g@h.co"}}',)], "j string")
     assert json.loads(R.redact_nested(rows, "j").first().j) == {"[REDACTED:email]": {"[REDACTED:email]": "[REDACTED:email]"}}
+
+
+def test_no_rows_travel_unless_keys_become_equal(spark):
+    texts = ['{"a": "say \\"hi\\" to a@b.co", "b\\\\": ["x\\\\\\\\\\"", {"c@d.co": 1.50}], "\\u0065@f.co": "\\n"}', '{"password: ": "12345678"}', '{"a@b.co": 1, "c@d.co": 2}', "no json a@b.co", None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, j string")
+    value = lambda t: json.loads(t) if t and t.startswith("{") else t
+    want = {r.id: value(r.j) for r in rows.select("id", R.redact_json(F.col("j")).alias("j")).collect()}
+    assert {r.id: value(r.j) for r in R.redact_nested(rows, "j").collect()} == want
+    plan = lambda some: R.redact_nested(some, "j")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan(rows.filter("id <> 2")) and "Exchange" in plan(rows)

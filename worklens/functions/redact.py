@@ -99,19 +99,47 @@ def _quoted(text: Column) -> Column:
     return F.substring(array, F.lit(2), F.length(array) - 2)
 
 
+QUOTED_BACKSLASH, QUOTED_QUOTE = "\x01", "\x02"  # JSON holds neither as it is
+
+
+def _by_literals(text: Column, named: list[tuple[str, str]]) -> Column:
+    """JSON text with the strings and keys between its quotes redacted; what is between them otherwise stays."""
+    marked = F.replace(F.replace(text, F.lit("\\\\"), F.lit(QUOTED_BACKSLASH)), F.lit('\\"'), F.lit(QUOTED_QUOTE))
+    plain = all(re.fullmatch(r"[\w .:-]*", n) for n, _ in named)
+
+    def literal(x):
+        hard = x.rlike(rf"[\\{QUOTED_BACKSLASH}{QUOTED_QUOTE}]") if plain else F.lit(True)
+        spelt = F.replace(F.replace(x, F.lit(QUOTED_BACKSLASH), F.lit("\\\\")), F.lit(QUOTED_QUOTE), F.lit('\\"'))
+        said = F.try_variant_get(F.try_parse_json(F.concat(F.lit('"'), spelt, F.lit('"'))), "$", "string")
+        # without a string, a lone quote makes the whole no JSON
+        return F.coalesce(F.when(hard, _quoted(redact(said, named))).otherwise(F.concat(F.lit('"'), redact(x, named), F.lit('"'))), F.lit('"'))
+
+    return F.array_join(F.transform(F.split(marked, '"', -1), lambda x, i: F.when(i % 2 == 1, literal(x)).otherwise(x)), "")
+
+
 def redact_nested(rows: DataFrame, column: str, active: list[tuple[str, str]] | None = None) -> DataFrame:
-    """`rows` with every string and key of the JSON text in `column` redacted at any depth, without Python: documents are opened level by level (variant_explode) into values with
-    their paths, values and keys are redacted as text, and containers are put together again from the deepest level up.
+    """`rows` with every string and key of the JSON text in `column` redacted at any depth, without Python and row by row, literal by literal (_by_literals). Only documents in which
+    keys become equal are opened level by level (variant_explode) into values with their paths; values and keys are redacted as text, and containers are put together again from the
+    deepest level up.
 
     As redact_json(), except that keys come out in order, that of keys which become equal the last in order stays, and that a document in which no pattern can match keeps its
-    spelling. Text that isn't JSON (or names a key twice) is redacted as text. Levels are written to the shared folder, as many as the deepest document has.
+    spelling. Text that isn't JSON (or names a key twice) is redacted as text. Levels are written to the shared folder, as many as the deepest of those documents has.
     """
     named = patterns() if active is None else active
     spark, text = rows.sparkSession, F.col(f"`{column}`")
     # without escapes a string stands in the text as it is, so where a pattern without anchors finds nothing it finds nothing in any part
     free = F.lit(False) if any(ANCHORED.search(p) for _, p in named) else ~text.contains("\\") & (F.size(detect(text, named)) == 0)
-    base = settle(rows.withColumn("wl_row", F.monotonically_increasing_id()).withColumn("wl_free", F.coalesce(free, F.lit(True))))
-    level = base.filter("not wl_free").select("wl_row", F.array().cast("array<struct<pos:int,key:string>>").alias("path"), F.try_parse_json(text).alias("v")).filter("v is not null")
+    staged = rows.withColumns({"wl_row": F.monotonically_increasing_id(), "wl_free": F.coalesce(free, F.lit(True))})
+    staged = staged.withColumn("wl_json", ~F.col("wl_free") & F.try_parse_json(text).isNotNull())
+    # a text that names a key twice is no JSON, so a document whose keys become equal has no quick form
+    staged = staged.withColumn("wl_quick", F.when(F.col("wl_json") & ~text.rlike(f"[{QUOTED_BACKSLASH}{QUOTED_QUOTE}]"), F.to_json(F.try_parse_json(_by_literals(text, named)))))
+    new = F.when(F.col("wl_free"), text).when(~F.col("wl_json"), redact(text, named)).otherwise(F.col("wl_quick"))
+    base = settle(staged.withColumns({"wl_new": new, "wl_slow": F.col("wl_json") & F.col("wl_quick").isNull()}).drop("wl_free", "wl_json", "wl_quick"))
+    columns = [f"`{c}`" for c in rows.columns]
+    done, slow = base.filter("not wl_slow").withColumn(column, F.col("wl_new")).select(*columns), base.filter("wl_slow")
+    if slow.isEmpty():
+        return done
+    level = slow.select("wl_row", F.array().cast("array<struct<pos:int,key:string>>").alias("path"), F.try_parse_json(text).alias("v"))
     kind, levels = F.schema_of_variant("v"), []
     while True:
         level = settle(level)
@@ -133,9 +161,8 @@ def redact_nested(rows: DataFrame, column: str, active: list[tuple[str, str]] |
         whole = once.groupBy("wl_row", "path", "named").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col("x.pos").alias("pos"), item.alias("item")))), lambda y: y["item"]), ",").alias("items"))
         braced = F.when(F.col("named"), F.concat(F.lit("{"), "items", F.lit("}"))).otherwise(F.concat(F.lit("["), "items", F.lit("]")))
         built = levels.pop().unionByName(whole.select("wl_row", "path", braced.alias("text")))
-    done = base.join(built.select("wl_row", F.col("text").alias("wl_text")).hint("merge"), "wl_row", "left")
-    new = F.when(F.col("wl_free"), text).otherwise(F.coalesce("wl_text", redact(text, named)))
-    return done.withColumn(column, new).select(*[f"`{c}`" for c in rows.columns])
+    opened = slow.join(built.select("wl_row", F.col("text").alias("wl_text")).hint("merge"), "wl_row", "left").withColumn(column, F.coalesce("wl_text", redact(text, named)))
+    return done.unionByName(opened.select(*columns))
 
 
 def redact_turns(turns: DataFrame, active=None) -> DataFrame:
