@@ -159,6 +159,14 @@ def test_sync(spark, tmp_path):
     assert n == 2 and got == {"c1": (True, True), "c2": (True, False)}
 
 
+def test_citations_send_each_table_once(spark):
+    n = spark.createDataFrame([("q", "a [aa1, ab] b [a c]"), ("q", "again [aa1] [ab2]"), ("r", "none"), ("s", None), (None, "[aa1]")], "query_id string, text string")
+    v = spark.createDataFrame([("q", "aa1", 1), ("q", "ab2", 2), ("q", "ab2", 0), ("q", "c7", 3), ("q", "d", 4), ("r", "aa1", 1), (None, "aa1", 1)], "query_id string, id string, rank int")
+    found = citations.resolve(n, v)
+    assert sorted(tuple(r) for r in found.collect()) == [("q", "aa1", 1), ("q", "ab2", 0), ("q", "c7", 3)]
+    assert found._jdf.queryExecution().optimizedPlan().collectLeaves().size() == 2
+
+
 def test_citations(spark):
     n = spark.createDataFrame([("q1", "see [comp-a0565012]."), ("q2", "x [comp-aaaa1111, comp-bbbb2222]."), ("q3", "y [comp-aaa]."), ("q4", "z [comp-s] none"), ("q5", "[co]")], "query_id string, text string")
     v = [("q1", "comp-a0565012-55fe", 0), ("q2", "comp-bbbb2222", 0), ("q2", "comp-aaaa1111", 1), ("q3", "comp-aaa111", 0), ("q3", "comp-aaa222", 1), ("q4", "comp-s", 0), ("q4", "comp-s.2", 1), ("q5", "comp-x", 0)]

@@ -2,28 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SHORTEST = 4
+
+def _pieces() -> Column:
+    """The distinct parts of all bracketed lists of a text, as an array."""
+    lists = F.regexp_extract_all("text", F.lit(r"\[([^\]]+)\]"), F.lit(1))
+    return F.array_distinct(F.filter(F.flatten(F.transform(lists, lambda x: F.split(x, r"[,\s]+"))), lambda p: p != ""))
 
 
 def cited_pieces(narratives: DataFrame) -> DataFrame:
     """query_id, piece: the distinct parts of all bracketed lists."""
-    lists = F.regexp_extract_all("text", F.lit(r"\[([^\]]+)\]"), F.lit(1))
-    return narratives.select("query_id", F.explode(lists).alias("l")).select("query_id", F.explode(F.split("l", r"[,\s]+")).alias("piece")).filter("piece <> ''").distinct()
+    return narratives.select("query_id", F.explode(_pieces()).alias("piece")).distinct()
 
 
 def resolve(narratives: DataFrame, visible: DataFrame) -> DataFrame:
     """query_id, id, rank: what a narrative cites of its visible rows (query_id, id, rank). A piece that is a prefix of several ids grounds none of them, even
-    if it is one of them. Pieces meet ids by their first characters, so that no query is compared pair by pair."""
-    pieces = cited_pieces(narratives).withColumn("head", F.substring("piece", 1, SHORTEST))
-    ids = visible.withColumn("head", F.substring("id", 1, SHORTEST))
-    short = F.length("piece") < SHORTEST
-    hits = pieces.filter(~short).join(ids.hint("merge"), ["query_id", "head"]).filter(F.col("id").startswith(F.col("piece")))
-    few = pieces.filter(short).drop("head").join(visible.hint("merge"), "query_id").filter(F.col("id").startswith(F.col("piece")))
-    hits = hits.select("query_id", "piece", "id", "rank").unionByName(few.select("query_id", "piece", "id", "rank"))
-    single = hits.groupBy("query_id", "piece").agg(F.count_distinct("id").alias("n"), F.min("id").alias("id"), F.min("rank").alias("rank")).filter("n = 1")
+    if it is one of them. A query's pieces are one row, which the visible rows pass: those are sent once, by their query, and only what begins with a piece goes on."""
+    pieces = narratives.select("query_id", _pieces().alias("p")).groupBy("query_id").agg(F.array_distinct(F.flatten(F.collect_list("p"))).alias("pieces"))
+    met = visible.select("query_id", "id", "rank").join(pieces.hint("shuffle_hash"), "query_id")
+    hits = met.select("query_id", "id", "rank", F.explode(F.filter("pieces", lambda p: F.col("id").startswith(p))).alias("piece"))
+    # the groups are sorted for, which a number that leads the key makes quick
+    single = hits.groupBy(F.xxhash64("query_id"), "query_id", "piece").agg(F.min("id").alias("id"), F.max("id").alias("_last"), F.min("rank").alias("rank")).filter("id = _last")
     return single.select("query_id", "id", "rank").distinct()
 
 
