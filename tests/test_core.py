@@ -311,3 +311,22 @@ def test_capped_sessions_go_on_counting_after_a_timeout():
         out += next(got).values.tolist()
     assert [(r[1], r[4], r[5]) for r in out] == [(1, 2, "open"), (2, 1, "gap"), (3, 1, "open")]
     assert out[2][2] == pd.Timestamp("2024-01-01 05:00:00")
+
+
+def test_pending_sessions_are_asked_once(spark):
+    from worklens.plans import digest
+
+    asked = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def reply(prompt):
+        asked.add(1)
+        return '{"task_intent": "x"}'
+
+    s = spark.range(4).select(F.concat(F.lit("s"), "id").alias("id"), F.lit("a").alias("actor"), F.lit("codex").alias("surface"), F.lit("p").alias("project"), F.lit("work").alias("mode"), F.current_timestamp().alias("started_at"), F.current_timestamp().alias("ended_at"), F.lit(1).alias("turn_count"))
+    none = {k: F.lit(None).cast("string") for k in ("tool_output", "tool_name", "model")} | {k: F.lit(None).cast("long") for k in ("tokens_in", "tokens_out", "cache_creation_tokens", "cache_read_tokens")}
+    t = s.select(F.col("id").alias("session_id"), F.lit(0).alias("seq"), F.lit("user").alias("role"), F.lit("hello").alias("content")).withColumns(none)
+    stored = spark.createDataFrame([("s0",)], "session_id string")
+    new = digest.compact_pending(s, t, stored, lambda p: p.select("session_id", reply("prompt").alias("raw")))
+    assert sorted((r.session_id, r.task_intent) for r in new.collect()) == [(f"s{i}", "x") for i in (1, 2, 3)]
+    assert new.count() == 3 and asked.value == 3

@@ -10,6 +10,7 @@ from ..operators.compact import assemble, prompts
 from ..operators.query import pending
 from ..schemas import COMPACTION_LISTS, FRICTION
 from ..sources.tables import KeyedTable, read_table, replace_table, table_exists
+from .state import settle
 
 COMPACTION = f"""id string, session_id string, actor string, surface string, project string, started_at timestamp, ended_at timestamp, duration_seconds double, task_intent string, approach string,
 artifacts array<string>, outcome string, friction_points {FRICTION}, reusable_pattern boolean, tier_used string, est_cost_usd double, prompt_version string, source string, released boolean,
@@ -21,7 +22,8 @@ Respond = Callable[[DataFrame], DataFrame]
 def answered(waiting: DataFrame, turns: DataFrame, respond: Respond, summaries: DataFrame | None = None, instructions: str = "") -> DataFrame:
     """session_id, raw: what `respond` makes of the waiting sessions' prompts (session_id, prompt). A null response, or none, is a failure."""
     mine = turns.join(waiting.select(waiting.id.alias("session_id")).hint("merge"), "session_id", "left_semi")
-    return respond(prompts(waiting, mine, summaries, instructions)).select("session_id", "raw").filter("raw is not null")
+    # stored before anything is asked of them, as a filter or a second reader would ask again
+    return settle(respond(prompts(waiting, mine, summaries, instructions)).select("session_id", "raw")).filter("raw is not null")
 
 
 def digests(waiting: DataFrame, turns: DataFrame, answers: DataFrame, summaries: DataFrame | None = None, prompt_version: str = "v0") -> DataFrame:
@@ -33,7 +35,7 @@ def digests(waiting: DataFrame, turns: DataFrame, answers: DataFrame, summaries:
 
 def compact_pending(sessions: DataFrame, turns: DataFrame, compactions: DataFrame, respond: Respond, summaries: DataFrame | None = None, *, summarised_only=False, instructions="", prompt_version="v0") -> DataFrame:
     """New compactions of all sessions that are not personal and have none. Sessions whose response fails have no row, so they stay pending."""
-    waiting = pending(sessions, compactions, summarised_only=summarised_only)
+    waiting = settle(pending(sessions, compactions, summarised_only=summarised_only))
     return digests(waiting, turns, answered(waiting, turns, respond, summaries, instructions), summaries, prompt_version)
 
 
