@@ -181,3 +181,14 @@ def test_raw_export_as_files(spark, tmp_path):
     assert sorted(f for _, _, names in os.walk(root) for f in names) == ["c1.jsonl", "c2.jsonl"]
     back = transcripts.read_lines(spark, f"{root}/*/*/*.jsonl").filter("raw <> ''")
     assert back.count() == 3
+
+
+def test_discovery_lists_folders_and_no_single_files(spark, tmp_path):
+    for name in ("a/1.jsonl", "a/2.jsonl", "b c/3.jsonl", "a/deep/4.jsonl", "a/5.txt", "6.jsonl"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text("{}\n")
+    for root in (str(tmp_path), f"file://{tmp_path}/"):
+        found = transcripts.discover(spark, root)
+        assert ["/".join(r.path.split("/")[-2:]) for r in found.collect()] == ["a/1.jsonl", "a/2.jsonl", "b c/3.jsonl"]
+        roots = found._jdf.queryExecution().analyzed().collectLeaves().head().relation().location().rootPaths()
+        assert roots.size() == 3  # two folders, and a file that lies beside them

@@ -12,8 +12,12 @@ LINES = "path string, mtime timestamp, line_no int, raw string"
 
 
 def discover(spark: SparkSession, root: str) -> DataFrame:
-    """path, mtime of `root/*/*.jsonl`: exactly one folder deep, so nested files don't count. Spark lists no empty files."""
-    return spark.read.format("binaryFile").load(f"{root.rstrip('/')}/*/*.jsonl").select("path", F.col("modificationTime").alias("mtime")).orderBy("path")
+    """path, mtime of `root/*/*.jsonl`: exactly one folder deep, so nested files don't count. Spark lists no empty files. Folders are listed, as a pattern of files would make each file a
+    path of its own to be looked up."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(root.rstrip("/") or "/")
+    depth = str(at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString()).rstrip("/").count("/") + 2
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.jsonl").option("recursiveFileLookup", "true").load(f"{root.rstrip('/')}/*")
+    return files.filter(F.size(F.split("path", "/")) == depth + 1).select("path", F.col("modificationTime").alias("mtime")).orderBy("path")
 
 
 def changed(found: DataFrame, ledger: DataFrame) -> DataFrame:
