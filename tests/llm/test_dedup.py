@@ -216,6 +216,27 @@ def test_links_find_all_near_fingerprints(spark, monkeypatch, crowd):
     assert [got[i] for i in ids] == components(ids, fps, 3)
 
 
+@pytest.mark.parametrize("room", [1, 1 << 20])
+def test_copies_of_a_fingerprint_do_not_grow_with_their_number(spark, monkeypatch, room):
+    monkeypatch.setattr(simhash, "ROUND", room)
+    rng = np.random.default_rng(5)
+    plan = {"words": 2, "width": 22, "count": 5, "radius": 24}
+    bits = rng.integers(0, 2, (60, 128))
+    bits = np.concatenate([bits, bits ^ (rng.random((60, 128)) < 0.06), bits ^ (rng.random((60, 128)) < 0.12)]).astype(np.uint8)
+    fps = spark.createDataFrame([(i, np.packbits(b).tobytes()) for i, b in enumerate(bits)], "id long, fp binary")
+    near = [(i, j) for i in range(len(bits)) for j in range(i) if (d := bits[i] ^ bits[j]).sum() <= 24 and d[:110].reshape(5, 22).sum(axis=1).min() <= 1]
+    nodes = spark.range(len(bits)).select(F.col("id").alias("node"), F.col("id").alias("label"))
+    want, dealt = least_labels(nodes, spark.createDataFrame(near, "a long, b long")).collect(), []
+    for n in (180, 3_000_000):
+        kind, whole = type(fps), type(fps).mapInArrow
+        monkeypatch.setattr(kind, "mapInArrow", lambda df, f, schema, whole=whole: dealt.append(whole(df, f, schema)) or dealt[-1])
+        pairs = simhash.links(fps, n=n, **plan)
+        monkeypatch.setattr(kind, "mapInArrow", whole)
+        assert sorted(least_labels(nodes, pairs).collect()) == sorted(want) and len({r.label for r in want}) < 170
+        assert sum(len(r.ids) // 8 for d in dealt for r in d.collect()) == 180 * 2 * 5 and len(dealt) == (5 if room == 1 else 1)
+        dealt.clear()
+
+
 def test_wide_links_near_texts(spark):
     rng = random.Random(4)
     rows, pairs = [], []

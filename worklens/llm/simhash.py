@@ -3,7 +3,7 @@
 A text's fingerprint has 64 bits: a bit is 1 if it is set in over half of the XXH64 hashes (seed 42) of its word
 shingles. Two fingerprints link at `radius` (3) or fewer differing bits. Distinct fingerprints are indexed in two
 32-bit segments; of 3 differing bits at most 1 lies in one of the segments, so each fingerprint
-looks up the ball of radius 1 (33 keys) in each segment's table, and whole distances are verified. Only
+looks up the ball of radius 1 (33 keys) in each segment's tables, one for each half, and whole distances are verified. Only
 distinct fingerprints are linked, never copies; a bucket of the index returns a spanning forest of its links, not all
 pairs. Components are the least id that links reach. Wider fingerprints (`words` of 64 bits) and more segments find
 texts further apart; wide_plan() chooses them for a similarity. The pipeline's stage takes them for candidates only and compares the shingle sets.
@@ -16,6 +16,7 @@ an id has it). Extra columns are ignored. Texts of any length are taken whole.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -80,7 +81,9 @@ def _segments(fps: np.ndarray, width: int, count: int) -> np.ndarray:
 
 def _segment(fps: np.ndarray, width: int, j: int) -> np.ndarray:
     """Segment j alone."""
-    bits = np.unpackbits(fps.view(np.uint8).reshape(len(fps), -1), axis=1)[:, j * width : (j + 1) * width]
+    first, last = j * width, (j + 1) * width
+    held = fps.view(np.uint8).reshape(len(fps), -1)[:, first // 8 : -(-last // 8)]
+    bits = np.unpackbits(held, axis=1)[:, first % 8 : first % 8 + width]
     return bits.astype(np.int64) @ (1 << np.arange(width - 1, -1, -1, dtype=np.int64))
 
 
@@ -123,22 +126,22 @@ def _crowd(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
 CROWD, BLOCK = 4_000_000, 250_000
 
 
-def _link(own: np.ndarray, fps: np.ndarray, key: np.ndarray, width: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links in one bucket. `own`: rows whose segment lies in the bucket; they are the table, and look up their ball of radius 1 in the
-    key's `width` bits. The other rows came by a flipped bit and look up their key as it is."""
+def _link(own: np.ndarray, fps: np.ndarray, key: np.ndarray, width: int, radius: int, flips: list[int | None] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Links in one bucket. `own`: rows that are the table, and look up their ball of radius 1 in the key's `width` bits, or what `flips` names of it: bits, and None for the
+    key itself. Other rows look up their key as it is."""
     table = np.flatnonzero(own)
     order = table[np.argsort(key[table], kind="stable")]
     sorted_keys, a, b = key[order], [], []
     crowded = np.zeros(len(fps), bool)
     values, at, n = np.unique(sorted_keys, return_index=True, return_counts=True)
-    for i in np.flatnonzero(n.astype(np.int64) ** 2 > CROWD):
+    for i in np.flatnonzero(n.astype(np.int64) ** 2 > CROWD) if flips is None or None in flips else []:
         rows = order[at[i] : at[i] + n[i]]
         x, y = _crowd(fps[rows], radius)
         a.append(rows[x])
         b.append(rows[y])
         crowded[rows] = True
-    for flip in [None, *range(width)]:
-        rows = np.arange(len(fps)) if flip is None else table
+    for flip in [None, *range(width)] if flips is None else flips:
+        rows = np.arange(len(fps)) if flip is None else table[key[table] >> flip & 1 == 0]  # of two keys that differ in a bit, one asks
         look = key[rows] if flip is None else key[rows] ^ (1 << flip)
         lo, hi = np.searchsorted(sorted_keys, look, "left"), np.searchsorted(sorted_keys, look, "right")
         if flip is None:
@@ -162,45 +165,54 @@ def _link(own: np.ndarray, fps: np.ndarray, key: np.ndarray, width: int, radius:
     return _forest(np.concatenate(a), np.concatenate(b), len(fps))
 
 
+ROUND = 2_048  # bytes that a fingerprint's copies may take on the disk at once
+
+
 def links(fps: DataFrame, *, n: int, words: int, width: int, count: int, radius: int) -> DataFrame:
     """Links (a, b) between ids, enough to connect all that lie within `radius` bits and, in one of `count` segments of `width` bits, within 1 bit.
 
-    `fps`: id (long), fp (distinct). A bucket is a segment and its first `top` bits, so that a bucket's table has
-    about 20,000 rows at any size. A fingerprint goes to its own bucket of each segment and to those that one flipped bit
-    among the first leads to; the ball's other keys are looked up there. Only a spanning forest leaves a bucket.
+    `fps`: id (long), fp (distinct). Of segments within 1 bit one half at least is equal, so a fingerprint goes to two buckets for each segment, whatever n: those of its
+    first half, where the other half's ball is looked up, and of its second. A bucket holds the first `top` bits of a half, about 40,000 rows at any
+    size. Only a spanning forest leaves a bucket. Segments are dealt in rounds, so that the copies of a fingerprint never take much more than ROUND bytes.
     """
-    top = min(width - 1, max(2, int(np.ceil(np.log2(max(1, n) / 20_000)))))
-    low = width - top
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            ids = np.asarray(batch.column("id")).astype(np.int64)
-            raw = np.frombuffer(b"".join(batch.column("fp").to_pylist()), np.uint64).reshape(len(ids), words)
-            seg = _segments(raw, width, count)
-            out: list[tuple[int, bool, bytes, bytes]] = []
-            for j in range(count):
-                high = seg[:, j] >> low
-                for flip in [None, *range(top)]:
-                    bucket = (j << top) + (high if flip is None else high ^ (1 << flip))
-                    order = np.argsort(bucket, kind="stable")
-                    cut = np.flatnonzero(np.diff(bucket[order])) + 1
-                    out += [(int(bucket[rows[0]]), flip is None, ids[rows].tobytes(), raw[rows].tobytes()) for rows in np.split(order, cut)]
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.bool_(), pa.binary(), pa.binary()))], names=["bucket", "own", "ids", "fps"])
+    low = width // 2
+    halves = ((low, width - low), (0, low))  # where the half that must be equal begins, and how many bits it has
+    top = min(low, max(1, int(np.ceil(np.log2(max(1, n) / 40_000)))))
 
     def link(table: pa.Table) -> pa.Table:
-        ids = [np.frombuffer(x, np.int64) for x in table.column("ids").to_pylist()]
-        own = np.repeat(np.asarray(table.column("own")), [len(x) for x in ids])
-        ids = np.concatenate(ids)
+        ids = np.concatenate([np.frombuffer(x, np.int64) for x in table.column("ids").to_pylist()])
         raw = np.frombuffer(b"".join(table.column("fps").to_pylist()), np.uint64).reshape(len(ids), words)
-        j = int(table.column("bucket")[0].as_py()) >> top
-        key = _segment(raw, width, j) & ((1 << low) - 1)
-        a, b = _link(own, raw, key, low, radius)
+        j, side = divmod(int(table.column("bucket")[0].as_py()) >> top, 2)
+        flips = [*range(low, width)] if side else [None, *range(low)]
+        a, b = _link(np.ones(len(ids), bool), raw, _segment(raw, width, j), width, radius, flips)
         return pa.table({"a": ids[a], "b": ids[b]})
 
-    dealt = fps.select("id", "fp").mapInArrow(deal, "bucket long, own boolean, ids binary, fps binary")
-    return dealt.groupBy("bucket").applyInArrow(link, "a long, b long").distinct()
+    def dealt(first: int, last: int) -> DataFrame:
+        def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                ids = np.asarray(batch.column("id")).astype(np.int64)
+                raw = np.frombuffer(b"".join(batch.column("fp").to_pylist()), np.uint64).reshape(len(ids), words)
+                out: list[tuple[int, bytes, bytes]] = []
+                for j in range(first, last):
+                    seg = _segment(raw, width, j)
+                    for side, (shift, bits) in enumerate(halves):
+                        bucket = (2 * j + side << top) + (seg >> shift + bits - top & (1 << top) - 1)
+                        order = np.argsort(bucket, kind="stable")
+                        cut = np.flatnonzero(np.diff(bucket[order])) + 1
+                        out += [(int(bucket[rows[0]]), ids[rows].tobytes(), raw[rows].tobytes()) for rows in np.split(order, cut)]
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.binary(), pa.binary()))], names=["bucket", "ids", "fps"])
+
+        parts = fps.select("id", "fp").mapInArrow(deal, "bucket long, ids binary, fps binary")
+        return parts.groupBy("bucket").applyInArrow(link, "a long, b long").distinct()
+
+    rounds = max(1, -(-count * 2 * 8 * (1 + words) // ROUND))
+    if rounds == 1:
+        return dealt(0, count)
+    size = -(-count // rounds)
+    parts = [stash(dealt(j, min(count, j + size))) for j in range(0, count, size)]
+    return reduce(DataFrame.union, parts)
 
 
 def near_duplicates(docs: DataFrame, *, id_col="doc_id", text_col="text", size=3, radius=3, words=1, width=32, count=2) -> DataFrame:
