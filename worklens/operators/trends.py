@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..plans.state import settle
-from .similarity import Similar, salted_join
+from .similarity import Fold, Similar, _ranges, salted_join
 
 
 def loops(turns: DataFrame, *, by="session_id", key="tool_name", time="timestamp", times=3, seconds=600) -> DataFrame:
@@ -17,24 +17,89 @@ def loops(turns: DataFrame, *, by="session_id", key="tool_name", time="timestamp
     return rows.withColumn("seen", F.count("*").over(w)).filter(F.col("seen") >= times).drop("_at")
 
 
-def prior_work(found: Similar, rows: DataFrame, *, n=3, same="project") -> DataFrame:
-    """id, other, sim, rank: for each of `rows` (id, started_at, project) the most similar earlier work of the same project, cosines rounded to six digits, ties to smaller ids.
-    Equal texts count once, by the first of them in the project: so a text that many rows copy is one piece of work, and no row meets its copies.
-
-    A pair travels once, to the one class and then to the other; it becomes works only where the class has a row later than the other's first. Of those that all rows of a class may
-    see the best `n` suffice; of the rest a work goes that `n` better ones precede. So rows meet few works.
-    """
-    placed = settle(found.members.join(rows.select("id", F.col("started_at").alias("at"), F.col(same).alias("place")).hint("merge"), "id"))
+def _seen(placed: DataFrame) -> DataFrame:
+    """rep, place, since, other (a class's first row in a place), until (its last one's time) of rows (id, rep, at, place)."""
     seen = placed.filter("at is not null and place is not null").groupBy("rep", "place").agg(F.min(F.struct("at", "id")).alias("first"), F.max("at").alias("until"))
-    seen = seen.select("rep", "place", F.col("first.at").alias("since"), F.col("first.id").alias("other"), "until")
+    return seen.select("rep", "place", F.col("first.at").alias("since"), F.col("first.id").alias("other"), "until")
+
+
+def works(rows: DataFrame, *, n=3, same="project") -> Fold:
+    """For similar(), with the same `rows` and options as prior_work(): of the works that two blocks hold for a class in a place only those go that may be among its best. What `n` better
+    ones precede for all rows of the class is left out; cosines within two millionths count as equal."""
+    placed = rows.select("id", F.col("started_at").alias("at"), F.col(same).alias("place"))
+    kind, place = (placed.schema[c].dataType.simpleString() for c in ("id", "place"))
+
+    def carry(members: DataFrame) -> DataFrame:
+        entry = F.struct("place", F.unix_micros("since").alias("since"), F.unix_micros("until").alias("until"), "other")
+        return _seen(members.join(placed.hint("merge"), "id")).groupBy(F.col("rep").alias("id")).agg(F.collect_list(entry).alias("carried"))
+
+    def run(ids, carried, others, carried2, i, j, sim):
+        import numpy as np
+        import pyarrow as pa
+
+        def opened(column):
+            whole = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
+            size = np.asarray(whole.value_lengths().fill_null(0)).astype(np.int64)
+            flat = whole.flatten()
+            return size, np.cumsum(size) - size, np.repeat(np.arange(len(size)), size), flat, *(np.asarray(flat.field(c)) for c in ("since", "until"))
+
+        one, two = opened(carried), opened(carried2)
+        places = [x[3].field("place") for x in (one, two)]
+        code = np.asarray(pa.concat_arrays(places).dictionary_encode().indices).astype(np.int64)
+        code, other_code, many = code[: len(places[0])], code[len(places[0]) :], 1 + int(code.max(initial=0))
+        # of each pair each place of the one, and the same place of the other
+        pair, e = np.repeat(np.arange(len(i)), one[0][i]), _ranges(one[1][i], one[0][i])
+        key = two[2] * many + other_code
+        order = np.argsort(key, kind="stable")
+        wanted = j[pair] * many + code[e]
+        at = np.searchsorted(key[order], wanted)
+        hit = np.flatnonzero(np.append(key[order], -1)[at] == wanted)
+        pair, e, f = pair[hit], e[hit], order[at[hit]]
+        out = []
+        for names, own, x, work, y in ((ids, e, one, f, two), (others, f, two, e, one)):
+            early, cosine = y[4][work] < x[4][own], sim[pair]
+            some = np.flatnonzero(early)
+            some = some[np.lexsort((-cosine[some], own[some]))]
+            first = np.flatnonzero(np.diff(own[some], prepend=-1))
+            last = first + n - 1
+            full = last < np.append(first[1:], len(some))
+            least = np.full(len(x[3]), -np.inf)
+            least[own[some[first[full]]]] = cosine[some[last[full]]]
+            keep = np.flatnonzero((y[4][work] < x[5][own]) & (cosine >= least[own] - 2e-6))
+            own, work = own[keep], work[keep]
+            columns = [names.take(pa.array(x[2][own])), x[3].field("place").take(pa.array(own)), cosine[keep], y[4][work], y[3].field("other").take(pa.array(work)), early[keep]]
+            out.append(pa.table(dict(zip(("rep", "place", "sim", "begun", "other", "early"), columns, strict=True))))
+        return pa.concat_tables(out)
+
+    return Fold(carry, run, f"rep {kind}, place {place}, sim double, begun long, other {kind}, early boolean")
+
+
+def _met(pairs: DataFrame, seen: DataFrame) -> DataFrame:
+    """rep, place, sim, since, other, early of pairs (a, b, sim). A pair travels once, to the one class and then to the other; it becomes works only where the class has a row later than the other's first."""
     one, two = seen.toDF("a", "place", "since", "other", "until"), seen.toDF("b", "place", "since2", "other2", "until2")
     # to the first class a pair goes as an entry of two lists, its cosine in millionths
-    near = found.pairs.select("a", "b", F.round(F.round("sim", 6) * 1e6).cast("int").alias("k")).groupBy("a").agg(F.collect_list("b").alias("bs"), F.collect_list("k").alias("ks"))
+    near = pairs.select("a", "b", F.round(F.round("sim", 6) * 1e6).cast("int").alias("k")).groupBy("a").agg(F.collect_list("b").alias("bs"), F.collect_list("k").alias("ks"))
     near = near.join(one.hint("merge"), "a").select("a", "place", "since", "other", "until", F.explode(F.arrays_zip("bs", "ks")).alias("x"))
     both = near.select("a", "place", "since", "other", "until", F.col("x.bs").alias("b"), F.col("x.ks").alias("k")).join(two.hint("merge"), ["b", "place"]).withColumn("sim", F.col("k") / F.lit(1e6))
     work = lambda rep, since, other, begun, until: F.struct(F.col(rep).alias("rep"), F.col(since).alias("since"), F.col(other).alias("other"), F.col(begun).alias("begun"), F.col(until).alias("until"))
     ways = F.filter(F.array(work("a", "since2", "other2", "since", "until"), work("b", "since", "other", "since2", "until2")), lambda x: x["since"] < x["until"])
-    works = both.select("place", "sim", F.explode(ways).alias("w")).select("w.rep", "place", "sim", "w.since", "w.other", (F.col("w.since") < F.col("w.begun")).alias("early"))
+    return both.select("place", "sim", F.explode(ways).alias("w")).select("w.rep", "place", "sim", "w.since", "w.other", (F.col("w.since") < F.col("w.begun")).alias("early"))
+
+
+def prior_work(found: Similar, rows: DataFrame, *, n=3, same="project") -> DataFrame:
+    """id, other, sim, rank: for each of `rows` (id, started_at, project) the most similar earlier work of the same project, cosines rounded to six digits, ties to smaller ids.
+    Equal texts count once, by the first of them in the project: so a text that many rows copy is one piece of work, and no row meets its copies.
+
+    `found`: of similar(), with all pairs or with works() of the same rows and options. Of works that all rows of a class may
+    see the best `n` suffice; of the rest a work goes that `n` better ones precede. So rows meet few works.
+    """
+    placed = settle(found.members.join(rows.select("id", F.col("started_at").alias("at"), F.col(same).alias("place")).hint("merge"), "id"))
+    seen = _seen(placed)
+    if "early" in found.pairs.columns:
+        sim = F.round(F.round("sim", 6) * 1e6).cast("int") / F.lit(1e6)
+        works = settle(found.pairs.select("rep", "place", sim.alias("sim"), F.timestamp_micros("begun").alias("since"), "other", "early"))
+    else:
+        works = _met(found.pairs, seen)
     order = (F.desc("sim"), "other")
     early = works.filter("early").withColumn("k", F.row_number().over(Window.partitionBy("rep", "place").orderBy(*order))).filter(F.col("k") <= n)
     own = seen.filter("since < until").select("rep", "place", F.lit(1.0).alias("sim"), "since", "other")
@@ -54,6 +119,11 @@ def prior_work(found: Similar, rows: DataFrame, *, n=3, same="project") -> DataF
     return ranked.filter(F.col("rank") <= n).select("id", "other", "sim", "rank")
 
 
+def own_works(rows: DataFrame, *, n=1) -> Fold:
+    """As works(), for own_solutions()."""
+    return works(rows.filter("released"), n=n, same="actor")
+
+
 def own_solutions(found: Similar, rows: DataFrame, *, n=1) -> DataFrame:
     """As prior_work(), among an actor's own released rows."""
     return prior_work(found, rows.filter("released"), n=n, same="actor")
